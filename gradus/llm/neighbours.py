@@ -143,7 +143,7 @@ def _visit(vectors: DataFrame, visits: DataFrame, members: DataFrame, dims: int,
     q = visits.join(parts, ["tab", "cell"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), "q_parts")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m_parts") - 1)))
     m = members.join(parts, ["tab", "cell"]).withColumn("m", F.pmod(F.xxhash64("id", F.lit(2)), "m_parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_parts") - 1)))
     keys = ["tab", "cell", "q", "m"]
-    q, m = (x.join(vectors, "id").select(F.col(c).alias(f"{side}_{c}") for c in (*keys, "id", "vec", "floor")) for side, x in (("q", q), ("m", m)))
+    q, m = (x.join(vectors, "id").select([F.col(c).alias(f"{side}_{c}") for c in (*keys, "id", "vec", "floor")]) for side, x in (("q", q), ("m", m)))
     return q.groupBy(*(f"q_{c}" for c in keys)).cogroup(m.groupBy(*(f"m_{c}" for c in keys))).applyInArrow(_compare(dims, k), FOUND)
 
 
