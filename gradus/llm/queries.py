@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, grouping, neighbours, packing
+from gradus.llm import bpe, canonical, grouping, neighbours, overlap, packing
 from gradus.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_aliases(table(spark, d, "concept_aliases"), table(spark, d, "concepts")).select("alias_id", "concept_id")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Mapped and unmatched aliases by origin."""
+    aliases = table(spark, d, "concept_aliases")
+    mapped = canonical.map_aliases(aliases, table(spark, d, "concepts"))
+    origin = aliases.where("concept_id is null").groupBy("alias_id").agg(F.min("origin").alias("origin"))
+    return mapped.join(origin, "alias_id").groupBy("origin").agg(F.count("*").alias("n_aliases"), F.count_if(F.col("concept_id") == 0).alias("n_unmatched"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.connected_groups(table(spark, d, "merge_pairs"), "left_id", "right_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(*overlap.split_overlaps(table(spark, d, "gold_pairs"), table(spark, d, "concepts"), "canonical_name"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(*overlap.split_overlaps(table(spark, d, "gold_pairs"), table(spark, d, "concepts"), "canonical_name"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "concepts"), "concept_id", "embedding"))
 
@@ -29,5 +49,5 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "context_windows"), "window_id", "capacity_tokens")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_packed)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p5_found, p6_ids, p7_packed)}
 SQL: dict[str, str] = {}
