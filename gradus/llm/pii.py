@@ -69,6 +69,9 @@ def _persons(scratch: Scratch, spans: DataFrame) -> DataFrame:
     links = scratch.keep(p.where("not initial").groupBy("given", "pattern").agg(F.count("*").alias("n")))
     seeds = p.where("tail = 'seed' and not initial").groupBy("given").agg(F.count_distinct("family").alias("n")).where("n >= 2").select("given")
     given, patterns = _grown(scratch, links, scratch.keep(seeds), "given", "pattern", 2, 2, 0.3)
+    # A verb or label before names is followed by given names, a given name by family names.
+    second = p.where("style = 'f' and not initial").join(given, "given", "left_semi").join(given.select(F.col("given").alias("family"), F.lit(1).alias("s")), "family", "left")
+    given = scratch.keep(second.groupBy("given").agg((F.count("s") / F.count("*")).alias("part")).where("part <= 0.3").select("given"))
     known = p.join(given.withColumn("good_given", F.lit(True)), "given", "left").join(patterns.withColumn("good_pattern", F.lit(True)), "pattern", "left")
     known = known.select("*", F.coalesce("good_given", F.lit(False)).alias("g"), F.coalesce("good_pattern", F.lit(False)).alias("h"))
     families = known.groupBy("ending", "family").agg(F.count_if("g").alias("n"), F.count("*").alias("m"))
