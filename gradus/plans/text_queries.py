@@ -22,7 +22,7 @@ def q_html_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_phrase_filters(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[.,;:()\n]+")).alias("p")).where(F.trim("p") != "")
+    parts = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[.,;:()\n]+")).alias("p")).where(F.col("p").rlike("[^ ]"))
     return parts.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count_if(tx.is_amount(F.col("p"))).alias("n_amounts"), F.count_if(tx.is_page_word(F.col("p"))).alias("n_page_words"))
 
 
@@ -154,7 +154,7 @@ QUERIES = {f.__name__: f for f in (q_ref_strip, q_html_clean, q_phrase_filters,
 SQL = {
     "q_ref_strip": f"SELECT doc_id, md5(t) AS md5, length(t) AS n_chars FROM (SELECT doc_id, {_REF % 'text'} AS t FROM documents)",
     "q_html_clean": f"SELECT doc_id, md5(t) AS md5, CASE WHEN t IS NULL THEN NULL ELSE len(string_split(t, chr(10))) END AS n_lines FROM (SELECT doc_id, {_html('text')} AS t FROM documents)",
-    "q_phrase_filters": rf"SELECT doc_id, count(*) AS n_phrases, count(*) FILTER (WHERE {_amount('p')}) AS n_amounts, count(*) FILTER (WHERE {_page('p')}) AS n_page_words FROM (SELECT doc_id, unnest(string_split_regex(text, '[.,;:()\n]+')) AS p FROM documents) WHERE trim(p) <> '' GROUP BY doc_id",
+    "q_phrase_filters": rf"SELECT doc_id, count(*) AS n_phrases, count(*) FILTER (WHERE {_amount('p')}) AS n_amounts, count(*) FILTER (WHERE {_page('p')}) AS n_page_words FROM (SELECT doc_id, unnest(string_split_regex(text, '[.,;:()\n]+')) AS p FROM documents) WHERE regexp_matches(p, '[^ ]') GROUP BY doc_id",
     "q_phrases": rf"""SELECT doc_id, count(*) AS n_phrases, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM (
         SELECT DISTINCT doc_id, phrase FROM (SELECT doc_id, {_CLEAN} AS phrase FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z ]+', '|', 'g'), '{corpus.PHRASE}')) AS p FROM documents))
         WHERE length(phrase) >= 3 AND NOT {_amount('phrase')} AND NOT {_page('phrase')}) GROUP BY doc_id""",
