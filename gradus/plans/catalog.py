@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gradus.plans import graph_queries, hierarchy_queries, scoring_queries, signal_queries, text_queries
+from gradus.plans import graph_queries, hierarchy_queries, learning_queries, scoring_queries, signal_queries, stream_queries, text_queries
 
-MODULES = (hierarchy_queries, text_queries, signal_queries, scoring_queries, graph_queries)
+MODULES = (hierarchy_queries, text_queries, signal_queries, scoring_queries, graph_queries, learning_queries, stream_queries)
 
 
 def queries() -> dict:
