@@ -40,9 +40,8 @@ _HOST = re.compile(r" ?((?:[\w-]+(?:\.| ?\[(?:dot|DOT)\] ?| ?\((?:dot|DOT)\) ?|
 _DIGITS = re.compile(r"[0-9０-９][0-9０-９ \u00a0()./‑–-]{4,24}[0-9０-９]")
 _GROUPS = re.compile(r"\d\d(?: \d\d){2}$")
 _EXTENSION = re.compile(r"(?:,? ext\.? ?| ?x ?)\d{1,5}(?!\w)")
-_WORDS10 = "zero|one|two|three|four|five|six|seven|eight|nine|oh|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
-_SPOKEN = re.compile(rf"(?:(?:{_WORDS10})(?:,? |-)){{6,}}(?:{_WORDS10})(?!\w)", re.IGNORECASE)
 _DIGIT_WORDS = tuple(tuple(x.split()) for x in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro deux trois quatre cinq sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"))
+_SPOKEN = tuple(re.compile(rf"(?:(?:{'|'.join(w)})(?:,? |-)){{6,}}(?:{'|'.join(w)})(?!\w)") for w in _DIGIT_WORDS)
 
 _TOWN = rf"{_U}[^\W\d_]+(?:(?:[-' ](?:sur|am|an|de|del|la|der|upon))*[-' ]{_U}[^\W\d_]+)*"
 _TOWN1 = rf"{_U}[^\W\d_]+(?:-[^\W\d_]+)*"
@@ -50,28 +49,31 @@ _POST = r"(?:[A-Z]{1,2}\d{1,3}[A-Z]? \d[A-Z]{2}|(?:[A-Z]{2} )?\d{5})"
 _UNIT = r"(?:(?:, | )(?i:Flat|Apt\.?|Unit|Suite|Room|Ste\.?) ?\w{1,4}|(?:, | )#\w{1,4}|, \d{1,2}\.[ºª] ?\w(?!\w)|, (?i:bajo)|, entlo\.?)"
 _EN = rf"[0-9]{{1,5}}(?:[A-Z]|-\d{{1,5}})?,? (?:(?:(?i:Old|New|Upper|Lower|Great|Little|North|South|East|West)|[NSEW]\.) )?{_TOWN1}(?: {_TOWN1})? (?i:Street|Close|Lane|Road|Court|Terrace|Drive|Avenue|Hill|Row|Way|Place|Square|Crescent|Gardens|Grove|Mews|Park|(?:St|Rd|Ave|Ln|Dr|Ct|Blvd|Pl|Sq|Ter)\b\.?)"
 _FR = rf"[0-9]{{1,5}}(?: (?:bis|ter|quater))?,? (?i:rue|avenue|boulevard|impasse|chemin|quai|allée|place|cours|passage) (?:(?i:du|de la|des|de l['’]|de) ?)?{_TOWN1}"
-_DE = rf"{_U}[^\W\d_]+(?:(?i:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|wall|markt|graben|chaussee|stieg|pfad)) \d{{1,5}} ?(?:[a-z](?![\w]))?"
+_DE = rf"{_U}[^\W\d_]++\.? [0-9]{{1,5}}(?![0-9]) ?(?:[a-z](?![\w]))?"
+_DE_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "steig", "wall", "markt", "graben", "chaussee", "stieg", "pfad")
 _DE2 = rf"(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Unter den|Kleine|Große|Alte|Neue|Obere|Untere|Hintere|AM|IM|KLEINE|ALTE|NEUE) {_U}[^\W\d_]+ \d{{1,5}} ?(?:[a-zA-Z](?![\w]))?"
 _ES = rf"(?:Calle|CALLE|C/|Plaza|PLAZA|Avenida|AVENIDA|Avda\.?|Paseo|Camino|Ronda) (?:(?i:del|de la|de los|de las|de) )?{_TOWN1},? (?:[nN]\.º ?)?\d{{1,5}}"
 _STREETS = tuple(re.compile(rf"{x}(?![^\W\d_])(?:{_UNIT})*") for x in (_EN, _FR, _DE, _DE2, _ES))
 _AFTER = re.compile(rf"(?:,\s|\n| ){_POST},? {_TOWN}|(?:,\s|\n| ){_TOWN1}(?: {_TOWN1})?,? {_POST}(?!\w)|(?:,\s|\n| ){_POST}(?!\w)")
 _MAYBE = re.compile(rf"(?:,\s|\n| )({_TOWN1}(?: {_TOWN1})?)(?![^\W\d_])")
-_LEFT = re.compile(r"(\n|[^\s\d]+)[^\S\n]*$")
+_HAS_DIGIT, _AFTER_DIGIT = re.compile(r"\d"), re.compile(r"\D*$")
 _RIGHT = re.compile(r"[^\S\n]*(\n|[^\w\s]+(?=\s|\w|$)|[^\W\d_]+)")
 
 
 def _before(text: str, at: int, words: int = 1) -> str:
-    """The last words before, in lower case, with their punctuation; a line's start counts as a word."""
-    cut, out = text[max(0, at - 48) : at], []
-    while len(out) < words:
-        m = _LEFT.search(cut)
-        if not m:
-            out.append("^" if at < 48 else "")
+    """The last words before, in lower case, with their punctuation; a line's start counts as a word, a number ends them."""
+    out: list[str] = []
+    for w in reversed(text[max(0, at - 48) : at].replace("\n", " ^ ").split()):
+        if w == "^" or w[-1].isdigit():
+            out.append(w if w == "^" else "")
             break
-        out.append("^" if m[1] == "\n" else "." if words == 1 and m[1][-1] in ".?!" and len(m[1]) > 6 else m[1].lower()[-18:])
-        cut = cut[: m.start()]
-        if out[-1] == "^":
+        if _HAS_DIGIT.search(w):
+            w = _AFTER_DIGIT.search(w)[0]
+        out.append("." if words == 1 and w[-1] in ".?!" and len(w) > 6 else w.lower()[-18:])
+        if len(out) == words:
             break
+    if len(out) < words and at < 48 and out[-1:] != ["^"]:
+        out.append("^")
     return " ".join(reversed(out))
 
 
@@ -154,7 +156,7 @@ def _phone(text: str, s: int, e: int) -> Mention | None:
         return None
     if text[e : e + 1] in (".", ",", "-", "/") and text[e + 1 : e + 2].isdigit():
         return None
-    digits = sum(c.isdigit() for c in text[s:e])
+    digits = sum(map(str.isdigit, text[s:e]))
     if not 8 <= digits <= 15 or "  " in text[s:e]:
         return None
     if more := _EXTENSION.match(text, e):
@@ -179,7 +181,8 @@ def _code(text: str, s: int, e: int) -> Mention | None:
     elif text[end : end + 1].isalnum() or text[end : end + 1] in ("-", "/") and text[end + 1 : end + 2].isalnum():
         return None
     got = text[cut:end]
-    if any(c in got for c in "()./") or not 6 <= sum(c.isdigit() for c in got) <= 12:
+    digits = sum(map(str.isdigit, got))
+    if digits > 12 or digits < (6 if cut < s else 7) or any(c in got for c in "()./"):
         return None
     words = _before(text, cut, 4).split(" ")
     return Mention(cut, end, "id_number", got, _shape(got), " ".join(words[-2:]), _after(text, end), " ".join(words[:-1])[-24:])
@@ -196,13 +199,14 @@ def numbers(text: str) -> Iterator[Mention]:
             yield x
         if x := _code(text, s, e):
             yield x
-    if any(sum(w in text for w in words) >= 3 for words in _DIGIT_WORDS):
-        for m in _SPOKEN.finditer(text):
-            yield Mention(m.start(), m.end(), "phone", m[0], "spoken", "", "", "")
+    for words, spoken in zip(_DIGIT_WORDS, _SPOKEN, strict=True):
+        if sum(w in text for w in words) >= 3 and sum(map(text.count, words)) >= 7:
+            for m in spoken.finditer(text):
+                yield Mention(m.start(), m.end(), "phone", m[0], "spoken", "", "", "")
 
 
 def addresses(text: str) -> Iterator[Mention]:
-    found = sorted((m.start(), -m.end(), m.end()) for p in _STREETS for m in p.finditer(text) if not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-_"))
+    found = sorted((m.start(), -m.end(), m.end()) for p in _STREETS for m in p.finditer(text) if (p is not _STREETS[2] or m[0].split(" ")[0].lower().endswith(_DE_ENDS)) and (not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-_")))
     seen = -1
     for s, _, e in found:
         if s < seen:
