@@ -94,6 +94,28 @@ def unlocked(status: DataFrame, edges: DataFrame) -> DataFrame:
     return status.join(ready, "node", "left").select("node", F.when((F.col("status") == "locked") & F.coalesce("ready", F.lit(False)), "available").otherwise(F.col("status")).alias("status"))
 
 
+def cascade(forest: Forest, status: DataFrame, order: str = "node") -> DataFrame:
+    """(node, status) after completions have taken their course in the trees of a forest; ``status`` has (node, status, <order>).
+
+    A parent is completed when all leaves below it are. After a completed node the next locked sibling in order becomes
+    available, with its first child if that is locked. Every step is read off the state before, which needs no loop:
+    completion below a parent depends on leaves alone, and unlocking completes nothing.
+    """
+    tree = forest.nodes.where("depth >= 0").select("node", "parent", "size").join(status, "node")
+    open_leaf = tree.where("size = 1 and status <> 'completed'").select("node")
+    unfinished = forest.descendants().join(open_leaf, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct().withColumn("unfinished", F.lit(True))
+    state = tree.join(unfinished, "node", "left").withColumn("done", (F.col("status") == "completed") | ((F.col("size") > 1) & F.col("unfinished").isNull()))
+    w = Window.partitionBy("parent").orderBy(order, "node")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    placed = state.withColumn("p", F.row_number().over(w))
+    placed = placed.withColumn("last_done", F.max(F.when(F.col("done"), F.col("p"))).over(before)).withColumn("last_locked", F.max(F.when(F.col("status") == "locked", F.col("p"))).over(before))
+    opened = placed.where("parent is not null and not done and status = 'locked' and last_done > coalesce(last_locked, 0)").select("node")
+    child = placed.where("p = 1 and not done and status = 'locked'").join(opened.select(F.col("node").alias("parent")), "parent", "left_semi").select("node")
+    available = opened.union(child).distinct().withColumn("opened", F.lit(True))
+    out = state.join(available, "node", "left").select("node", F.when(F.col("done"), "completed").when(F.col("opened"), "available").otherwise(F.col("status")).alias("status"))
+    return out.unionByName(status.join(tree.select("node"), "node", "left_anti").select("node", "status"))
+
+
 def unmet(status: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, n_unmet, first_unmet): locked nodes with prerequisites that are not completed."""
     pre = edges.join(status.where("status <> 'completed'").select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"), F.col("src").alias("missing")).distinct()

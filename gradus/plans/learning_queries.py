@@ -87,6 +87,11 @@ def q_unlock_dag(spark: SparkSession, d: str) -> DataFrame:
     return learning.unlocked(n.select("node", "status"), _tree_edges(n))
 
 
+def q_cascade(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d)
+    return learning.cascade(hierarchy.Forest(n.select("node", "parent")), n.select("node", "status"))
+
+
 def q_can_start(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
     return learning.unmet(n.select("node", "status"), _tree_edges(n))
@@ -276,6 +281,11 @@ def _sql() -> dict[str, str]:
         "q_inject": f"WITH RECURSIVE {_NODES}, t AS (SELECT node, 'RM_' || mis || '_' || node AS rm FROM n WHERE mis IS NOT NULL) SELECT src, dst, kind, conf FROM e WHERE dst NOT IN (SELECT node FROM t) UNION ALL SELECT src, rm, kind, conf FROM e JOIN t ON t.node = e.dst UNION ALL SELECT rm, node, 'remediation_link', 1.0 FROM t",
         "q_resolve_roundtrip": f"WITH RECURSIVE {_NODES} SELECT src, dst, kind, conf FROM e",
         "q_unlock_dag": f"WITH RECURSIVE {_NODES} SELECT n.node, CASE WHEN n.status = 'locked' AND p.status = 'completed' THEN 'available' ELSE n.status END AS status FROM n LEFT JOIN n p ON p.node = n.parent",
+        "q_cascade": f"""WITH RECURSIVE {_NODES}, up AS (SELECT d.node_id AS leaf, n.node AS node FROM down d JOIN n ON n.node = d.node_id WHERE d.node_id NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND n.status <> 'completed' UNION SELECT u.leaf, l.parent FROM up u JOIN links l ON l.node_id = u.node WHERE l.parent IS NOT NULL),
+            st AS (SELECT n.node, n.parent, n.status, n.status = 'completed' OR (n.node IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND n.node NOT IN (SELECT node FROM up)) AS done, row_number() OVER (PARTITION BY n.parent ORDER BY n.node) AS p FROM n JOIN down d ON d.node_id = n.node),
+            pl AS (SELECT *, max(CASE WHEN done THEN p END) OVER w AS ld, max(CASE WHEN status = 'locked' THEN p END) OVER w AS ll FROM st WINDOW w AS (PARTITION BY parent ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            op AS (SELECT node FROM pl WHERE parent IS NOT NULL AND NOT done AND status = 'locked' AND ld > coalesce(ll, 0)), ch AS (SELECT node FROM pl WHERE p = 1 AND NOT done AND status = 'locked' AND parent IN (SELECT node FROM op))
+            SELECT n.node, CASE WHEN st.done THEN 'completed' WHEN n.node IN (SELECT node FROM op UNION SELECT node FROM ch) THEN 'available' ELSE n.status END AS status FROM n LEFT JOIN st USING (node)""",
         "q_can_start": f"WITH RECURSIVE {_NODES} SELECT n.node, 1::BIGINT AS n_unmet, p.node AS first_unmet FROM n JOIN n p ON p.node = n.parent WHERE n.status = 'locked' AND p.status <> 'completed'",
         "q_progress": f"""WITH RECURSIVE {_NODES}, k AS (SELECT parent, count(*) AS k FROM n WHERE parent IS NOT NULL GROUP BY 1),
             up AS (SELECT d.node_id AS leaf, d.node_id AS node, 1.0::DOUBLE AS w FROM down d WHERE d.node_id NOT IN (SELECT parent FROM k) UNION ALL SELECT u.leaf, l.parent, u.w / k.k FROM up u JOIN links l ON l.node_id = u.node JOIN k ON k.parent = l.parent WHERE l.parent IS NOT NULL)
@@ -308,7 +318,7 @@ def _sql() -> dict[str, str]:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_sm2, q_fsrs_fold, q_retention, q_refresh_edges, q_grade, q_inject, q_resolve_roundtrip, q_unlock_dag, q_can_start, q_progress, q_hidden_nodes, q_next_available, q_payload, q_quiz_gen, q_quiz_validate,
+        q_sm2, q_fsrs_fold, q_retention, q_refresh_edges, q_grade, q_inject, q_resolve_roundtrip, q_unlock_dag, q_cascade, q_can_start, q_progress, q_hidden_nodes, q_next_available, q_payload, q_quiz_gen, q_quiz_validate,
         q_content_items, q_content_rank, q_cosine_topk, q_cap_by_relevance, q_knapsack, q_study_path, q_upsert, q_purge, q_incremental, q_cache_ttl, q_heldout_violations, q_oneshot_violations, q_schema_checks,
         q_nested_aliases, q_chapter_pairs, q_link_pairs,
     )
