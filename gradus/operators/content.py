@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import bow_buckets
+from gradus.operators.blocks import blocked_pairs, unit
 
 KINDS = ("video", "paper", "repository", "documentation")
 ROLES = ("A", "B", "C")
@@ -38,37 +38,23 @@ def bow_rank(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_top(queries: DataFrame, base: DataFrame, k: int = 10, block: int = 2048, parts: int = 8) -> DataFrame:
+def vector_top(queries: DataFrame, base: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """(query_id, id, sim, rank): exact k most similar vectors of ``base`` (id, vec) for each of ``queries``, itself left out.
 
     Queries and base meet in blocks, each pair of blocks one matrix product; ties go to the smaller id. Vectors without
     length have similarity 0. All vectors have one number of dimensions.
     """
-    n = max(1, -(-queries.count() // block))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bb"))
-    b = base.select("id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("bb"))
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        rows = column.to_pylist()
-        x = np.array(rows, dtype=np.float64)
-        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            qi, bi = left.column("query_id").to_numpy(), right.column("id").to_numpy()
-            sims = matrix(left.column("qv")) @ matrix(right.column("vec")).T
-            sims[qi[:, None] == bi[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(bi, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(qi)), order.shape[1])
-            s = sims[row, order.ravel()]
-            good = np.isfinite(s)
-            out = (qi[row][good], bi[order.ravel()][good], s[good])
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({c: pa.array(v, type=t) for c, v, t in zip(("query_id", "id", "sim"), out, kinds, strict=True)})
-
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(best, "query_id bigint, id bigint, sim double")
+
+    def score(i, x, j, y):
+        s = unit(x) @ unit(y).T
+        s[i[:, None] == j[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(j, s.shape), -np.round(s, 9)), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(i)), order.shape[1])
+        good = np.isfinite(s[row, order.ravel()])
+        return row[good], order.ravel()[good], s[row, order.ravel()][good]
+
+    one = [df.select(F.lit(0).alias("grp"), F.col("id").cast("bigint").alias("id"), "vec") for df in (queries, base)]
+    found = blocked_pairs(*one, score, block).select(F.col("src").alias("query_id"), F.col("dst").alias("id"), F.col("score").alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.columns import cosine
 from gradus.functions.text import sections
+from gradus.operators.blocks import cosine_pairs
 
 #: Weights of the fused score: order, definition mention, co-occurrence, plausibility.
 WEIGHTS = {"s_order": 0.25, "s_def": 0.35, "s_cooc": 0.10, "s_plaus": 0.30}
@@ -63,10 +63,9 @@ def definition_signal(names: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def similarity_signal(vectors: DataFrame, floor: float = 0.15) -> DataFrame:
-    """(src, dst, s_sim) for src < dst of one domain with a cosine of at least ``floor``."""
-    a = vectors.select("domain_id", F.col("concept_id").alias("src"), F.col("embedding").alias("va"))
-    b = vectors.select("domain_id", F.col("concept_id").alias("dst"), F.col("embedding").alias("vb"))
-    return a.join(b, "domain_id").where("src < dst").select("src", "dst", cosine(F.col("va"), F.col("vb")).alias("s_sim")).where(F.col("s_sim") >= floor)
+    """(src, dst, s_sim) for src < dst of one domain with a cosine of at least ``floor``, from (domain_id, concept_id, embedding)."""
+    rows = vectors.select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec"))
+    return cosine_pairs(rows, floor).withColumnRenamed("score", "s_sim")
 
 
 def merge_signals(order: DataFrame, cooc: DataFrame, definition: DataFrame, similarity: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.functions.columns import cosine, r6
+from gradus.functions.columns import r6
 from gradus.operators import graph, scoring
+from gradus.operators.blocks import cosine_pairs
 from gradus.plans import scoring_queries as sq
 from gradus.session import Scratch
 
@@ -99,10 +100,8 @@ def graph_window():
 
 def q_components(spark: SparkSession, d: str) -> DataFrame:
     """Near-equal vectors of a domain (cosine of 0.92 or more), joined into groups through each other."""
-    v = sq._vectors(spark, d)
-    a = v.select("domain_id", F.col("concept_id").alias("src"), F.col("embedding").alias("va"))
-    b = v.select("domain_id", F.col("concept_id").alias("dst"), F.col("embedding").alias("vb"))
-    links = a.join(b, "domain_id").where("src < dst").where(cosine(F.col("va"), F.col("vb")) >= 0.92).select("src", "dst")
+    rows = sq._vectors(spark, d).select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec"))
+    links = cosine_pairs(rows, 0.92).select("src", "dst")
     both = Scratch(spark, "links").keep(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return graph.closure(both).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("component"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradus.functions import columns as cx
 from gradus.functions.columns import r6, usable
 from gradus.operators import scoring
+from gradus.operators.blocks import linear_top
 from gradus.sources.tables import table
 
 #: Coefficients by a formula, so that SQL can repeat them: 256 numbers of -1 to 1, and the bias.
@@ -66,11 +67,9 @@ def q_orient(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_topk_candidates(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    a = v.select("domain_id", F.col("concept_id").alias("src"), F.col("embedding").alias("vu"))
-    b = v.select("domain_id", F.col("concept_id").alias("dst"), F.col("embedding").alias("vv"))
-    s = a.join(b, "domain_id").where("src <> dst").select("src", "dst", r6(scoring.linear_score(cx.direction_feature(F.col("vu"), F.col("vv")), _weights(), BIAS)).alias("score"))
-    return scoring.top_targets(s)
+    rows = _vectors(spark, d).select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec"))
+    weights = [((i * 37 + 11) % 101) / 50.0 - 1 for i in range(256)]
+    return scoring.top_targets(linear_top(rows, weights, BIAS, 10))
 
 
 def q_confusion(spark: SparkSession, d: str) -> DataFrame:
