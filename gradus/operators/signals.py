@@ -14,6 +14,9 @@ from gradus.operators.blocks import cosine_pairs
 #: Weights of the fused score: order, definition mention, co-occurrence, plausibility.
 WEIGHTS = {"s_order": 0.25, "s_def": 0.35, "s_cooc": 0.10, "s_plaus": 0.30}
 
+#: Parts into which a domain's texts are cut where they meet its names.
+PARTS = 16
+
 
 def concept_names(concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(domain_id, concept_id, name): lower-case names and resolved aliases of each concept, each once, none empty."""
@@ -22,10 +25,21 @@ def concept_names(concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     return own.unionByName(other).where(F.length(F.trim("name")) >= 3).distinct()
 
 
+def _holding(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Texts (domain_id, <key>, text) with each name (domain_id, concept_id, name) of their domain that they hold, and its position from 0.
+
+    A domain's texts are cut into ``PARTS`` parts, so that a large domain is no single task. The test for the name runs on
+    bytes; its position, which counts characters, is looked for only where it passes.
+    """
+    cut = texts.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    each = names.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return cut.join(each, ["domain_id", "part"]).where(F.contains("text", F.col("name"))).withColumn("pos", F.expr("locate(name, text)") - 1)
+
+
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(unit, concept_id, pos): least position, from 0, of a concept's names in a text unit (domain_id, unit, text) of its domain."""
-    found = texts.select("domain_id", "unit", F.lower("text").alias("text")).join(names, "domain_id").select("unit", "concept_id", (F.expr("locate(name, text)") - 1).alias("pos"))
-    return found.where("pos >= 0").groupBy("unit", "concept_id").agg(F.min("pos").alias("pos"))
+    found = _holding(texts.select("domain_id", "unit", F.lower("text").alias("text")), names, "unit")
+    return found.groupBy("unit", "concept_id").agg(F.min("pos").alias("pos"))
 
 
 def _pairs(m: DataFrame) -> DataFrame:
@@ -58,8 +72,8 @@ def cooccurrence_signal(mentioned: DataFrame, n_units: DataFrame) -> DataFrame:
 def definition_signal(names: DataFrame, concepts: DataFrame) -> DataFrame:
     """(src, dst, s_def): src is named in the definition of dst; 1 at its start, towards 0.5 at its end."""
     d = concepts.where("length(definition) > 0").select("domain_id", F.col("concept_id").alias("dst"), F.lower("definition").alias("text"))
-    found = d.join(names.withColumnRenamed("concept_id", "src"), "domain_id").where("src <> dst").select("src", "dst", (F.expr("locate(name, text)") - 1).alias("pos"), F.length("text").alias("n"))
-    return found.where("pos >= 0").groupBy("src", "dst").agg(F.max(0.5 + 0.5 * (1 - F.col("pos") / F.col("n"))).alias("s_def"))
+    found = _holding(d, names, "dst").where("concept_id <> dst")
+    return found.groupBy(F.col("concept_id").alias("src"), "dst").agg(F.max(0.5 + 0.5 * (1 - F.col("pos") / F.length("text"))).alias("s_def"))
 
 
 def similarity_signal(vectors: DataFrame, floor: float = 0.15) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.columns import r6, usable
 from gradus.operators import signals
-from gradus.sources.tables import table
+from gradus.sources.tables import table, wide_table
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = wide_table(spark, d, "documents", "doc_id", "domain_id", "text", "source_type").where("text is not null")
     return docs.select("domain_id", F.col("doc_id").alias("unit"), "text", F.when(F.col("source_type") == "syllabus", 3).otherwise(1).alias("w"))
 
 
@@ -29,7 +29,7 @@ def _order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cooc(spark: SparkSession, d: str) -> DataFrame:
-    units = signals.section_units(table(spark, d, "documents"))
+    units = signals.section_units(wide_table(spark, d, "documents", "doc_id", "domain_id", "text"))
     names = _concepts(spark, d).select("domain_id", "concept_id", F.lower("canonical_name").alias("name"))
     return signals.cooccurrence_signal(signals.mentions(names, units), units.agg(F.count("*").alias("n")))
 

@@ -8,40 +8,40 @@ from pyspark.sql import functions as F
 from gradus.functions import text as tx
 from gradus.functions.columns import r6
 from gradus.operators import corpus
-from gradus.sources.tables import table
+from gradus.sources.tables import table, wide_table
 
 
 def q_ref_strip(spark: SparkSession, d: str) -> DataFrame:
     t = tx.strip_references(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(t.cast("binary")).alias("md5"), F.length(t).alias("n_chars"))
+    return wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(t.cast("binary")).alias("md5"), F.length(t).alias("n_chars"))
 
 
 def q_html_clean(spark: SparkSession, d: str) -> DataFrame:
     t = tx.html_to_text(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(t.cast("binary")).alias("md5"), F.size(F.split(t, "\n")).alias("n_lines"))
+    return wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(t.cast("binary")).alias("md5"), F.size(F.split(t, "\n")).alias("n_lines"))
 
 
 def q_phrase_filters(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[.,;:()\n]+")).alias("p")).where(F.col("p").rlike("[^ ]"))
+    parts = wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", r"[.,;:()\n]+")).alias("p")).where(F.col("p").rlike("[^ ]"))
     return parts.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count_if(tx.is_amount(F.col("p"))).alias("n_amounts"), F.count_if(tx.is_page_word(F.col("p"))).alias("n_page_words"))
 
 
 def q_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.phrases(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))
+    return corpus.phrases(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))
 
 
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
     s = tx.sentences(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"))
+    return wide_table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
     s = tx.sections(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(s).alias("section", "s")).select("doc_id", "section", F.length("s").alias("n_chars"))
+    return wide_table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.posexplode(s).alias("section", "s")).select("doc_id", "section", F.length("s").alias("n_chars"))
 
 
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
-    pieces = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk", "piece"))
+    pieces = wide_table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk", "piece"))
     return pieces.select("doc_id", "chunk", F.length("piece").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("md5"))
 
 
@@ -81,7 +81,7 @@ def q_concept_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_bow_buckets(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "documents").select("doc_id", F.explode(tx.bow_buckets(F.col("text"))).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    b = wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(tx.bow_buckets(F.col("text"))).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
     norm = b.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     return b.join(norm, "doc_id").select("doc_id", "bucket", r6(F.col("n") / F.col("norm")).alias("weight"))
 
