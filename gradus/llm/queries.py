@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import bpe, canonical, grouping, neighbours, overlap, packing, pii
-from gradus.sources.tables import table
+from gradus.sources.tables import table, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,19 +42,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+    return bpe.encode_texts(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "context_windows"), "window_id", "capacity_tokens")
+    return packing.pack_texts(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "context_windows"), "window_id", "capacity_tokens")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found_items(table(spark, d, "documents"), "doc_id", "text")
+    return pii.found_items(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "documents"), "doc_id", "text")
+    return pii.redact(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p5_found, p6_ids, p7_packed, p8_found, p8_redacted)}
