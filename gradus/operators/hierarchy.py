@@ -62,15 +62,13 @@ class Forest:
         left = state.where("up is not null").count()
         k = 0
         while left:
-            stride = self.scratch.keep(state.where("up is not null").select("node", "up"))
-            self.strides.append(stride)
+            self.strides.append(state.where("up is not null").select("node", "up"))
             below = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("below"))
             above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
             new = state.join(above, "up", "left").join(below, "node", "left")
             step = F.lit(2**k)
             new = new.select("node", F.col("up2").alias("up"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(step + F.col("depth2")).alias("depth"), F.when(F.col("up").isNull(), F.col("top")).otherwise(F.col("top2")).alias("top"))
-            old, state = state, self.scratch.keep(new)
-            self.scratch.drop(old)
+            state = self.scratch.keep(new)
             now = state.where("up is not null").count()
             k += 1
             if now == left:  # each round finishes the nodes whose ancestors just end, so none is left in a tree
