@@ -24,7 +24,12 @@ MARGIN = 0.12
 SLACK = 6
 
 
-def _folded(df: DataFrame, column: str, extra: str = "") -> DataFrame:
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows over all shuffle partitions: few bytes can be much work for Python, which merged partitions would do in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).distinct()
+
+
+def _folded(df: DataFrame, column: str) -> DataFrame:
     """(name, tokens): each distinct non-null name with its folded tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +37,7 @@ def _folded(df: DataFrame, column: str, extra: str = "") -> DataFrame:
             names = batch.column(0).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array([fold(x) for x in names], type=pa.list_(pa.string()))], names=["name", "tokens"])
 
-    return df.select(F.col(column).alias("name")).where("name is not null").distinct().mapInArrow(run, "name string, tokens array<string>")
+    return _spread(df.select(F.col(column).alias("name")).where("name is not null"), "name").mapInArrow(run, "name string, tokens array<string>")
 
 
 def _keyed(df: DataFrame, column: str, keys) -> DataFrame:
@@ -74,7 +79,8 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     same = typed.join(vocabulary, F.col("typed") == F.col("token"), "left_semi").select("typed", F.col("typed").alias("token"), F.lit(1.0).alias("sim"))
     other = typed.join(vocabulary, F.col("typed") == F.col("token"), "left_anti").where(F.length("typed").between(2, 40))
-    pairs = _keyed(other, "typed", typed_keys).join(_keyed(vocabulary.select("token"), "token", entry_keys), "key").select("typed", "token").distinct()
+    pairs = _keyed(other, "typed", typed_keys).join(_keyed(vocabulary.select("token"), "token", entry_keys), "key").select("typed", "token")
+    pairs = _spread(pairs, "typed", "token")
     best = Window.partitionBy("typed")
     near = _scored(pairs).withColumn("most", F.max("sim").over(best)).where(F.col("sim") >= F.col("most") - MARGIN).drop("most")
     return same.unionByName(near)
@@ -128,9 +134,9 @@ def _whole(rest: DataFrame, entries: DataFrame) -> DataFrame:
     infix = F.regexp_replace(plain, "of", "")
     typed = rest.select("name", F.explode(F.array_distinct(F.array(squash, plain, infix))).alias("w")).where(F.length("w").between(9, 200))
     known = entries.select("sign", plain.alias("v")).distinct()
-    pairs = _keyed(typed.select("w").distinct(), "w", _whole_keys(False)).join(_keyed(known.select("v").distinct(), "v", _whole_keys(True)), "key").select("w", "v").distinct()
+    pairs = _keyed(typed.select("w").distinct(), "w", _whole_keys(False)).join(_keyed(known.select("v").distinct(), "v", _whole_keys(True)), "key").select("w", "v")
     # Spark's own edit distance first: it has no swaps, which it counts as two.
-    near = pairs.where(F.levenshtein("w", "v", 4).between(0, 4))
+    near = _spread(pairs.where(F.levenshtein("w", "v", 4).between(0, 4)), "w", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
