@@ -38,17 +38,17 @@ def connected_groups(pairs: DataFrame, left: str, right: str, bfs_rounds: int =
     top = _both_ways(links).groupBy("v").count().orderBy(F.desc("count"), "v").limit(1).collect()
     if not top:
         return links.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
-    giant, rest = _peel(spark, scratch, links, top[0]["v"], bfs_rounds)
-    labels = _propagate(scratch, rest)
+    giant, stand_in, rest = _peel(spark, scratch, links, top[0]["v"], bfs_rounds)
+    labels = scratch.keep(_propagate(scratch, rest))
     # The vertex that stands for the peeled part may have been joined to a smaller one, or be the group's least itself.
-    alias = giant.agg(F.min("v").alias("stand_in"))
-    peeled = giant.crossJoin(F.broadcast(alias)).join(labels.withColumnRenamed("v", "stand_in"), "stand_in", "left").select("v", F.coalesce("label", "stand_in").alias("label"))
+    joined = labels.where(F.col("v") == stand_in).select("label").head()
+    peeled = giant.select("v", F.lit(joined["label"] if joined else stand_in).alias("label"))
     small = labels.join(giant, "v", "left_anti")
     return peeled.unionByName(small).select(F.col("v").alias("record_id"), F.col("label").alias("group_id"))
 
 
-def _peel(spark: SparkSession, scratch: Scratch, links: DataFrame, start: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """What breadth-first search reaches from ``start``, and the links of the rest with the reached part as one vertex."""
+def _peel(spark: SparkSession, scratch: Scratch, links: DataFrame, start: int, rounds: int) -> tuple[DataFrame, int, DataFrame]:
+    """What breadth-first search reaches from ``start``, its least vertex, and the links of the rest with that vertex for all of it."""
     seen = frontier = scratch.keep(spark.createDataFrame([(start,)], "v bigint"))
     for _ in range(rounds):
         new = scratch.keep(_both_ways(links).join(frontier, "v", "left_semi").select(F.col("w").alias("v")).distinct().join(seen, "v", "left_anti"))
@@ -65,7 +65,7 @@ def _peel(spark: SparkSession, scratch: Scratch, links: DataFrame, start: int, r
         marked = marked.join(seen.select(F.col("v").alias(side), F.lit(True).alias(f"in_{side}")), side, "left")
     left_over = marked.where(~(F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False))))
     rest = left_over.select(F.least(moved("a"), moved("b")).alias("a"), F.greatest(moved("a"), moved("b")).alias("b")).distinct()
-    return seen, scratch.keep(rest)
+    return seen, stand_in, scratch.keep(rest)
 
 
 def _propagate(scratch: Scratch, links: DataFrame) -> DataFrame:

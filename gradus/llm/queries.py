@@ -58,4 +58,9 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p5_found, p6_ids, p7_packed, p8_found, p8_redacted)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """WITH RECURSIVE l AS (
+        SELECT left_id AS a, right_id AS b FROM merge_pairs WHERE left_id <> right_id UNION SELECT right_id, left_id FROM merge_pairs WHERE left_id <> right_id
+    ), p AS (SELECT a, b FROM l UNION SELECT p.a, l.b FROM p JOIN l ON l.a = p.b)
+    SELECT a AS record_id, min(b) AS group_id FROM p GROUP BY a""",
+}
