@@ -74,10 +74,12 @@ def _persons(scratch: Scratch, spans: DataFrame) -> DataFrame:
     given = scratch.keep(second.groupBy("given").agg((F.count("s") / F.count("*")).alias("part")).where("part <= 0.3").select("given"))
     known = p.join(given.withColumn("good_given", F.lit(True)), "given", "left").join(patterns.withColumn("good_pattern", F.lit(True)), "pattern", "left")
     known = known.select("*", F.coalesce("good_given", F.lit(False)).alias("g"), F.coalesce("good_pattern", F.lit(False)).alias("h"))
-    families = known.groupBy("ending", "family").agg(F.count_if("g").alias("n"), F.count("*").alias("m"))
+    # Each context of a name counts once, however often its text is stored.
+    contexts = known.select("ending", "family", "given", "pattern", "initial", "g").distinct()
+    families = contexts.groupBy("ending", "family").agg(F.count_if("g").alias("n"), (F.count_if("initial") / F.count("*")).alias("part"))
     endings = families.where("n > 0").groupBy("ending").agg(F.count("*").alias("k")).where("k >= 3").select("ending")
-    # A family name is no given name and stands with given names, not with words of all kinds.
-    own = families.where("n > 0 or m <= 2").select("family").join(given.select(F.col("given").alias("family")), "family", "left_anti")
+    # A family name is no given name and stands with given names or initials, not with words of all kinds.
+    own = families.where("n > 0 or part > 0.3").select("family").join(given.select(F.col("given").alias("family")), "family", "left_anti")
     good = known.where("g or (initial and h)").join(endings, "ending", "left_semi").join(own, "family", "left_semi")
     return good.select("doc", "start", "end", "kind", "text")
 

@@ -59,6 +59,16 @@ def test_redaction_changes_nothing_else(found):
         assert r.text == before
 
 
+@pytest.mark.parametrize("copies", [1, 5])
+def test_initials_are_found_in_copies(spark, copies):
+    """A family name that stands with initials only is found however often its text is stored, and in other texts of its family."""
+    rows, _ = corpus()
+    rows += [(1000 + i, "Submitted by R. Branquist (SSN 912-41-1234).") for i in range(copies)] + [(2000 + i, f"Submitted by {x}. Kelmann (SSN 912-41-1234).") for i, x in enumerate("RTM")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.found_text) for r in pii.found_items(df, "doc_id", "text").where("kind = 'person' and doc_id >= 1000").collect()}
+    assert got == {(1000 + i, "R. Branquist") for i in range(copies)} | {(2000 + i, f"{x}. Kelmann") for i, x in enumerate("RTM")}
+
+
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.found_items(empty, "doc_id", "text").count() == 0 and pii.redact(empty, "doc_id", "text").count() == 0
