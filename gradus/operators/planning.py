@@ -4,17 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _forest(order: list[int], need: list[int], ratio: list[float]) -> tuple[list[int], list[int]]:
+    """The items of ``order`` with each behind all it needs, and for each place where those end that need its item.
+
+    An item is below the last placed of those it needs, and the items below one follow it at once. Otherwise larger ratios come first.
+    """
+    unlocks, missing = {i: [] for i in order}, {i: need[i].bit_count() for i in order}
+    for i in order:
+        n = need[i]
+        while n:
+            unlocks[(n & -n).bit_length() - 1].append(i)
+            n &= n - 1
+    first = lambda items: sorted(items, key=lambda i: -ratio[i])[::-1]
+    out, at, end = [], {}, [0] * len(order)
+    stack = [(i, False) for i in first([i for i in order if not missing[i]])]
+    while stack:
+        i, left = stack.pop()
+        if left:
+            end[at[i]] = len(out)
+            continue
+        at[i] = len(out)
+        out.append(i)
+        stack.append((i, True))
+        for j in unlocks[i]:
+            missing[j] -= 1
+        stack += [(j, False) for j in first([j for j in unlocks[i] if not missing[j]])]
+    return out, end
+
+
 def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple], budget: float, goal=None, most_steps: int = 200_000) -> tuple[bool, bool, float, list]:
     """Precedence-constrained knapsack by branch and bound: (feasible, optimal, best value, chosen ids).
 
-    An edge (u, v) means that v needs u. The goal, if given, must be chosen. Of equal values the first found counts, items
-    in the order of depth and id. After ``most_steps`` branches the best so far is given with optimal false. A budget
-    of 0 or less, or a goal that does not fit, is infeasible.
+    An edge (u, v) means that v needs u. The goal, if given, must be chosen. Items are tried in the order of value per cost,
+    each behind what it needs; of equal values the first found counts. The bound is the best choice of the items left if each
+    needed only one of those it needs, from a table over the budget; of states that differ only in what no item left needs, the most
+    valuable goes on. After ``most_steps`` branches the best so far is given with optimal false. A budget of 0 or less, or a
+    goal that does not fit, is infeasible.
     """
     if budget <= 0:
         return False, True, 0.0, []
@@ -44,35 +75,40 @@ def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple],
     spent = sum(costs[i] for i in range(len(ids)) if must >> i & 1)
     if spent > budget:
         return False, True, 0.0, []
-    ratio = sorted(order, key=lambda i: (-(values[i] / costs[i]) if costs[i] > 0 else float("-inf"), i))
-    rank = {i: k for k, i in enumerate(order)}
-    best, chosen, steps = -1.0, 0, 0
-
-    def bound(k: int, left: float) -> float:
-        """Value that the items from place k on could add if parts of them were allowed and nothing were needed first."""
-        total = 0.0
-        for i in ratio:
-            if rank[i] >= k and not must >> i & 1 and values[i] > 0:
-                if costs[i] <= left:
-                    total += values[i]
-                    left -= costs[i]
-                else:
-                    return total + values[i] * left / costs[i]
-        return total
-
+    ratio = [v / c if c > 0 else float("inf") for v, c in zip(values, costs, strict=True)]
+    open_ = [i for i in order if not must >> i & 1]
+    free, end = _forest(open_, [n & ~must for n in need], ratio)
+    # Costs rounded down to at most a thousand units of the budget: never less than what can be added.
+    unit = max(1.0, budget / 1000)
+    most = int((budget - spent) // unit)
+    bound = np.zeros((len(free) + 1, most + 1))
+    for k in range(len(free) - 1, -1, -1):
+        bound[k] = bound[end[k]]
+        c = max(0, int(costs[free[k]] // unit))
+        if c <= most:
+            np.maximum(bound[k, c:], bound[k + 1, : most + 1 - c] + values[free[k]], out=bound[k, c:])
+    last, needed = 0, [0] * (len(free) + 1)
+    for k in range(len(free) - 1, -1, -1):
+        last |= need[free[k]]
+        needed[k] = last
+    best, chosen, steps, seen = -1.0, 0, 0, {}
     stack = [(0, must, spent, sum(values[i] for i in range(len(ids)) if must >> i & 1))]
     while stack:
         k, taken, cost, value = stack.pop()
         steps += 1
-        if value > best:
+        if value > best + 1e-9:
             best, chosen = value, taken
         if steps > most_steps:
             break
-        if k == len(order) or value + bound(k, budget - cost) <= best:
+        if k == len(free) or value + bound[k, min(most, int((budget - cost) // unit))] <= best + 1e-9:
+            continue
+        state = (k, taken & needed[k], cost)
+        if seen.get(state, float("-inf")) >= value:
             continue
-        i = order[k]
-        stack.append((k + 1, taken, cost, value))
-        if not must >> i & 1 and need[i] & ~taken == 0 and cost + costs[i] <= budget:
+        seen[state] = value
+        i = free[k]
+        stack.append((end[k], taken, cost, value))
+        if need[i] & ~taken == 0 and cost + costs[i] <= budget:
             stack.append((k + 1, taken | 1 << i, cost + costs[i], value + values[i]))
     return True, steps <= most_steps, max(best, 0.0), [ids[i] for i in order if chosen >> i & 1]
 

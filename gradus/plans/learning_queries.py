@@ -178,7 +178,7 @@ def q_study_path(spark: SparkSession, d: str) -> DataFrame:
     items = v.select(F.col("cluster").alias("grp"), F.col("node").alias("id"), F.greatest("value", F.lit(1.0)).alias("value"), "cost")
     needs = e.join(c.select(F.col("node").alias("src"), F.col("cluster").alias("grp")), "src").join(c.select(F.col("node").alias("dst"), F.col("cluster").alias("g2")), "dst").where("grp = g2").select("grp", "src", "dst")
     budgets = items.select("grp").distinct().select("grp", F.lit(120).alias("budget"), F.lit(None).cast("string").alias("goal"))
-    return planning.knapsacks(items, needs, budgets, most_steps=20_000).select("grp", "feasible", "optimal", "best_value", F.size("chosen").alias("n_items"))
+    return planning.knapsacks(items, needs, budgets).select("grp", "feasible", "optimal", "best_value", F.size("chosen").alias("n_items"))
 
 
 def q_upsert(spark: SparkSession, d: str) -> DataFrame:

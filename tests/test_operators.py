@@ -178,6 +178,22 @@ def test_knapsack_equals_enumeration():
         assert planning.solve(list(range(n)), values, costs, need, budget)[2] == best
 
 
+def test_knapsack_of_some_hundred_items():
+    """Pairs of items, the second needing the first, against a table over the budget; within the default steps."""
+    import random
+
+    for seed in range(5):
+        rng = random.Random(seed)
+        n, budget = 400, 120
+        values, costs = [round(rng.randrange(10, 80) / 10, 1) for _ in range(n)], [float(rng.choice((10, 15, 20, 25, 30, 45))) for _ in range(n)]
+        best = [0.0] * (budget + 1)
+        for i in range(0, n, 2):
+            c1, c2 = int(costs[i]), int(costs[i] + costs[i + 1])
+            best = [max(best[b], best[b - c1] + values[i] if b >= c1 else 0, best[b - c2] + values[i] + values[i + 1] if b >= c2 else 0) for b in range(budget + 1)]
+        got = planning.solve(list(range(n)), values, costs, {(i, i + 1) for i in range(0, n, 2)}, budget)
+        assert got[:2] == (True, True) and got[2] == pytest.approx(best[budget])
+
+
 def test_memory_formulas(spark):
     assert one(spark, cx.retention(F.lit(0), F.lit(10))) == 1.0
     assert one(spark, cx.retention(F.lit(10), F.lit(10))) == pytest.approx(math.exp(-1))
