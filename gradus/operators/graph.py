@@ -173,11 +173,12 @@ def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 def graph_layer(features: DataFrame, edges: DataFrame, w_in: list[list[float]], w_out: list[list[float]], w_self: list[list[float]], bias: list[float]) -> DataFrame:
     """(node, h): one directed graph-convolution layer: ReLU of the means over in- and out-edges, the node itself and a bias.
 
-    ``features``: (node, x ARRAY<DOUBLE>). The weight matrices are small and become constants of the expression.
+    ``features``: (node, x ARRAY<DOUBLE>). The weight matrices are one constant each of the expression.
     """
 
     def times(w: list[list[float]], x: Column) -> Column:
-        return F.array(*(sum((F.lit(float(v)) * F.element_at(x, j + 1) for j, v in enumerate(row)), F.lit(0.0)) for row in w))
+        rows = F.lit([[float(v) for v in row] for row in w])
+        return F.transform(rows, lambda row: F.aggregate(F.zip_with(row, x, lambda v, y: v * y), F.lit(0.0), lambda total, y: total + y))
 
     dims = len(bias)
 

@@ -117,6 +117,16 @@ def q_dirgcn_layer(spark: SparkSession, d: str) -> DataFrame:
     return h.select("node", *(r6(F.element_at("h", i + 1)).alias(f"h{i}") for i in range(4)))
 
 
+def q_dirgcn_full(spark: SparkSession, d: str) -> DataFrame:
+    """The layer on all 64 numbers of every vector; the query above takes the four that its SQL takes."""
+    e = _acyclic(spark, d)
+    x = sq._vectors(spark, d).select(F.col("concept_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("x")).join(graph.nodes_of(e), "node", "left_semi")
+    return graph.graph_layer(x, e, *FULL_MATRICES, FULL_BIAS).select("node", F.transform("h", r6).alias("h"))
+
+
+#: Weights by a formula, as above: 64 rows and columns of -1 to 1.
+FULL_MATRICES = tuple([[((i * 64 + j) * m % 101 - 50) / 50 for j in range(64)] for i in range(64)] for m in (37, 29, 43))
+FULL_BIAS = [(i % 7 - 3) / 100 for i in range(64)]
 MATRICES = tuple([[round(((i * 4 + j) * m % 9 - 4) / 4, 2) for j in range(4)] for i in range(4)] for m in (5, 7, 4))
 
 
@@ -138,7 +148,7 @@ def _mat(w: list[list[float]], i: int, x: str) -> str:
     return " + ".join(f"{w[i][j]} * {x}[{j + 1}]" for j in range(4))
 
 
-QUERIES = {f.__name__: f for f in (q_threshold_split, q_closure, q_depth, q_roots, q_transitive_reduction, q_scc, q_cycle_prune, q_build_stats, q_audit, q_unlock_value, q_topo_order, q_components, q_communities, q_dirgcn_layer)}
+QUERIES = {f.__name__: f for f in (q_threshold_split, q_closure, q_depth, q_roots, q_transitive_reduction, q_scc, q_cycle_prune, q_build_stats, q_audit, q_unlock_value, q_topo_order, q_components, q_communities, q_dirgcn_layer, q_dirgcn_full)}
 SQL = {
     "q_threshold_split": f"WITH {_EDGES} SELECT CASE WHEN conf >= {TAU} THEN 'kept' ELSE 'dropped' END AS bucket, count(*) AS n, {_r('sum(conf)')} AS sum_conf FROM edges GROUP BY 1",
     "q_closure": f"WITH RECURSIVE {_EDGES} {_PATHS} SELECT src AS ancestor, dst AS descendant, hops AS depth FROM reach UNION ALL SELECT node, node, 0 FROM nodes",

@@ -276,3 +276,19 @@ def test_session_windows_stream(spark, tmp_path):
     stream = reviews.event_stream(spark, str(tmp_path / "events.parquet"), "*.parquet")
     got = reviews.run_to_end(reviews.sessions(stream), "sess", "complete", str(tmp_path / "ck"))
     assert sorted(r.n for r in got.collect()) == [1, 2]
+
+
+def test_whole_vectors_go_through_the_layer(spark):
+    import numpy as np
+    from gradus.plans import graph_queries as gq
+
+    d = "/root/testdata/sf0.001"
+    got = {r.node: np.array(r.h) for r in gq.q_dirgcn_full(spark, d).collect()}
+    e = [(r.src, r.dst) for r in gq._acyclic(spark, d).collect()]
+    x = {r.concept_id: np.array(r.embedding, dtype=float) for r in gq.sq._vectors(spark, d).collect()}
+    w_in, w_out, w_self = (np.array(m) for m in gq.FULL_MATRICES)
+    assert w_in.shape == (64, 64) and set(got) == {n for p in e for n in p}
+    for n, h in got.items():
+        before, after = [x[u] for u, v in e if v == n], [x[v] for u, v in e if u == n]
+        want = w_self @ x[n] + gq.FULL_BIAS + (w_in @ np.mean(before, axis=0) if before else 0) + (w_out @ np.mean(after, axis=0) if after else 0)
+        assert np.abs(h - np.maximum(want, 0)).max() < 2e-6
