@@ -1,16 +1,21 @@
 """Most similar vectors for every vector, by multi-probe p-stable hashing with exact distance reranking.
 
-Every vector, scaled to length 1, is hashed in several tables by Gaussian projections cut into cells. A vector is a
-member of its own cell in each table and visits, as a query, the cells that a change of its hash by -1 or +1 in a few
-places most probably leads to, in the order of estimated success (squared distance to the cell's border). Within a cell
-all similarities are exact, in double precision, and count for both vectors of a pair.
+Every vector, scaled to length 1, is hashed in several tables by Gaussian projections cut into cells. The projections are
+drawn within the leading principal directions of all vectors (their covariance is summed over every row): there, neighbours
+differ much less than other pairs do. A vector is a member of its own cell in each table and visits, as a query, the cells that
+changes of its hash by -1 or +1 lead to, in the order of the probability that a neighbour lies there: the product over the projections of the normal probability of the cell, for a neighbour as far away as the k-th best known so far. It stops
+when the visited cells hold a neighbour with the wished probability, so that vectors with close neighbours visit few cells.
+
+Cells of one hash prefix (a region) are compared in one call, which takes a query's vector once for all cells it visits there.
+A first pass compares vectors within regions, block by block, and gives each a lower bound of its k-th best similarity; the
+second visits the cells, where pairs below the bounds of both are dropped at once in single precision and the rest gets its
+similarity in double precision, which counts for both vectors of a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -19,66 +24,106 @@ from pyspark.sql import functions as F
 
 from gradus.session import Scratch
 
-#: Members, and queries, that one task compares at once; fuller cells are cut into blocks that meet each other all.
+#: Members, and queries, that one call compares at once; fuller regions are cut into blocks that meet each other all.
 BLOCK = 4096
+#: Vectors of a region that are compared for the first bounds; fuller regions are cut into parts of their own.
+FIRST = 4096
+#: A region holds only some of a vector's neighbours: the distance of its best of so many there stands for that of the k-th of all.
+SHARE = 3
+#: One of so many vectors, by a hash of its key, is hashed ahead to size the blocks; this plans the work and changes no result.
+AHEAD = 16
+#: Changes of a hash in one place.
+STEPS = np.array([-1, 0, 1])
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function, to seven places (Abramowitz and Stegun 7.1.26)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return np.where(x >= 0, 1 - tail / 2, tail / 2)
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """``tables`` hash tables of ``hashes`` projections with cells of ``width``; ``probes`` cells visited in each.
+    """``tables`` hash tables of ``hashes`` projections; in each, cells are visited until ``success`` or ``probes`` is reached.
 
-    The defaults reach a recall of 0.98 on neighbours at a cosine of about 0.5 among 57,000 vectors of 64 numbers.
-    More rows need more ``hashes`` and ``probes`` for the same share of pairs compared; ``for_rows`` raises them.
+    ``hashes`` 0 takes half the binary logarithm of the number of vectors, so that cells stay about as full while their number grows with
+    the root of the rows; ``probes`` 0 takes half of 2**hashes, at least 64. ``width`` is that of a cell in standard
+    deviations of the projected vectors.
     """
 
-    tables: int = 4
-    hashes: int = 4
-    width: float = 1.5
-    probes: int = 8
+    tables: int = 2
+    hashes: int = 0
+    width: float = 1.8
+    probes: int = 0
+    success: float = 0.85
     seed: int = 7
 
-    @staticmethod
-    def for_rows(rows: int) -> Hashing:
-        more = max(0, int(np.log10(max(rows, 1) / 100_000)))
-        return Hashing(tables=4 + more, hashes=4 + 2 * more, probes=8 * 4**more)
-
-    def projections(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        """(dims, tables * hashes) directions of length sqrt(dims), at right angles as far as they go, and the offsets."""
+    def fit(self, rows: int, mean: np.ndarray, covariance: np.ndarray) -> Tables:
+        """Tables for so many rows with this mean and covariance."""
+        dims = len(mean)
+        k = min(dims, self.hashes or max(1, round(np.log2(max(rows, 2)) / 2)))
+        value, vector = np.linalg.eigh(covariance)
+        lead, spread = vector[:, ::-1][:, :k], np.sqrt(max(value[::-1][:k].mean(), 1e-12))
         rng = np.random.default_rng(self.seed)
-        need = self.tables * self.hashes
-        parts = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-need // dims))]
-        return np.hstack(parts)[:, :need] * np.sqrt(dims), rng.uniform(0, self.width, need)
-
-    def changes(self) -> np.ndarray:
-        """Changes of a hash by -1 or +1 in up to three places."""
-        rows = [np.zeros(self.hashes, dtype=np.int64)]
-        for k in (1, 2, 3):
-            for places in combinations(range(self.hashes), k):
-                for signs in product((-1, 1), repeat=k):
-                    row = np.zeros(self.hashes, dtype=np.int64)
-                    row[list(places)] = signs
-                    rows.append(row)
-        return np.array(rows)
-
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables, probes) cell keys; the first of each table is the vector's own cell."""
-        a, b = self.projections(unit.shape[1])
-        rng = np.random.default_rng(self.seed + 1)
-        odd = rng.integers(1, 2**62, self.hashes, dtype=np.int64) | 1
-        changes = self.changes()
-        shift = changes @ odd
-        at = (unit @ a + b) / self.width
-        out = np.empty((len(unit), self.tables, self.probes), dtype=np.int64)
-        for t in range(self.tables):
-            y = at[:, t * self.hashes : (t + 1) * self.hashes]
-            low = np.floor(y)
-            frac = y - low
-            cost = (frac**2) @ (changes == -1).T.astype(float) + ((1 - frac) ** 2) @ (changes == 1).T.astype(float)
-            n = min(self.probes, len(changes))
-            order = np.argsort(cost, axis=1, kind="stable")[:, :n]
-            out[:, t, :n] = (low.astype(np.int64) @ odd)[:, None] + shift[order]
-            out[:, t, n:] = out[:, t, :1]
-        return out
+        width = self.width * spread
+        turns = [np.linalg.qr(rng.standard_normal((k, k)))[0] for _ in range(self.tables)]
+        offsets = [rng.uniform(0, width, k) - mean @ (lead @ turn) for turn in turns]
+        odd = rng.integers(1, 2**62, k, dtype=np.int64) | 1
+        return Tables([lead @ turn for turn in turns], offsets, width, self.probes or max(64, 2 ** (k - 1)), self.success, odd, max(1, k // 3))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Fitted projections. A cell is named by two numbers: its region (first ``prefix`` places of the hash) and the rest."""
+
+    projections: list[np.ndarray]
+    offsets: list[np.ndarray]
+    width: float
+    probes: int
+    success: float
+    odd: np.ndarray
+    prefix: int
+
+    def _places(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        y = (unit @ self.projections[t] + self.offsets[t]) / self.width
+        low = np.floor(y)
+        return low.astype(np.int64), y - low
+
+    def _names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = self.prefix
+        return places[..., :p] @ self.odd[:p], places[..., p:] @ self.odd[p:]
+
+    def own(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Region and cell of each vector in table ``t``."""
+        return self._names(self._places(unit, t)[0])
+
+    def visits(self, unit: np.ndarray, radius: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, region and cell of each visit in table ``t`` for neighbours at distance ``radius`` of each row, in order of row and region.
+
+        The most probable combinations of changes are built place by place: as the places are independent, the best
+        ``probes`` of all begin with some of the best ``probes`` of the places before.
+        """
+        low, at = self._places(unit, t)
+        n, k = low.shape
+        spread = (radius / np.sqrt(unit.shape[1]) / self.width)[:, None]
+        chance, change = np.ones((n, 1), dtype=np.float32), np.zeros((n, 1, k), dtype=np.int8)
+        for j in range(k):
+            edge = (np.append(STEPS, 2)[None, :] - at[:, j : j + 1]) / spread
+            here = np.diff(_normal(edge), axis=1).astype(np.float32)
+            both = (chance[:, :, None] * here[:, None, :]).reshape(n, -1)
+            most = min(self.probes, both.shape[1])
+            best = np.argpartition(-both, most - 1, axis=1)[:, :most]
+            chance = np.take_along_axis(both, best, 1)
+            change = np.take_along_axis(change, (best // len(STEPS))[:, :, None], 1)
+            change[:, :, j] = STEPS[best % len(STEPS)]
+        order = np.argsort(-chance, axis=1, kind="stable")
+        chance = np.take_along_axis(chance, order, 1)
+        row, col = np.nonzero(np.cumsum(chance, axis=1) - chance < self.success)
+        region, cell = self._names(low[row] + change[row, order[row, col]])
+        sort = np.lexsort((cell, region, row))
+        return row[sort], region[sort], cell[sort]
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -98,53 +143,105 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame
     return df.where(fine).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.min(v).alias("vec"))
 
 
-def _best(sims: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the at most k largest of each row, where they reach the row's floor."""
-    if sims.shape[1] > k:
-        col = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    else:
-        col = np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
-    row = np.repeat(np.arange(len(sims)), col.shape[1])
-    col = col.ravel()
-    good = sims[row, col] >= floor[row]
-    return row[good], col[good]
+def moments(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of all vectors (vec), scaled to length 1. Only dims * (dims + 1) sums come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((dims + 1, dims))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0), dims)
+                sums += np.vstack([x.T @ x, x.sum(axis=0)])
+        yield pa.record_batch([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["place", "value"])
+
+    rows = vectors.select("vec", F.lit(1)).mapInArrow(run, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    n = max(vectors.count(), 1)
+    sums = np.zeros((dims + 1) * dims)
+    for r in rows.collect():
+        sums[r["place"]] = r["value"]
+    sums = sums.reshape(dims + 1, dims) / n
+    return sums[-1], sums[:-1] - np.outer(sums[-1], sums[-1])
+
+
+def _kth(sims: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity where there are fewer."""
+    if sims.shape[1] < k:
+        return np.full(len(sims), -np.inf)
+    return -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+
+
+def _bound(dims: int, k: int):
+    """A lower bound of each vector's k-th best similarity, and a guess of it, from the other vectors of its part of a region."""
+
+    def run(part: pa.Table) -> pa.Table:
+        x = _matrix(part.column("vec"), dims).astype(np.float32)
+        out, guess = np.empty(len(x)), np.empty(len(x))
+        for i in range(0, len(x), 512):
+            sims = x[i : i + 512] @ x.T
+            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
+            out[i : i + 512] = _kth(sims, k) - 1e-5
+            guess[i : i + 512] = _kth(sims, -(-k // SHARE))
+        return pa.table({"id": part.column("id"), "floor": pa.array(out), "guess": pa.array(guess)})
+
+    return run
 
 
 FOUND = "id bigint, near bigint, sim double"
 
 
-def _compare(dims: int, k: int):
-    """Of a block of queries and a block of members: for each, the k most similar on the other side."""
+def _best_of(rows: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each row, equal similarity going to the smaller ``near``; a pair found twice counts once."""
+    order = np.lexsort((near, -sims, rows))
+    r, m = rows[order], near[order]
+    again = np.concatenate([[False], (r[1:] == r[:-1]) & (m[1:] == m[:-1])]) if len(r) else np.zeros(0, dtype=bool)
+    order, r = order[~again], r[~again]
+    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
+    return order[rank < k]
 
-    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        ids = [queries.column("q_id").to_numpy(), members.column("m_id").to_numpy()]
-        floors = [queries.column("q_floor").to_numpy(), members.column("m_floor").to_numpy()]
-        out: list[tuple] = []
-        if len(ids[0]) and len(ids[1]):
-            q, m = _matrix(queries.column("q_vec"), dims), _matrix(members.column("m_vec"), dims)
-            step = max(1, 4_000_000 // len(m))
-            for i in range(0, len(q), step):
-                sims = q[i : i + step] @ m.T
-                sims[ids[0][i : i + step, None] == ids[1][None, :]] = -np.inf
-                for s, a, b, f in ((sims, ids[0][i : i + step], ids[1], floors[0][i : i + step]), (sims.T, ids[1], ids[0][i : i + step], floors[1])):
-                    r, c = _best(s, f, k)
-                    keep = np.isfinite(s[r, c])
-                    out.append((a[r][keep], b[c][keep], s[r, c][keep]))
-        parts = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, dtype=d) for j, d in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table(dict(zip(("id", "near", "sim"), parts, strict=True)))
 
-    return run
+def _meet(dims: int, k: int):
+    """Of a block of queries and a block of members of one region: for each, the k most similar on the other side of the visited cells."""
 
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if queries.num_rows and members.num_rows:
+            ids = [queries.column("q_id").to_numpy(), members.column("m_id").to_numpy()]
+            floors = [queries.column("q_floor").to_numpy(), members.column("m_floor").to_numpy()]
+            exact = [_matrix(queries.column("q_vec"), dims), _matrix(members.column("m_vec"), dims)]
+            x, y = (e.astype(np.float32) for e in exact)
+            cells = pa.concat_arrays([c for c in queries.column("q_cells").chunks])
+            row = np.repeat(np.arange(len(x)), np.diff(cells.offsets.to_numpy()))
+            visited = cells.flatten().to_numpy()
+            own = members.column("m_cell").to_numpy()
+            left, right = np.argsort(visited, kind="stable"), np.argsort(own, kind="stable")
+            names, first, count = np.unique(own[right], return_index=True, return_counts=True)
+            lo, hi = np.searchsorted(visited[left], names), np.searchsorted(visited[left], names, side="right")
+            parts: list[tuple] = []
+            for at, n, a, b in zip(first, count, lo, hi, strict=True):
+                m = right[at : at + n]
+                for s in range(a, b, BLOCK):
+                    q = row[left[s : min(s + BLOCK, b)]]
+                    sims = x[q] @ y[m].T
+                    sims[ids[0][q, None] == ids[1][None, m]] = -np.inf
+                    if len(m) > 4 * k or len(q) > 4 * k:  # what k others of the same cell exceed cannot be among the best
+                        good = (sims >= np.maximum(floors[0][q], _kth(sims, k) - 1e-5)[:, None]) | (sims >= np.maximum(floors[1][m], _kth(sims.T, k) - 1e-5)[None, :])
+                    else:
+                        good = (sims >= floors[0][q, None]) | (sims >= floors[1][None, m])
+                    i, j = np.nonzero(good & np.isfinite(sims))
+                    parts.append((q[i], m[j]))
+            if parts:
+                i, j = (np.concatenate(p) for p in zip(*parts, strict=True))
+                sim = np.einsum("ij,ij->i", exact[0][i], exact[1][j])
+                both = []
+                for near, mine, other in ((ids[1][j], i, 0), (ids[0][i], j, 1)):
+                    keep = np.flatnonzero(sim >= floors[other][mine])
+                    keep = keep[_best_of(mine[keep], near[keep], sim[keep], k)]
+                    both.append((ids[other][mine[keep]], near[keep], sim[keep]))
+                out = [np.concatenate(c) for c in zip(*both, strict=True)]
+        return pa.table(dict(zip(("id", "near", "sim"), out, strict=True)))
 
-def _visit(vectors: DataFrame, visits: DataFrame, members: DataFrame, dims: int, k: int) -> DataFrame:
-    """Similar pairs from the cells: each block of a cell's queries meets each block of its members."""
-    blocks = lambda df, name: df.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    parts = blocks(members, "m_parts").join(blocks(visits, "q_parts"), ["tab", "cell"])
-    q = visits.join(parts, ["tab", "cell"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), "q_parts")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m_parts") - 1)))
-    m = members.join(parts, ["tab", "cell"]).withColumn("m", F.pmod(F.xxhash64("id", F.lit(2)), "m_parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_parts") - 1)))
-    keys = ["tab", "cell", "q", "m"]
-    q, m = (x.join(vectors, "id").select([F.col(c).alias(f"{side}_{c}") for c in (*keys, "id", "vec", "floor")]) for side, x in (("q", q), ("m", m)))
-    return q.groupBy(*(f"q_{c}" for c in keys)).cogroup(m.groupBy(*(f"m_{c}" for c in keys))).applyInArrow(_compare(dims, k), FOUND)
+    return run
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -152,6 +249,84 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("id", "near").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _mapped(df: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict], dims: int, kind: str, carried: bool = True) -> DataFrame:
+    """Of each batch (id, floor, guess, vec) the rows that ``make`` gives for its matrix and guesses; ``carried``: with id, floor and vec of the row named in column row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                made = make(_matrix(part.column(3), dims), part.column(2).to_numpy())
+                row = made.pop("row")
+                own = [part.column(c).take(pa.array(row)) for c in (0, 1, 3)] if carried else []
+                names = ["id", "floor", "vec"] if carried else []
+                yield pa.record_batch([*own, *made.values()], names=[*names, *made])
+
+    return df.select("id", "floor", "guess", "vec").mapInArrow(run, ("id bigint, floor double, vec array<float>, " if carried else "") + kind)
+
+
+def _members(tables: Tables, t: int) -> Callable:
+    def make(unit: np.ndarray, guess: np.ndarray) -> dict:
+        region, cell = tables.own(unit, t)
+        return {"row": np.arange(len(unit)), "tab": pa.array(np.full(len(unit), t, np.int32)), "region": pa.array(region), "cell": pa.array(cell)}
+
+    return make
+
+
+def _queries(tables: Tables, t: int) -> Callable:
+    """One row for each region that a vector visits, with the cells it visits there."""
+
+    def make(unit: np.ndarray, guess: np.ndarray) -> dict:
+        radius = np.sqrt(np.clip(2 - 2 * guess, 1e-6, 2.0))
+        row, region, cell = tables.visits(unit, radius, t)
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (region[1:] != region[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(cell))
+        return {"row": row[start], "tab": pa.array(np.full(len(start), t, np.int32)), "region": pa.array(region[start]), "cells": lists}
+
+    return make
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _crowded(rows: DataFrame, times: int, block: int, name: str) -> DataFrame:
+    """(tab, region, <name>): the regions with more than a block of rows, and how many blocks; few, as each stands for thousands of rows."""
+    return rows.groupBy("tab", "region").count().where(F.col("count") * times > block).select("tab", "region", F.ceil(F.col("count") * times / block).alias(name))
+
+
+def _first_bounds(scratch: Scratch, known: DataFrame, tables: Tables, dims: int, k: int) -> DataFrame:
+    """(id, floor, guess): the best bound and guess from the parts of regions that a vector shares."""
+    placed = _union([_mapped(known, _members(tables, t), dims, "tab int, region bigint, cell bigint") for t in range(len(tables.projections))])
+    parts = scratch.keep(_crowded(placed, 1, FIRST, "parts"))
+    cut = placed.join(parts, ["tab", "region"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    bounds = cut.select("tab", "region", "part", "id", "vec").groupBy("tab", "region", "part").applyInArrow(_bound(dims, k), "id bigint, floor double, guess double")
+    return bounds.groupBy("id").agg(F.max("floor").alias("floor"), F.max("guess").alias("guess"))
+
+
+def _visited(scratch: Scratch, known: DataFrame, tables: Tables, dims: int, k: int) -> DataFrame:
+    """(id, near, sim) from the visited cells: each block of a region's queries meets each block of its members."""
+    each = range(len(tables.projections))
+    members = _union([_mapped(known, _members(tables, t), dims, "tab int, region bigint, cell bigint") for t in each])
+    queries = _union([_mapped(known, _queries(tables, t), dims, "tab int, region bigint, cells array<bigint>") for t in each])
+    ahead = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(AHEAD)) == 0)
+    ahead = _union([_mapped(ahead, _queries(tables, t), dims, "tab int, region bigint, cells array<bigint>", carried=False) for t in each])
+    parts = _crowded(members, 1, BLOCK, "m_parts").join(_crowded(ahead, AHEAD, 4 * BLOCK, "q_parts"), ["tab", "region"], "full")
+    parts = scratch.keep(parts.select("tab", "region", *(F.coalesce(c, F.lit(1).cast("bigint")).alias(c) for c in ("m_parts", "q_parts"))))
+
+    def blocks(df: DataFrame, mine: str, other: str, seed: int) -> DataFrame:
+        out = df.join(parts, ["tab", "region"], "left").withColumn(mine, F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(f"{mine}_parts", F.lit(1))))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"{other}_parts", F.lit(1).cast("bigint")) - 1)))
+
+    keys = ["tab", "region", "q", "m"]
+    q = blocks(queries, "q", "m", 1).select(*(F.col(c).alias(f"q_{c}") for c in (*keys, "id", "floor", "vec", "cells")))
+    m = blocks(members, "m", "q", 2).select(*(F.col(c).alias(f"m_{c}") for c in (*keys, "id", "floor", "vec", "cell")))
+    return q.groupBy(*(f"q_{c}" for c in keys)).cogroup(m.groupBy(*(f"m_{c}" for c in keys))).applyInArrow(_meet(dims, k), FOUND)
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, hashing: Hashing | None = None) -> DataFrame:
     """(id, near, sim, rank): the k most similar others of every usable vector by cosine; ties go to the smaller key.
 
@@ -163,31 +338,20 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, h
     scratch = Scratch(df.sparkSession, "neighbours")
     usable = scratch.keep(usable_vectors(df, key, vector, dims))
     classes = scratch.keep(usable.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    hashing = hashing or Hashing.for_rows(classes.count())
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = hashing.cells(_matrix(batch.column(1), dims))
-            n = hashing.tables * hashing.probes
-            ids = np.repeat(batch.column(0).to_numpy(), n)
-            tab = np.tile(np.repeat(np.arange(hashing.tables, dtype=np.int32), hashing.probes), batch.num_rows)
-            own = np.tile(np.arange(hashing.probes) == 0, batch.num_rows * hashing.tables)
-            yield pa.record_batch([pa.array(ids), pa.array(tab), pa.array(cells.ravel()), pa.array(own)], names=["id", "tab", "cell", "own"])
-
-    placed = scratch.keep(classes.select("id", "vec").mapInArrow(hashed, "id bigint, tab int, cell bigint, own boolean"))
-    members = placed.where("own").select("tab", "cell", "id")
-    none = classes.select("id", "vec", F.lit(float("-inf")).alias("floor"))
-    first = scratch.keep(_visit(none, members, members, dims, k))
-    floor = _top(first, k).groupBy("id").agg(F.when(F.count("*") == k, F.min("sim")).alias("floor"))
-    known = scratch.keep(classes.select("id", "vec").join(floor, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
-    visits = placed.where("not own").select("tab", "cell", "id").distinct()
-    further = _visit(known, visits, members, dims, k)
-    near = scratch.keep(_top(first.unionByName(further), k).select("id", "near", "sim"))
+    tables = (hashing or Hashing()).fit(classes.count(), *moments(classes, dims))
+    none = F.lit(float("-inf"))
+    known = spread(classes.select("id", none.alias("floor"), none.alias("guess"), "vec"))
+    floor = _first_bounds(scratch, known, tables, dims, k)
+    known = scratch.keep(classes.select("id", "vec").join(floor, "id", "left").select("id", F.coalesce("floor", none).alias("floor"), F.coalesce("guess", none).alias("guess"), "vec"))
+    near = scratch.keep(_top(_visited(scratch, spread(known), tables, dims, k), k).select("id", "near", "sim"))
     return _expand(scratch, usable, classes, near, k)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores: a small file is one partition, and a few bytes of vectors are much work."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
+
+
 def _expand(scratch: Scratch, usable: DataFrame, classes: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """From classes of equal vectors to their members; of a class only its k + 1 smallest keys can be among k nearest."""
     several = classes.where("n > 1").select("vec", F.col("id").alias("rep"))
