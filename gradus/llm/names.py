@@ -44,7 +44,7 @@ def fold(text: str) -> list[str]:
 
 
 def singular(t: str) -> str:
-    for end, new in (("ities", "ity"), ("ies", "y"), ("omata", "omaton"), ("ices", "ex"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("isation", "ization")):
+    for end, new in (("ities", "ity"), ("ies", "y"), ("omata", "omaton"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("isation", "ization")):
         if t.endswith(end) and len(t) > len(end) + 2:
             return t[: -len(end)] + new
     return t[:-1] if t.endswith("s") and not t.endswith("ss") and len(t) > 4 else t

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gradus.session import Scratch
 
 #: Members, and queries, that one call compares at once; fuller regions are cut into blocks that meet each other all.
-BLOCK = 4096
+BLOCK = 16_384
 #: Vectors of a region that are compared for the first bounds; fuller regions are cut into parts of their own.
 FIRST = 4096
 #: A region holds only some of a vector's neighbours: the distance of its best of so many there stands for that of the k-th of all.
@@ -220,8 +220,8 @@ def _meet(dims: int, k: int):
             parts: list[tuple] = []
             for at, n, a, b in zip(first, count, lo, hi, strict=True):
                 m = right[at : at + n]
-                for s in range(a, b, BLOCK):
-                    q = row[left[s : min(s + BLOCK, b)]]
+                for s in range(a, b, 4096):
+                    q = row[left[s : min(s + 4096, b)]]
                     sims = x[q] @ y[m].T
                     sims[ids[0][q, None] == ids[1][None, m]] = -np.inf
                     if len(m) > 4 * k or len(q) > 4 * k:  # what k others of the same cell exceed cannot be among the best

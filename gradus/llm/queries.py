@@ -30,11 +30,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_pairs(*overlap.split_overlaps(table(spark, d, "gold_pairs"), table(spark, d, "concepts"), "canonical_name"))
+    return overlap.overlap_pairs(*overlap.split_overlaps(table(spark, d, "gold_pairs")))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(*overlap.split_overlaps(table(spark, d, "gold_pairs"), table(spark, d, "concepts"), "canonical_name"))
+    return overlap.overlap_report(*overlap.split_overlaps(table(spark, d, "gold_pairs")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
