@@ -1,27 +1,29 @@
 """Mapping freely typed names to a canonical list.
 
-Each distinct typed token is joined to the tokens of the list by keys that spellings within a few edits share, and keeps
-the tokens it may stand for. A typed name then stands for the complete entries that its corrected tokens make up; of
-several, the one with the highest soft TF-IDF similarity. What is joined or torn into other words ("drol hamongraph")
-is repaired the same way, with the whole name as one token. A name with a token left over stands for no entry.
+Each distinct typed token is joined to the tokens of the list by keys that all spellings within its edit distance share, and
+keeps the tokens it may stand for. Typed names meet entries by the corrected tokens of their rarest word, and each pair is
+scored by soft TF-IDF: the sum, over the words of the name, of similarity times the weights of word and token in the
+normalised vectors of both. The best entry is kept if it is complete, that is if each of its tokens has a word of its own and no
+word is left over. What is joined or torn into other words ("drol hamongraph") is repaired and scored as a name of one token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.names import FILLERS, distance, entry_keys, fold, similarity, typed_keys
+from gradus.llm.names import FILLERS, distance, edit_keys, entry_keys, fold, similarity, typed_keys
 from gradus.session import Scratch
 
-#: Similarity below the best one of a token at which another correction is still tried.
+#: A token stands for the tokens of the list that are this much less similar than its best one, at most.
 MARGIN = 0.12
-#: Tokens that a typed name may have beyond those of the longest entry.
-SLACK = 6
+#: Least soft TF-IDF similarity of a name and the entry it stands for.
+LEAST = 0.5
+#: Edits, and least letters, of names compared as one token; shorter ones must be equal.
+WHOLE_EDITS, WHOLE_LETTERS = 2, 9
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -75,10 +77,11 @@ def content_words(tokens: str) -> Column:
 def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(typed, token, sim): for each distinct typed token, the tokens of the vocabulary that it may stand for.
 
-    A token of the vocabulary stands for itself alone. Of others, all within ``MARGIN`` of the most similar one.
+    A token of the vocabulary stands for itself alone. Of others, all within ``MARGIN`` of the most similar one: what is much less
+    alike is another word.
     """
     same = typed.join(vocabulary, F.col("typed") == F.col("token"), "left_semi").select("typed", F.col("typed").alias("token"), F.lit(1.0).alias("sim"))
-    other = typed.join(vocabulary, F.col("typed") == F.col("token"), "left_anti").where(F.length("typed").between(2, 40))
+    other = typed.join(vocabulary, F.col("typed") == F.col("token"), "left_anti")
     pairs = _keyed(other, "typed", typed_keys).join(_keyed(vocabulary.select("token"), "token", entry_keys), "key").select("typed", "token")
     pairs = _spread(pairs, "typed", "token")
     best = Window.partitionBy("typed")
@@ -86,65 +89,97 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures that the corrected tokens of a name make up, with their soft TF-IDF similarity to the name."""
+def _covered(words: int, links: list[tuple[int, int]], tokens: int) -> bool:
+    """Whether each token can have a word of its own among the words it is linked to (by augmenting paths)."""
+    by_token: dict[int, list[int]] = {}
+    for w, t in links:
+        by_token.setdefault(t, []).append(w)
+    holder: dict[int, int] = {}
+
+    def place(t: int, seen: set[int]) -> bool:
+        for w in by_token.get(t, ()):
+            if w not in seen:
+                seen.add(w)
+                if w not in holder or place(holder[w], seen):
+                    holder[w] = t
+                    return True
+        return False
+
+    return tokens <= words and all(place(t, set()) for t in range(tokens))
+
+
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (name, sign, score) whose entry is covered: each of its tokens by a word of its own."""
     for batch in batches:
-        names, signs, scores = [], [], []
-        for name, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            choices = []
-            for slot in slots:
-                options = [(o["token"], o["sim"], o["idf"]) for o in slot["options"] or [] if o["token"] is not None]
-                if slot["typed"] in FILLERS and not any(s == 1 for _, s, _ in options):
-                    options = [(None, 0, 0)]
-                elif len(slot["typed"]) <= 3 and all(s < 1 for _, s, _ in options):
-                    options.append((None, 0, 1.0))
-                choices.append(options)
-            for combination in product(*choices) if all(choices) else ():
-                weight = sum(i for _, _, i in combination)
-                tokens = sorted({t for t, _, _ in combination if t})
-                if tokens and weight:
-                    names.append(name)
-                    signs.append(" ".join(tokens))
-                    scores.append(sum(s * i for _, s, i in combination) / weight)
-        yield pa.record_batch([pa.array(names, type=pa.string()), pa.array(signs, type=pa.string()), pa.array(scores, type=pa.float64())], names=["name", "sign", "score"])
-
-
-def _segments(n: int) -> list[tuple[int, int]]:
-    third = n // 3
-    return [(0, third), (third, third), (2 * third, n - 2 * third)]
-
-
-def _whole_keys(is_entry: bool):
-    """Keys of whole names without spaces: two names within two edits share one of three segments, shifted by two at most."""
+        good = []
+        for hits, tokens in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            place = {t: i for i, t in enumerate(tokens)}
+            good.append(_covered(len({h["pos"] for h in hits}), [(h["pos"], place[h["token"]]) for h in hits], len(tokens)))
+        yield batch.select(["name", "sign", "score"]).filter(pa.array(good, type=pa.bool_()))
+
 
+def _by_words(scratch: Scratch, names: DataFrame, listed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(name, sign, score): the complete entries of each name, with their soft TF-IDF similarity.
+
+    A word must be matched unless it is a filler that is no token of the list, or has at most three letters and is
+    none. As every other word of a name needs a token of the entry, the entries that hold a correction of its rarest
+    one are all that can be complete; so a name meets no more entries than its rarest word has, and none is lost.
+    """
+    slots = names.select("name", F.posexplode("tokens").alias("pos", "typed"))
+    repairs = scratch.keep(repair_tokens(slots.select("typed").distinct(), vocabulary))
+    weighed = repairs.join(vocabulary, "token").groupBy("typed").agg(F.max("sim").alias("best"), F.max_by("idf", F.struct("sim", "token")).alias("w"), F.sum("n").alias("cost"))
+    own = slots.join(weighed, "typed", "left")
+    exact = F.coalesce(F.col("best") == 1, F.lit(False))
+    own = own.withColumn("free", ~exact & (F.col("typed").isin(*FILLERS) | (F.length("typed") <= 3)))
+    own = own.withColumn("w", F.when(F.col("typed").isin(*FILLERS) & ~exact, 0.0).otherwise(F.coalesce("w", F.lit(1.0))))
+    own = scratch.keep(own.select("name", "pos", "typed", "free", "w", "cost"))
+    whole = own.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.count_if(~F.col("free")).alias("must"), F.bool_or(~F.col("free") & F.col("cost").isNull()).alias("lost"))
+    whole = scratch.keep(whole.where("not lost and length > 0").drop("lost"))
+    least = own.where("not free").groupBy("name").agg(F.min_by("typed", F.struct("cost", "pos")).alias("typed"))
+    # Names of short words only have no word that must match, and meet the entries of all of them.
+    asked = least.unionByName(own.join(whole.where("must = 0"), "name", "left_semi").select("name", "typed")).join(whole, "name", "left_semi")
+    postings = listed.select("sign", F.size("words").alias("size"), F.explode("words").alias("token")).distinct()
+    pairs = asked.join(repairs, "typed").join(postings, "token").select("name", "sign").distinct()
+    entries = listed.select("sign", "words").distinct()
+    lengths = postings.join(vocabulary, "token").groupBy("sign").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    hits = pairs.join(own.select("name", "pos", "typed", "free", "w"), "name").join(repairs, "typed").join(postings.select("sign", "token"), ["sign", "token"]).join(vocabulary.select("token", "idf"), "token")
+    part = hits.groupBy("name", "sign", "pos").agg(F.max(F.col("sim") * F.col("w") * F.col("idf")).alias("part"), F.first("free").alias("free"), F.collect_set("token").alias("tokens"))
+    links = F.flatten(F.collect_list(F.transform("tokens", lambda t: F.struct(F.col("pos").alias("pos"), t.alias("token")))))
+    scored = part.groupBy("name", "sign").agg(F.sum("part").alias("dot"), F.count_if(~F.col("free")).alias("n"), links.alias("hits"))
+    scored = scored.join(whole, "name").where("n = must").join(lengths, "sign").withColumn("score", F.col("dot") / (F.col("length") * F.col("norm")))
+    scored = scored.where(F.col("score") >= LEAST).join(entries, "sign").select("name", "sign", "score", "hits", "words")
+    return scratch.keep(scored.mapInArrow(_complete, "name string, sign string, score double"))
+
+
+def _whole_keys(listed: bool):
     def keys(s: str) -> Iterator[tuple[str, str]]:
-        if len(s) < 9:
-            return
-        for n in (len(s),) if is_entry else range(max(9, len(s) - 2), len(s) + 3):
-            for k, (at, size) in enumerate(_segments(n)):
-                for a in (at,) if is_entry else range(max(0, at - 2), min(len(s) - size, at + 2) + 1):
-                    yield f"{k}.{n}.", s[a : a + size]
+        for x in edit_keys(s, WHOLE_EDITS if len(s) >= WHOLE_LETTERS else 0, listed):
+            yield "w", x
 
     return keys
 
 
 def _whole(rest: DataFrame, entries: DataFrame) -> DataFrame:
-    """(name, sign, score) by the name as one token, for names that the token-wise repair left over."""
+    """(name, sign, score) by the name as one token, for names that the word-wise repair left over.
+
+    The vectors of both have one token of weight 1, so their soft TF-IDF is its similarity: one less the edits by length.
+    """
     squash, plain = F.array_join(content_words("tokens"), ""), F.array_join("tokens", "")
     infix = F.regexp_replace(plain, "of", "")
-    typed = rest.select("name", F.explode(F.array_distinct(F.array(squash, plain, infix))).alias("w")).where(F.length("w").between(9, 200))
+    typed = rest.select("name", F.explode(F.array_distinct(F.array(squash, plain, infix))).alias("w")).where("w <> ''")
     known = entries.select("sign", plain.alias("v")).distinct()
     pairs = _keyed(typed.select("w").distinct(), "w", _whole_keys(False)).join(_keyed(known.select("v").distinct(), "v", _whole_keys(True)), "key").select("w", "v")
     # Spark's own edit distance first: it has no swaps, which it counts as two.
-    near = _spread(pairs.where(F.levenshtein("w", "v", 4).between(0, 4)), "w", "v")
+    near = _spread(pairs.where(F.levenshtein("w", "v", 2 * WHOLE_EDITS) >= 0), "w", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [distance(a, b, 2) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            d = [distance(a, b, WHOLE_EDITS) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d, type=pa.int32())], names=["w", "v", "d"])
 
-    near = near.mapInArrow(run, "w string, v string, d int").where("d <= 2")
-    return typed.join(near, "w").join(known, "v").select("name", "sign", (F.lit(0.7) - 0.1 * F.col("d")).alias("score"))
+    near = near.mapInArrow(run, "w string, v string, d int").where(F.col("d") <= F.when(F.least(F.length("w"), F.length("v")) >= WHOLE_LETTERS, WHOLE_EDITS).otherwise(0))
+    sim = 1 - F.col("d") / F.greatest(F.length("w"), F.length("v"))
+    return typed.join(near, "w").join(known, "v").groupBy("name", "sign").agg(F.max(sim).alias("score")).where(F.col("score") >= LEAST)
 
 
 def match_names(typed: DataFrame, column: str, entries: DataFrame, entry: str) -> DataFrame:
@@ -152,27 +187,20 @@ def match_names(typed: DataFrame, column: str, entries: DataFrame, entry: str) -
 
     Order of the words, letter case, accents, separators, fillers, plural forms, abbreviations and up to two or three
     edits in a word make no difference; a word that is none of an entry's words does. Null and empty names stand for
-    none; repeated names count once; an empty list matches nothing. Entries of equal words (order apart) are told apart by the
-    edit distance to the name, then by the smaller text.
+    none; repeated names count once; an empty list matches nothing. Words and names of any length are compared. Entries of equal
+    score (equal words, order apart) are told apart by the edit distance to the name, then by the smaller text.
     """
     scratch = Scratch(typed.sparkSession, "names")
     listed = _folded(entries, entry).where(F.size("tokens") > 0).select("name", content_words("tokens").alias("tokens"))
-    listed = scratch.keep(listed.withColumn("sign", F.array_join(F.array_sort(F.array_distinct("tokens")), " ")))
+    listed = listed.withColumn("words", F.array_sort(F.array_distinct("tokens")))
+    listed = scratch.keep(listed.withColumn("sign", F.array_join("words", " ")))
     names = scratch.keep(_folded(typed, column).where(F.size("tokens") > 0))
     total = listed.count()
-    longest = listed.agg(F.max(F.size("tokens"))).collect()[0][0] or 0
-    vocabulary = scratch.keep(listed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count().select("token", F.log(1 + F.lit(total) / F.col("count")).alias("idf")))
-    # A name with many more words than any entry has one left over in every case.
-    short = names.where(F.size(content_words("tokens")) <= longest + SLACK)
-    slots = short.select("name", F.posexplode("tokens").alias("pos", "typed"))
-    repairs = scratch.keep(repair_tokens(slots.select("typed").distinct(), vocabulary).join(vocabulary, "token").select("typed", F.struct("token", "sim", "idf").alias("o")))
-    options = repairs.groupBy("typed").agg(F.sort_array(F.collect_list("o")).alias("options"))
-    held = slots.join(options, "typed", "left").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "typed", "options"))).alias("slots"))
-    made = held.mapInArrow(_combined, "name string, sign string, score double")
-    by_token = scratch.keep(made.join(listed.select("sign").distinct(), "sign").groupBy("name", "sign").agg(F.max("score").alias("score")))
-    rest = short.join(by_token, "name", "left_anti")
-    found = by_token.unionByName(_whole(rest, listed))
-    found = found.join(listed.select("sign", F.col("name").alias("entry")), "sign")
+    vocabulary = listed.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    vocabulary = scratch.keep(vocabulary.select("token", "n", F.log(1 + F.lit(total) / F.col("n")).alias("idf")))
+    by_words = _by_words(scratch, names, listed, vocabulary)
+    rest = names.join(by_words, "name", "left_anti")
+    found = by_words.unionByName(_whole(rest, listed)).join(listed.select("sign", F.col("name").alias("entry")), "sign")
     order = Window.partitionBy("name").orderBy(F.desc(F.round("score", 6)), F.levenshtein(F.lower("name"), F.lower("entry")), "entry")
     return found.withColumn("r", F.row_number().over(order)).where("r = 1").select("name", "entry", "score")
 

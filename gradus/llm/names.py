@@ -102,9 +102,33 @@ def _allowed(n: int) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 11 else 3
 
 
-def _common(t: str) -> Iterator[tuple[str, str]]:
+#: Tokens up to this length are matched by what is left after deletions, longer ones by pieces, of which some stay whole.
+SHORT = 20
+
+
+def edit_keys(s: str, edits: int, listed: bool) -> Iterator[str]:
+    """Keys such that a typed and a listed text within ``edits`` edits (swaps of neighbours too) share one.
+
+    Deletions: after as many edits as there are, two texts still have a common rest that lacks so many letters of each.
+    Pieces, for long texts: an edit spoils two pieces at most (a swap across a border), so one of 2 * edits + 1 stays whole,
+    moved by no more than the edits. Lengths between the two ways are listed both ways.
+    """
+    n = len(s)
+    if n <= SHORT or listed and n <= SHORT + edits:
+        yield from _dropped(s, edits)
+    if n <= SHORT - edits or n <= SHORT and not listed:
+        return
+    for m in (n,) if listed else range(n - edits, n + edits + 1):
+        size = m // (2 * edits + 1)
+        for k in range(2 * edits + 1):
+            at, end = k * size, m if k == 2 * edits else (k + 1) * size
+            for a in (at,) if listed else range(max(0, at - edits), min(n - (end - at), at + edits) + 1):
+                yield f"{k}.{m}.{s[a : a + end - at]}"
+
+
+def _common(t: str, listed: bool) -> Iterator[tuple[str, str]]:
     for s in {t, singular(t)}:
-        for x in _dropped(s, min(2, _allowed(len(s)))):
+        for x in edit_keys(s, _allowed(len(t)), listed):
             yield "e", x
     for kind, f in (("o", scanned), ("s", sounded)):
         for x in _dropped(f(singular(t)), min(1, _allowed(len(t)))):
@@ -113,7 +137,7 @@ def _common(t: str) -> Iterator[tuple[str, str]]:
 
 def entry_keys(v: str) -> Iterable[tuple[str, str]]:
     """Keys of a token of the reference list."""
-    yield from _common(v)
+    yield from _common(v, True)
     for n in range(3, len(v)):
         for x in _dropped(v[:n], int(n >= 5)):
             yield "p", x
@@ -123,7 +147,7 @@ def entry_keys(v: str) -> Iterable[tuple[str, str]]:
 
 def typed_keys(t: str) -> Iterable[tuple[str, str]]:
     """Keys of a typed token: it shares one with every token of the list that ``similarity`` finds like it."""
-    yield from _common(t)
+    yield from _common(t, False)
     for x in _dropped(t, int(len(t) >= 5)) if len(t) >= 3 else ():
         yield "p", x
     if _clipped(t):
