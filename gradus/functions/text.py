@@ -15,13 +15,30 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 AMOUNT_WORDS = ("to", "and", "or", "per", "percent", "percentage", "approx", "approximately")
 #: Headings and labels of course pages that are no concepts.
 PAGE_WORDS = (
-    "abstract", "acknowledgements", "answers", "appendix", "assignment", "assignments", "bibliography", "conclusion", "contents", "course", "definition", "discussion", "example", "examples", "exercise",
-    "exercises", "exam", "figure", "glossary", "grading", "homework", "index", "instructor", "introduction", "keywords", "lab", "lecture", "lecture notes", "midterm", "module", "notes", "objectives",
-    "office hours", "outcomes", "outline", "overview", "prerequisites", "preface", "problem", "problems", "project", "questions", "quiz", "readings", "references", "results", "review", "schedule",
-    "section", "solution", "solutions", "summary", "syllabus", "table of contents", "textbook", "topic", "topics", "unit", "week",
+    "questions", "question", "exercises", "exercise", "problems", "problem",
+    "homework", "assignment", "assignments", "syllabus", "curriculum",
+    "prerequisites", "prerequisite", "references", "reference", "bibliography",
+    "readings", "reading", "schedule", "grading", "exam", "exams", "midterm",
+    "final", "chapter", "section", "part", "module", "unit", "lecture",
+    "lectures", "lab", "labs", "tutorial", "tutorials", "course overview",
+    "overview", "course description", "description", "introduction",
+    "conclusion", "appendix", "index", "glossary", "summary", "review",
+    "objectives", "learning objectives", "table of contents", "contents",
+    "notes", "further reading", "see also", "external links", "difficulty",
+    "study", "types", "some fields",
+)
+#: Words that make a phrase in capitals a heading, and words that do so before a number or letter.
+PAGE_STEMS = ("question", "problem", "exercise", "chapter", "section", "module", "lecture", "syllabus", "exam")
+NUMBERED = ("chapter", "section", "part", "module", "unit", "lecture", "lab", "assignment", "question", "exercise", "problem")
+#: Words that no concept begins or ends with.
+EDGE_WORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "there",
+    "and", "or", "but", "nor", "for", "yet", "so",
+    "of", "in", "to", "with", "from", "at", "by", "on", "as", "into",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "considered", "called", "known", "using", "based", "which", "who", "what",
+    "e.g.", "eg", "i.e.", "ie", "hence", "such", "including", "like", "etc", "etc.",
 )
-PAGE_STEMS = ("QUESTION", "ANSWER", "INTRODUCTION", "CHAPTER", "SECTION", "MODULE", "UNIT", "EXERCISE", "SUMMARY", "SYLLABUS", "GRADING")
-NUMBERED = ("chapter", "section", "module", "unit", "lecture", "week", "part", "lesson", "topic")
 
 
 def strip_references(text: Column) -> Column:
@@ -62,10 +79,16 @@ def is_page_word(p: Column) -> Column:
     """Whether a phrase is a heading or label of a page, no concept."""
     t = F.trim(p)
     low = F.lower(t)
-    shouted = (F.upper(t) == t) & t.rlike("[A-Z]") & F.exists(F.array(*map(F.lit, PAGE_STEMS)), lambda s: F.contains(t, s))
+    shouted = (F.upper(t) == t) & t.rlike("[A-Z]") & (F.length(t) >= 3) & F.exists(F.array(*map(F.lit, PAGE_STEMS)), lambda s: F.contains(low, s))
     return low.isin(*PAGE_WORDS) | low.rlike(rf"^(?:{'|'.join(NUMBERED)}) +(?:[0-9]+|[a-z])$") | shouted
 
 
+def well_formed(p: Column) -> Column:
+    """Whether a phrase has more than three characters and neither begins nor ends with an edge word, and is no amount or page word."""
+    words = F.split(F.lower(F.trim(p)), r"[ \t\r\n]+")
+    return (F.length(F.trim(p)) > 3) & ~F.element_at(words, 1).isin(*EDGE_WORDS) & ~F.element_at(words, -1).isin(*EDGE_WORDS) & ~is_amount(p) & ~is_page_word(p)
+
+
 def normalize_name(name: Column) -> Column:
     """Lower-case singular form: articles and possessives dropped, plural of the last word undone."""
     t = F.regexp_replace(F.lower(F.trim(name)), r"^(?:a|an|the) +", "")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """The rows of ``old`` whose key is not in ``new``, and those of ``new``."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(old.columns).unionByName(new)
+    """The rows of ``old`` whose key is not in ``new``, and those of ``new``; of a key repeated in ``new`` the greatest row."""
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(old.columns).unionByName(greatest_of_key(new, *keys))
 
 
 def purge(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
@@ -17,8 +17,16 @@ def purge(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
 
 
 def append_new(old: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    """``old`` and the incoming rows with keys it does not have."""
-    return old.unionByName(incoming.join(old.select(*keys).distinct(), list(keys), "left_anti").select(old.columns))
+    """``old`` and the incoming rows with keys it does not have; of a key repeated among these the greatest row."""
+    return old.unionByName(greatest_of_key(incoming.join(old.select(*keys).distinct(), list(keys), "left_anti").select(old.columns), *keys))
+
+
+def greatest_of_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, the greatest by the other columns in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(rows.columns)
 
 
 def fresh(cache: DataFrame, key: str, ts: str, now, ttl: float) -> DataFrame:

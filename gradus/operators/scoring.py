@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.columns import direction_feature, dot, sigmoid
+from gradus.session import Scratch
 
 
 def linear_score(feature: Column, weights: Column, bias: Column | float) -> Column:
@@ -26,8 +27,10 @@ def low_margin_queue(scored: DataFrame, fraction: float = 0.25) -> DataFrame:
 
     Rows are ranked over all partitions by counts of the sorted parts, not in one task.
     """
-    n = scored.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n")).collect()[0]["n"]
-    return scored.orderBy("margin", "src", "dst").limit(int(n))
+    scratch = Scratch(scored.sparkSession, "queue")
+    rows = ranked(scratch, scored, "margin", "src", "dst")
+    n = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n")).collect()[0]["n"]
+    return rows.where(F.col("rank") <= int(n)).drop("rank")
 
 
 def top_targets(scored: DataFrame, k: int = 10, score: str = "score") -> DataFrame:
@@ -101,18 +104,32 @@ def roc_auc(rows: DataFrame, *keys: str, y: str = "y", s: str = "s") -> DataFram
 
 
 def negatives(positives: DataFrame, universe: DataFrame, ratio: int = 1, seed: int = 42) -> DataFrame:
-    """(src, dst): about ``ratio`` times as many pairs as there are positives, none of them positive or of a node with itself.
+    """(src, dst): ``ratio`` times as many pairs as there are distinct positives, none of them positive or of a node with itself.
 
-    Each positive proposes targets by a hash of itself and the seed among the numbered nodes: no pair of all nodes is built.
+    Each positive proposes targets by a hash of itself and the seed among the numbered nodes: no pair of all nodes is built. It
+    proposes more as long as too few are left (up to 64 times the ratio: in a universe with hardly any free pair there are fewer);
+    of those left the first by hash are taken, which is a choice of exactly as many.
     """
-    n = universe.count()
-    numbered = universe.select("node", F.xxhash64("node", F.lit(seed)).alias("h")).repartitionByRange("h", "node").withColumn("part", F.spark_partition_id())
-    sizes = numbered.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("part").orderBy("h", "node")
-    numbered = numbered.join(sizes.select("part", "base"), "part").select("node", (F.col("base") + F.row_number().over(within) - 1).alias("no"))
-    drawn = positives.select("src", F.explode(F.transform(F.sequence(F.lit(1), F.lit(2 * ratio)), lambda i: F.pmod(F.xxhash64("src", "dst", i, F.lit(seed)), F.lit(max(n, 1))))).alias("no"))
-    made = drawn.join(numbered, "no").select("src", F.col("node").alias("dst")).where("src <> dst").distinct()
-    return made.join(positives.select("src", "dst"), ["src", "dst"], "left_anti")
+    scratch = Scratch(positives.sparkSession, "negatives")
+    own = scratch.keep(positives.select("src", "dst").distinct())
+    numbered = scratch.keep(ranked(scratch, universe.select("node").distinct().withColumn("h", F.xxhash64("node", F.lit(seed))), "h", "node").select("node", "rank"))
+    n, wanted, times = numbered.count(), own.count() * ratio, 2
+    while True:
+        drawn = own.select("src", F.explode(F.transform(F.sequence(F.lit(1), F.lit(times * ratio)), lambda i: 1 + F.pmod(F.xxhash64("src", "dst", i, F.lit(seed)), F.lit(max(n, 1))))).alias("rank"))
+        made = drawn.join(numbered, "rank").select("src", F.col("node").alias("dst")).where("src <> dst").distinct()
+        made = scratch.keep(made.join(own, ["src", "dst"], "left_anti").withColumn("h", F.xxhash64("src", "dst", F.lit(seed))))
+        if times >= 64 or made.count() >= wanted:
+            return ranked(scratch, made, "h", "src", "dst").where(F.col("rank") <= wanted).select("src", "dst")
+        times *= 2
+
+
+def ranked(scratch: Scratch, rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``rank`` 1, 2, ... by the given order over all rows: places within sorted ranges and counts of the ranges before, not one task."""
+    parts = scratch.keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_place", place).join(bases, "_part").withColumn("rank", F.col("_base") + F.col("_place")).drop("_part", "_place", "_base")
 
 
 def fit_logistic(rows: DataFrame, feature: str, label: str, c: float = 1.0, iterations: int = 2000):
@@ -126,16 +143,81 @@ def fit_logistic(rows: DataFrame, feature: str, label: str, c: float = 1.0, iter
 
 
 def stub_perplexity(prompt: Column) -> Column:
-    """A stand-in for a language model: ten, and a hundredth of it for each word."""
-    return 10.0 * (1 + 0.01 * F.size(F.filter(F.split(prompt, " "), lambda w: w != "")))
+    """A stand-in for a language model: ten, and a hundredth of it for each word; commas part words."""
+    return 10.0 * (1 + 0.01 * F.size(F.filter(F.split(F.replace(F.lower(prompt), F.lit(","), F.lit(" ")), r"\s+"), lambda w: w != "")))
 
 
-TEMPLATES = ("Explain {c}.", "Define {c} in one sentence.", "How does one learn {c}?", "Give an example of {c}.")
+#: Prompts about a concept v, and the same without a concept u.
+STANDARD = (
+    "Explain the concept of {v}.",
+    "Define {v} clearly for a learner.",
+    "Give a self-contained explanation of {v}.",
+    "Describe {v} from first principles.",
+)
+WITHOUT = (
+    "Explain {v} without mentioning {u}.",
+    "Define {v} but do not reference {u} at all.",
+    "Give an explanation of {v} that never uses {u}.",
+    "Describe {v} from scratch, avoiding any mention of {u}.",
+)
 
 
-def dependency_probe(pairs: DataFrame, given: str = "{s} is known. ") -> DataFrame:
-    """(src, dst, d): relative rise of the mean perplexity of prompts about dst when src is not given before them."""
-    prompts = pairs.select("src", "dst", F.explode(F.array(*map(F.lit, TEMPLATES))).alias("t")).select("src", "dst", F.replace("t", F.lit("{c}"), F.col("dst")).alias("bare"))
-    prompts = prompts.withColumn("with", F.concat(F.replace(F.lit(given), F.lit("{s}"), F.col("src")), "bare"))
-    means = prompts.groupBy("src", "dst").agg(F.avg(stub_perplexity(F.col("with"))).alias("std"), F.avg(stub_perplexity(F.col("bare"))).alias("without"))
-    return means.select("src", "dst", F.try_divide(F.col("without") - F.col("std"), F.col("std")).alias("d"))
+def probe_prompts(pairs: DataFrame) -> DataFrame:
+    """(src, dst, kind, prompt): the prompts of each pair, kind std or without; what an outside model is to be asked."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, ts in (("std", STANDARD), ("without", WITHOUT)) for t in ts))
+    rows = pairs.select("src", "dst", F.explode(kinds).alias("x")).select("src", "dst", "x.kind", "x.t")
+    return rows.select("src", "dst", "kind", F.replace(F.replace("t", F.lit("{v}"), F.col("dst").cast("string")), F.lit("{u}"), F.col("src").cast("string")).alias("prompt"))
+
+
+def dependency(answers: DataFrame) -> DataFrame:
+    """(src, dst, d): relative rise of the mean perplexity when the explanation of dst must do without src; answers (src, dst, kind, ppl)."""
+    means = answers.groupBy("src", "dst").agg(F.avg(F.when(F.col("kind") == "std", F.col("ppl"))).alias("std"), F.avg(F.when(F.col("kind") == "without", F.col("ppl"))).alias("wo"))
+    base = F.when(F.col("std") <= 0, 1e-9).otherwise(F.col("std"))
+    return means.select("src", "dst", ((F.col("wo") - base) / base).alias("d"))
+
+
+def dependency_probe(pairs: DataFrame) -> DataFrame:
+    """``dependency`` of the stand-in model's answers."""
+    return dependency(probe_prompts(pairs).withColumn("ppl", stub_perplexity(F.col("prompt"))))
+
+
+def perplexity(tokens: DataFrame, *keys: str) -> DataFrame:
+    """(keys, nll, ppl) from the log-probabilities (keys, logprob) of the tokens of an answer: mean negative one, and its exponential."""
+    return tokens.groupBy(*keys).agg((-F.avg("logprob")).alias("nll")).withColumn("ppl", F.exp("nll"))
+
+
+def dependency_nll(answers: DataFrame) -> DataFrame:
+    """(src, dst, d): difference of the mean negative log-likelihoods with and without src; answers (src, dst, kind, nll)."""
+    m = answers.groupBy("src", "dst").agg(F.avg(F.when(F.col("kind") == "std", F.col("nll"))).alias("std"), F.avg(F.when(F.col("kind") == "without", F.col("nll"))).alias("wo"))
+    return m.select("src", "dst", (F.col("wo") - F.col("std")).alias("d"))
+
+
+def ingest_probe(queue: DataFrame, answers: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(src, dst, d, origin) for each pair queued: its answer d, or where there is none (or null) that of the fallback."""
+    a = answers.groupBy("src", "dst").agg(F.max("d").alias("answer"))
+    f = fallback.groupBy("src", "dst").agg(F.max("d").alias("other"))
+    j = queue.select("src", "dst").distinct().join(a, ["src", "dst"], "left").join(f, ["src", "dst"], "left")
+    return j.select("src", "dst", F.coalesce("answer", "other").alias("d"), F.when(F.col("answer").isNotNull(), "probe").otherwise("fallback").alias("origin"))
+
+
+def cross_validated(folds: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_folds, mean_threshold, std_threshold, mean_f1, std_f1) over folds (keys, fold, part, y, s).
+
+    Each fold's threshold is the one with the best Youden's J on its train rows, and its F1 that on its test rows.
+    """
+    best = best_threshold(folds.where("part = 'train'"), *keys, "fold").select(*keys, "fold", "threshold")
+    held = folds.where("part = 'test'").join(best, [*keys, "fold"])
+    q = quality(confusion(held, F.col("threshold"), *keys, "fold")).select(*keys, "fold", "f1")
+    j = best.join(q, [*keys, "fold"])
+    return j.groupBy(*keys).agg(F.count("*").alias("n_folds"), F.avg("threshold").alias("mean_threshold"), F.stddev_pop("threshold").alias("std_threshold"), F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"))
+
+
+def compare_variants(quality_: DataFrame, baseline: str, name: str = "variant", score: str = "f1") -> DataFrame:
+    """(<name>, <score>, gain): each variant's score and how far it is above the baseline's; null where there is no baseline."""
+    base = quality_.where(F.col(name) == baseline).agg(F.max(score).alias("_base"))
+    return quality_.select(name, score).crossJoin(F.broadcast(base)).select(name, score, (F.col(score) - F.col("_base")).alias("gain"))
+
+
+def refit_rows(rows: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    """Rows of train and validation together of the chosen keys, on which the final model is fitted; those held out stay out."""
+    return rows.where("split in ('train', 'val')").join(chosen.select(*keys).distinct(), list(keys), "left_semi")

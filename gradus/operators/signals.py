@@ -5,35 +5,64 @@ All pair operators work within a domain, which keeps a concept's partners to tho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import sections
 from gradus.operators.blocks import cosine_pairs
+from gradus.session import Scratch
 
 #: Weights of the fused score: order, definition mention, co-occurrence, plausibility.
 WEIGHTS = {"s_order": 0.25, "s_def": 0.35, "s_cooc": 0.10, "s_plaus": 0.30}
 
-#: Parts into which a domain's texts are cut where they meet its names.
-PARTS = 16
+#: Characters of a domain's texts that one call searches for all names of the domain.
+CALL_CHARS = 4_000_000
 
 
 def concept_names(concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(domain_id, concept_id, name): lower-case names and resolved aliases of each concept, each once, none empty."""
     own = concepts.select("domain_id", "concept_id", F.lower("canonical_name").alias("name"))
     other = aliases.where("concept_id is not null").select("concept_id", F.lower("alias").alias("name")).join(concepts.select("concept_id", "domain_id").distinct(), "concept_id").select("domain_id", "concept_id", "name")
-    return own.unionByName(other).where(F.length(F.trim("name")) >= 3).distinct()
+    return own.unionByName(other).where(F.length(F.trim("name")) >= 1).distinct()
 
 
 def _holding(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Texts (domain_id, <key>, text) with each name (domain_id, concept_id, name) of their domain that they hold, and its position from 0.
+    """(<key>, concept_id, pos): the names (domain_id, concept_id, name) in each text (domain_id, <key>, text) of their domain, with their first place from 0.
 
-    A domain's texts are cut into ``PARTS`` parts, so that a large domain is no single task. The test for the name runs on
-    bytes; its position, which counts characters, is looked for only where it passes.
+    A domain's texts are cut into parts of about ``CALL_CHARS`` characters; each part meets the domain's distinct names
+    once, in one automaton that finds all of them in a single pass over the text. Work goes with the text and what is found in it.
     """
-    cut = texts.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
-    each = names.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
-    return cut.join(each, ["domain_id", "part"]).where(F.contains("text", F.col("name"))).withColumn("pos", F.expr("locate(name, text)") - 1)
+    scratch = Scratch(texts.sparkSession, "mentions")
+    texts = scratch.keep(texts.where("domain_id is not null and text is not null").select("domain_id", F.col(key).alias("key"), "text"))
+    parts = texts.groupBy("domain_id").agg(F.ceil(F.sum(F.length("text")) / CALL_CHARS).alias("parts")).where("parts > 0")
+    cut = texts.join(parts, "domain_id").select("domain_id", F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "text")
+    listed = names.select("domain_id", "name").distinct()
+    each = listed.join(parts, "domain_id").select(F.col("domain_id").alias("d2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part2"), "name")
+
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for w in words.column("name").to_pylist():
+            search.add_word(w, w)
+        at, found, places = [], [], []
+        if len(search):
+            search.make_automaton()
+            for row, text in enumerate(own.column("text").to_pylist()):
+                first: dict[str, int] = {}
+                for end, w in search.iter(text):
+                    first.setdefault(w, end - len(w) + 1)
+                at += [row] * len(first)
+                found += first.keys()
+                places += first.values()
+        domain = own.column("domain_id").combine_chunks().take(pa.array(at, type=pa.int64()))
+        key_ = own.column("key").combine_chunks().take(pa.array(at, type=pa.int64()))
+        return pa.table({"domain_id": domain, "key": key_, "name": pa.array(found, type=pa.string()), "pos": pa.array(places, type=pa.int32())})
+
+    kind = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("domain_id", "key")) + ", name string, pos int"
+    hits = cut.groupBy("domain_id", "part").cogroup(each.groupBy("d2", "part2")).applyInArrow(run, kind)
+    return hits.join(names, ["domain_id", "name"]).select(F.col("key").alias(key), "concept_id", "pos")
 
 
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
@@ -72,7 +101,8 @@ def cooccurrence_signal(mentioned: DataFrame, n_units: DataFrame) -> DataFrame:
 def definition_signal(names: DataFrame, concepts: DataFrame) -> DataFrame:
     """(src, dst, s_def): src is named in the definition of dst; 1 at its start, towards 0.5 at its end."""
     d = concepts.where("length(definition) > 0").select("domain_id", F.col("concept_id").alias("dst"), F.lower("definition").alias("text"))
-    found = _holding(d, names, "dst").where("concept_id <> dst")
+    # A text is its own key: a concept in several rows has several definitions.
+    found = _holding(d.withColumn("row", F.struct("dst", "text")), names, "row").select("concept_id", "pos", "row.*").where("concept_id <> dst")
     return found.groupBy(F.col("concept_id").alias("src"), "dst").agg(F.max(0.5 + 0.5 * (1 - F.col("pos") / F.length("text"))).alias("s_def"))
 
 
@@ -97,17 +127,44 @@ def merge_signals(order: DataFrame, cooc: DataFrame, definition: DataFrame, simi
     return union.groupBy("u", "v").agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in columns)).select(F.col("u").alias("src"), F.col("v").alias("dst"), *columns)
 
 
-def fuse(merged: DataFrame, plausibility: Column, weights: dict[str, float] | None = None, least: float = 0.10) -> DataFrame:
+def prune(merged: DataFrame, floor: float = 0.15) -> DataFrame:
+    """The merged pairs whose similarity reaches the floor; a pair without similarity has 0."""
+    return merged.where(F.col("sim") >= floor)
+
+
+def plausible(merged: DataFrame, verdicts: DataFrame | None = None, most: int = 300, default: float = 0.5) -> DataFrame:
+    """The merged pairs with ``s_plaus``: the verdict (src, dst, s) of an outside judge on the ``most`` best pairs of each source, else the default.
+
+    Best is by the sum of what the other signals say (the heuristic order), ties by target; verdicts on other pairs do not count. Without
+    verdicts all pairs have the default.
+    """
+    if verdicts is None:
+        return merged.withColumn("s_plaus", F.lit(default))
+    v = verdicts.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("s").alias("_s"))
+    asked = heuristic_order(merged).where(F.col("place") <= most)
+    return asked.drop("place", "heuristic").join(v, ["src", "dst"], "left").withColumn("s_plaus", F.coalesce("_s", F.lit(default))).drop("_s").unionByName(
+        heuristic_order(merged).where(F.col("place") > most).drop("place", "heuristic").withColumn("s_plaus", F.lit(default))
+    )
+
+
+def heuristic_order(merged: DataFrame) -> DataFrame:
+    """The merged pairs with ``heuristic``, the weighted sum of their better directions, and ``place`` among the pairs of their source by it."""
+    h = WEIGHTS["s_order"] * F.greatest("order_fwd", "order_rev") + WEIGHTS["s_def"] * F.greatest("def_fwd", "def_rev") + WEIGHTS["s_cooc"] * F.col("cooc")
+    w = Window.partitionBy("src").orderBy(F.desc("heuristic"), "dst")
+    return merged.withColumn("heuristic", F.floor(h * 1e6 + 0.5) / 1e6).withColumn("place", F.row_number().over(w))
+
+
+def fuse(merged: DataFrame, plausibility: Column, weights: dict[str, float] | None = None, least: float = 0.10, keep: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, s_corr, forward): weighted mean of each signal's better direction; pairs below ``least`` are left out.
 
-    ``forward`` tells whether src to dst is the likelier direction by definition and order (a tie counts as forward).
+    ``keep`` names further columns of the result; ``forward`` tells whether src to dst is the likelier direction by definition and order (a tie counts as forward).
     """
     w = weights or WEIGHTS
     total = sum(w.values())
     best = {"s_order": F.greatest("order_fwd", "order_rev"), "s_def": F.greatest("def_fwd", "def_rev"), "s_cooc": F.col("cooc"), "s_plaus": plausibility}
     score = sum((F.lit(w[k]) * c for k, c in best.items()), F.lit(0.0)) / F.lit(total)
     ahead = F.lit(w["s_def"]) * F.col("def_fwd") + F.lit(w["s_order"]) * F.col("order_fwd") >= F.lit(w["s_def"]) * F.col("def_rev") + F.lit(w["s_order"]) * F.col("order_rev")
-    return merged.select("src", "dst", score.alias("s_corr"), ahead.alias("forward")).where(F.col("s_corr") >= least)
+    return merged.select("src", "dst", score.alias("s_corr"), ahead.alias("forward"), *keep).where(F.col("s_corr") >= least)
 
 
 def section_units(docs: DataFrame, separator: str = "\n\n") -> DataFrame:

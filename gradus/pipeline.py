@@ -21,7 +21,7 @@ def candidate_pairs(concepts: DataFrame, aliases: DataFrame, docs: DataFrame, pl
         signals.definition_signal(names, concepts),
         signals.similarity_signal(concepts.where("embedding is not null").select("domain_id", "concept_id", "embedding")),
     )
-    return signals.fuse(merged, F.lit(plausibility))
+    return signals.fuse(signals.prune(merged), F.lit(plausibility))
 
 
 def build_graph(candidates: DataFrame, vectors: DataFrame, weights, bias: float, tau: float) -> DataFrame:

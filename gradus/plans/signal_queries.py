@@ -68,22 +68,37 @@ def q_s_sim_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_signal_merge(spark: SparkSession, d: str) -> DataFrame:
-    m = _merged(spark, d)
+    m = signals.prune(_merged(spark, d))
     return m.select("src", "dst", *(r6(F.col(c)).alias(c) for c in m.columns[2:]))
 
 
 def q_s_corr(spark: SparkSession, d: str) -> DataFrame:
-    return signals.fuse(_merged(spark, d), F.lit(0.5)).select("src", "dst", r6(F.col("s_corr")).alias("s_corr"), "forward")
+    return signals.fuse(signals.prune(_merged(spark, d)), F.lit(0.5)).select("src", "dst", r6(F.col("s_corr")).alias("s_corr"), "forward")
 
 
 def q_signal_profile(spark: SparkSession, d: str) -> DataFrame:
-    m = _merged(spark, d)
-    long = m.select(F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).alias("x")) for c in ("order_fwd", "def_fwd", "cooc", "sim")))).alias("e")).select("e.*")
+    m = signals.prune(_merged(spark, d))
+    long = m.select(F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).alias("x")) for c in _MERGED))).alias("e")).select("e.*")
     return long.groupBy("signal").agg(r6(F.min("x")).alias("least"), r6(F.percentile("x", 0.5)).alias("median"), r6(F.max("x")).alias("most"), F.count("*").alias("n"))
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements of an outside run: the scores of the rows of merge_pairs, as if a model had given them."""
+    return table(spark, d, "merge_pairs").where("left_id is not null and right_id is not null and score is not null").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), F.col("score").alias("s"))
+
+
+def q_plausible(spark: SparkSession, d: str) -> DataFrame:
+    """Fused scores with verdicts on the three hundred best pairs of each source."""
+    m = signals.plausible(signals.prune(_merged(spark, d)), _verdicts(spark, d))
+    return signals.fuse(m, F.col("s_plaus"), keep=("s_plaus",)).select("src", "dst", r6(F.col("s_corr")).alias("s_corr"), r6(F.col("s_plaus")).alias("s_plaus"))
+
+
+def q_heuristic_order(spark: SparkSession, d: str) -> DataFrame:
+    return signals.heuristic_order(signals.prune(_merged(spark, d))).select("src", "dst", "heuristic", "place")
+
+
 _BASE = """con AS (SELECT DISTINCT concept_id, domain_id, canonical_name, definition FROM concepts),
-names AS (SELECT * FROM (SELECT domain_id, concept_id, lower(canonical_name) AS name FROM con UNION SELECT c.domain_id, a.concept_id, lower(a.alias) FROM concept_aliases a JOIN con c USING (concept_id)) WHERE length(trim(name, ' ')) >= 3),
+names AS (SELECT * FROM (SELECT domain_id, concept_id, lower(canonical_name) AS name FROM con UNION SELECT c.domain_id, a.concept_id, lower(a.alias) FROM concept_aliases a JOIN con c USING (concept_id)) WHERE length(trim(name, ' ')) >= 1),
 docs AS (SELECT domain_id, doc_id, lower(text) AS t, CASE WHEN source_type = 'syllabus' THEN 3 ELSE 1 END AS w FROM documents WHERE text IS NOT NULL),
 men AS (SELECT doc_id, concept_id, min(instr(t, name)) - 1 AS pos, any_value(w) AS w FROM docs JOIN names USING (domain_id) WHERE contains(t, name) GROUP BY ALL),
 s_order AS (SELECT a.concept_id AS src, b.concept_id AS dst, sum(CASE WHEN a.pos < b.pos THEN a.w ELSE 0 END) / sum(a.w)::DOUBLE AS s FROM men a JOIN men b ON a.doc_id = b.doc_id AND a.concept_id <> b.concept_id GROUP BY ALL),
@@ -99,15 +114,16 @@ s_sim AS (SELECT a.concept_id AS src, b.concept_id AS dst, list_dot_product(a.v,
 _MERGE = """, merged AS (SELECT src, dst, coalesce(max(a), 0.0) AS order_fwd, coalesce(max(b), 0.0) AS order_rev, coalesce(max(c), 0.0) AS def_fwd, coalesce(max(e), 0.0) AS def_rev, coalesce(max(f), 0.0) AS cooc, coalesce(max(g), 0.0) AS sim FROM (
   SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CASE WHEN src < dst THEN s END AS a, CASE WHEN src > dst THEN s END AS b, NULL::DOUBLE AS c, NULL::DOUBLE AS e, NULL::DOUBLE AS f, NULL::DOUBLE AS g FROM s_order
   UNION ALL SELECT least(src, dst), greatest(src, dst), NULL, NULL, CASE WHEN src < dst THEN s END, CASE WHEN src > dst THEN s END, NULL, NULL FROM s_def
-  UNION ALL SELECT src, dst, NULL, NULL, NULL, NULL, s, NULL FROM s_cooc UNION ALL SELECT src, dst, NULL, NULL, NULL, NULL, NULL, s FROM s_sim) GROUP BY ALL)"""
+  UNION ALL SELECT src, dst, NULL, NULL, NULL, NULL, s, NULL FROM s_cooc UNION ALL SELECT src, dst, NULL, NULL, NULL, NULL, NULL, s FROM s_sim) GROUP BY ALL HAVING coalesce(max(g), 0.0) >= 0.15)"""
 
 
 def _r(x: str) -> str:
     return f"floor(({x})::DOUBLE * 1e6 + 0.5) / 1e6"
 
 
+_HEUR = """, h AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY heuristic DESC, dst) AS place FROM (SELECT *, floor((0.25 * greatest(order_fwd, order_rev) + 0.35 * greatest(def_fwd, def_rev) + 0.1 * cooc)::DOUBLE * 1e6 + 0.5) / 1e6 AS heuristic FROM merged))"""
 _MERGED = ("order_fwd", "order_rev", "def_fwd", "def_rev", "cooc", "sim")
-QUERIES = {f.__name__: f for f in (q_mentions, q_s_order, q_s_cooc, q_s_defmention, q_s_sim_floor, q_signal_merge, q_s_corr, q_signal_profile)}
+QUERIES = {f.__name__: f for f in (q_mentions, q_s_order, q_s_cooc, q_s_defmention, q_s_sim_floor, q_signal_merge, q_s_corr, q_plausible, q_heuristic_order, q_signal_profile)}
 SQL = {
     "q_mentions": f"WITH {_BASE} SELECT doc_id, concept_id, pos FROM men",
     "q_s_order": f"WITH {_BASE} SELECT src, dst, {_r('s')} AS s_order FROM s_order",
@@ -116,5 +132,9 @@ SQL = {
     "q_s_sim_floor": f"WITH {_BASE} SELECT src, dst, {_r('s')} AS s_sim FROM s_sim",
     "q_signal_merge": f"WITH {_BASE} {_MERGE} SELECT src, dst, {', '.join(f'{_r(c)} AS {c}' for c in _MERGED)} FROM merged",
     "q_s_corr": f"WITH {_BASE} {_MERGE} SELECT src, dst, {_r('s')} AS s_corr, 0.35 * def_fwd + 0.25 * order_fwd >= 0.35 * def_rev + 0.25 * order_rev AS forward FROM (SELECT *, (0.25 * greatest(order_fwd, order_rev) + 0.35 * greatest(def_fwd, def_rev) + 0.1 * cooc + 0.3 * 0.5) / 1.0 AS s FROM merged) WHERE s >= 0.1",
-    "q_signal_profile": f"WITH {_BASE} {_MERGE} " + " UNION ALL ".join(f"SELECT '{c}' AS signal, {_r(f'min({c})')} AS least, {_r(f'quantile_cont({c}, 0.5)')} AS median, {_r(f'max({c})')} AS most, count(*) AS n FROM merged" for c in ("order_fwd", "def_fwd", "cooc", "sim")),
+    "q_heuristic_order": f"WITH {_BASE} {_MERGE} {_HEUR} SELECT src, dst, heuristic, place FROM h",
+    "q_plausible": f"""WITH {_BASE} {_MERGE} {_HEUR}, v AS (SELECT least(left_id, right_id) AS src, greatest(left_id, right_id) AS dst, max(score) AS s FROM merge_pairs WHERE left_id IS NOT NULL AND right_id IS NOT NULL AND score IS NOT NULL GROUP BY ALL),
+        p AS (SELECT h.*, CASE WHEN place <= 300 THEN coalesce(v.s, 0.5) ELSE 0.5 END AS s_plaus FROM h LEFT JOIN v USING (src, dst))
+        SELECT src, dst, {_r('s')} AS s_corr, {_r('s_plaus')} AS s_plaus FROM (SELECT *, (0.25 * greatest(order_fwd, order_rev) + 0.35 * greatest(def_fwd, def_rev) + 0.1 * cooc + 0.3 * s_plaus) / 1.0 AS s FROM p) WHERE s >= 0.1""",
+    "q_signal_profile": f"WITH {_BASE} {_MERGE} " + " UNION ALL ".join(f"SELECT '{c}' AS signal, {_r(f'min({c})')} AS least, {_r(f'quantile_cont({c}, 0.5)')} AS median, {_r(f'max({c})')} AS most, count(*) AS n FROM merged" for c in _MERGED),
 }

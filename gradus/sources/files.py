@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLD_SCHEMA = "concept_a string, concept_b string, label int"
-FOLD_SCHEMA = "concept string, prerequisite string, label int"
+FOLD_COLUMNS = {"Concept": "concept", "Prerequisite": "prerequisite", "label_prereq": "label"}
 VECTOR_SCHEMA = "name string, vec array<float>"
 
 
@@ -16,8 +16,12 @@ def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_folds(spark: SparkSession, folder: str) -> DataFrame:
-    """(domain, part, fold, concept, prerequisite, label) of all files <domain>_<train|test>_split_<k>.csv of a folder."""
-    rows = spark.read.csv(folder, header=True, schema=FOLD_SCHEMA, pathGlobFilter="*_split_*.csv")
+    """(domain, part, fold, concept, prerequisite, label) of all files <domain>_<train|test>_split_<k>.csv of a folder.
+
+    Columns are taken by the names in the header, in whatever order they stand: Concept, Prerequisite and label_prereq.
+    """
+    raw = spark.read.csv(folder, header=True, pathGlobFilter="*_split_*.csv", enforceSchema=False)
+    rows = raw.select(*(F.col(c).cast("int" if name == "label" else "string").alias(name) for c, name in FOLD_COLUMNS.items()))
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
     parts = [F.regexp_extract(name, r"^(.*)_(train|test)_split_(\d+)$", i) for i in (1, 2, 3)]
     return rows.select(parts[0].alias("domain"), parts[1].alias("part"), parts[2].cast("int").alias("fold"), "concept", "prerequisite", "label")
@@ -56,6 +60,12 @@ def save_coefficients(model, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([([float(x) for x in model.coefficients], float(model.intercept))], "weights array<double>, bias double").write.mode("overwrite").parquet(path)
 
 
+def load_coefficients(path: str, spark: SparkSession) -> tuple[list[float], float]:
+    """Weights and bias that ``save_coefficients`` wrote."""
+    row = spark.read.schema("weights array<double>, bias double").parquet(path).head()
+    return list(row["weights"]), row["bias"]
+
+
 def parse_concepts(raw: DataFrame, key: str, text: str) -> DataFrame:
     """(key, name, definition) of model answers that should be a JSON list of objects.
 
