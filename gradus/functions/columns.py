@@ -59,6 +59,11 @@ def spatial_sign(x: Column) -> Column:
     return x / (F.lit(1e-9) + F.abs(x))
 
 
+def difficulty_prior(accuracy: Column) -> Column:
+    """First stability in seconds of a concept that this share of learners answers right at once: half a day to three days."""
+    return (F.lit(0.5) + F.lit(2.5) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), accuracy))) * 86400.0
+
+
 def retention(seconds: Column, stability: Column) -> Column:
     """Forgetting curve: share kept after ``seconds`` at a stability in seconds."""
     return F.exp(-seconds.cast("double") / stability.cast("double"))

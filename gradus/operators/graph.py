@@ -5,6 +5,8 @@ Paths are followed in doubled strides, so a graph of diameter d takes about log2
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,28 +79,56 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes_of(edges).join(mutual, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
 
 
-def prune_cycles(edges: DataFrame, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Edges without cycles, and those removed with the round: self loops first, then of each strong component its least edge.
+def prune_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges without cycles, and those removed with the column ``loop``: self loops, and the least edge of every cycle.
 
-    Least is by (conf, src, dst). Components are independent, so each round takes one edge from every one of them.
+    Least is by (conf, src, dst). To take the least edge out of each strong component again and again until none is left takes
+    out the edges that are the least of some cycle, and no other: while its cycle stands, all of it is in one component,
+    where nothing above it can be the least. So an edge goes if a path of greater edges leads from its end back to its
+    start; the paths with the greatest least edge are found in doubled strides, and no edge waits for another one's removal.
     """
     scratch = Scratch(edges.sparkSession, "prune")
-    removed = edges.where("src = dst").withColumn("round", F.lit(0))
+    loops = edges.where("src = dst").withColumn("loop", F.lit(True))
     rest = scratch.keep(edges.where("src <> dst"))
     core = cyclic_core(rest)
-    out = scratch.keep(removed)
-    for i in range(1, most_rounds + 1):
-        if core.isEmpty():
+    own = F.struct("conf", "src", "dst")
+    ways = scratch.keep(core.groupBy("src", "dst").agg(F.max(own).alias("low")))
+    before = None
+    while True:
+        a = ways.select("src", F.col("dst").alias("mid"), F.col("low").alias("l1"))
+        b = ways.select(F.col("src").alias("mid"), "dst", F.col("low").alias("l2"))
+        longer = a.join(b, "mid").select("src", "dst", F.least("l1", "l2").alias("low"))
+        old, ways = ways, scratch.keep(ways.unionByName(longer).groupBy("src", "dst").agg(F.max("low").alias("low")))
+        same = ways.join(old.select("src", "dst", F.col("low").alias("was")), ["src", "dst"], "left").where(~F.col("low").eqNullSafe(F.col("was"))).isEmpty()
+        if same:
             break
-        comp = scratch.keep(strong_components(core))
-        a = comp.select(F.col("node").alias("src"), F.col("component").alias("c"))
-        b = comp.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
-        inside = scratch.keep(core.join(a, "src").join(b, "dst").where("c = c2"))
-        least = inside.groupBy("c").agg(F.min(F.struct("conf", "src", "dst")).alias("m")).select("m.src", "m.dst", "m.conf")
-        least = scratch.keep(least)
-        out = scratch.keep(out.unionByName(least.select(*edges.columns).withColumn("round", F.lit(i))))
-        core = cyclic_core(inside.join(least.select("src", "dst"), ["src", "dst"], "left_anti").select(edges.columns))
-    return rest.join(out.select("src", "dst"), ["src", "dst"], "left_anti").select(edges.columns), out
+    back = ways.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "low")
+    cut = scratch.keep(core.withColumn("own", own).join(back, ["src", "dst"]).where("low > own").select(*edges.columns))
+    removed = loops.unionByName(cut.withColumn("loop", F.lit(False)))
+    return rest.join(cut.select("src", "dst", "conf").distinct(), ["src", "dst", "conf"], "left_anti").select(edges.columns), removed
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): least node of the connected component of every node of the undirected links (src, dst).
+
+    Every node moves to the least of itself and its neighbours, follows that move once more, and the links are contracted: a chain of
+    length n takes about log n rounds, and no pair of nodes is built that is not linked.
+    """
+    scratch = Scratch(links.sparkSession, "components")
+    every = scratch.keep(nodes_of(links))
+    rest = scratch.keep(links.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    steps = []
+    while not rest.isEmpty():
+        both = rest.select("src", "dst").unionByName(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        near = scratch.keep(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")).select("node", F.least("node", "to").alias("to")))
+        step = scratch.keep(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+        steps.append(step)
+        ends = rest.join(step.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(step.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
+        rest = scratch.keep(ends.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    labels = every.select("node", F.col("node").alias("component"))
+    for step in steps:
+        labels = labels.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return labels
 
 
 def transitive_reduction(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
@@ -138,28 +168,67 @@ def unlock_values(nodes: DataFrame, reach: DataFrame, cross: float = 0.3) -> Dat
     return nodes.select("node").join(v, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def communities(edges: DataFrame, all_nodes: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """(node, cluster): communities of the undirected, conf-weighted graph by weighted label propagation, deterministic.
 
     In each round half of the nodes, by a hash of node and round, take the label with the largest weight among their
-    neighbours and themselves, ties to the least label. Nodes without an edge share the cluster null.
+    neighbours and themselves, ties to the least label, until no node, of either half, would take another one. Nodes without an
+    edge share the cluster null.
     """
     scratch = Scratch(edges.sparkSession, "communities")
     both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), "conf"), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), "conf"))).alias("e")).select("e.*")
     both = scratch.keep(both.groupBy("node", "other").agg(F.sum("conf").alias("w")))
     labels = scratch.keep(both.select("node").distinct().withColumn("cluster", F.col("node")))
-    for i in range(rounds):
+    for i in count():
         seen = labels.select(F.col("node").alias("other"), "cluster")
         votes = both.join(seen, "other").select("node", "cluster", "w").unionByName(labels.select("node", "cluster", F.lit(0.5).alias("w")))
         best = votes.groupBy("node", "cluster").agg(F.sum("w").alias("w")).groupBy("node").agg(F.min(F.struct(-F.round("w", 9), "cluster")).alias("b"))
         turn: Column = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        new = labels.join(best, "node").select("node", F.when(turn, F.col("b.cluster")).otherwise(F.col("cluster")).alias("cluster"))
-        old, labels = labels, scratch.keep(new)
-        scratch.drop(old)
+        moves = scratch.keep(labels.join(best, "node").select("node", "cluster", F.col("b.cluster").alias("wish"), turn.alias("turn")))
+        if moves.where("wish <> cluster").isEmpty():
+            break
+        labels = moves.select("node", F.when(F.col("turn"), F.col("wish")).otherwise(F.col("cluster")).alias("cluster"))
     every = nodes_of(edges) if all_nodes is None else all_nodes.select("node").distinct()
     return every.join(labels, "node", "left")
 
 
+def cluster_names(clusters: DataFrame, names: DataFrame, values: DataFrame) -> DataFrame:
+    """(cluster, name, n_nodes): each cluster by the name of its node with the largest value, ties to the shorter and then the lesser name.
+
+    ``names``: (node, name), ``values``: (node, value). Nodes without a value count 0; a cluster without names has a null one.
+    """
+    j = clusters.where("cluster is not null").join(names.groupBy("node").agg(F.min("name").alias("name")), "node", "left").join(values.groupBy("node").agg(F.max("value").alias("value")), "node", "left")
+    order = F.struct(F.col("name").isNull(), -F.coalesce("value", F.lit(0.0)), F.length("name"), F.col("name").alias("name"))
+    return j.groupBy("cluster").agg(F.min(order).alias("m"), F.count_distinct("node").alias("n_nodes")).select("cluster", F.col("m.name").alias("name"), "n_nodes")
+
+
+def link_score(h: DataFrame, pairs: DataFrame, weights: list[float], bias: float) -> DataFrame:
+    """(src, dst, score): logistic score of the joined layer outputs (node, h) of both ends of each pair."""
+    a, b = h.select(F.col("node").alias("src"), F.col("h").alias("hu")), h.select(F.col("node").alias("dst"), F.col("h").alias("hv"))
+    w = F.lit([float(x) for x in weights])
+    z = F.aggregate(F.zip_with(F.concat("hu", "hv"), w, lambda x, y: x * y), F.lit(float(bias)), lambda t, x: t + x)
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def attention_layer(features: DataFrame, edges: DataFrame, w: list[list[float]], a_src: list[float], a_dst: list[float], slope: float = 0.2) -> DataFrame:
+    """(node, h): ReLU of the attention-weighted mean of the transformed sources of a node's in-edges and of itself.
+
+    The weight of an edge is the exponential of the leaky ReLU of a_src . Wx(source) + a_dst . Wx(target), as a share of those into
+    the target; the largest exponent of a target is taken off first.
+    """
+    rows = F.lit([[float(v) for v in row] for row in w])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z)
+    y = features.select("node", F.transform(rows, lambda row: dot(row, F.col("x"))).alias("y"))
+    y = y.select("node", "y", dot(F.col("y"), F.lit([float(v) for v in a_src])).alias("p"), dot(F.col("y"), F.lit([float(v) for v in a_dst])).alias("q"))
+    own = edges.select("src", "dst").distinct().where("src <> dst").unionByName(features.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    e = own.join(y.select(F.col("node").alias("src"), "y", "p"), "src").join(y.select(F.col("node").alias("dst"), "q"), "dst")
+    z = F.col("p") + F.col("q")
+    e = e.select("dst", "y", F.when(z >= 0, z).otherwise(slope * z).alias("z"))
+    e = e.join(e.groupBy("dst").agg(F.max("z").alias("top")), "dst").withColumn("e", F.exp(F.col("z") - F.col("top")))
+    sums = e.groupBy("dst").agg(F.sum("e").alias("total"), *(F.sum(F.col("e") * F.element_at("y", i + 1)).alias(f"s{i}") for i in range(len(w))))
+    return sums.select(F.col("dst").alias("node"), F.array(*(F.greatest(F.lit(0.0), F.col(f"s{i}") / F.col("total")) for i in range(len(w)))).alias("h"))
+
+
 def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """(modularity): of a clustering of the undirected, conf-weighted graph."""
     e = edges.where("src <> dst").select("src", "dst", "conf")

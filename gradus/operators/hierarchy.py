@@ -27,6 +27,12 @@ def valid_rows(rows: DataFrame, node: str = "node_id", parent: str = "parent_id"
     return last.select("node", "m.c.*")
 
 
+def child_places(valid: DataFrame) -> DataFrame:
+    """(parent, node, place): where a node stands first in the list of children of a row (node, children), from 0."""
+    listed = valid.select(F.col("node").alias("parent"), F.posexplode("children").alias("place", "node")).where("node is not null")
+    return listed.groupBy("parent", "node").agg(F.min("place").alias("place"))
+
+
 def parent_links(valid: DataFrame) -> DataFrame:
     """(node, parent) with parent null for roots.
 
@@ -65,10 +71,10 @@ class Forest:
             self.strides.append(state.where("up is not null").select("node", "up"))
             below = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("below"))
             above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
-            new = state.join(above, "up", "left").join(below, "node", "left")
-            step = F.lit(2**k)
-            new = new.select("node", F.col("up2").alias("up"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(step + F.col("depth2")).alias("depth"), F.when(F.col("up").isNull(), F.col("top")).otherwise(F.col("top2")).alias("top"))
-            state = self.scratch.keep(new)
+            # Finished nodes step nowhere: kept out of the join, where all of them would have the same null key.
+            moved = state.where("up is not null").join(above, "up").select("node", F.col("up2").alias("up"), "size", (F.lit(2**k) + F.col("depth2")).alias("depth"), F.col("top2").alias("top"))
+            new = moved.unionByName(state.where("up is null")).join(below, "node", "left")
+            state = self.scratch.keep(new.select("node", "up", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"), "depth", "top"))
             now = state.where("up is not null").count()
             k += 1
             if now == left:  # each round finishes the nodes whose ancestors just end, so none is left in a tree
@@ -99,7 +105,8 @@ class Forest:
         sums = self.scratch.keep(sums.select("node", "top", "depth", "size", "ring", F.coalesce("add", F.lit(0)).cast("bigint").alias("first")))
         for stride in self.strides:
             above = sums.select(F.col("node").alias("up"), F.col("first").alias("more"))
-            new = sums.join(stride, "node", "left").join(above, "up", "left").select("node", "top", "depth", "size", "ring", (F.col("first") + F.coalesce("more", F.lit(0))).alias("first"))
+            moved = sums.join(stride, "node").join(above, "up").select("node", "top", "depth", "size", "ring", (F.col("first") + F.col("more")).alias("first"))
+            new = moved.unionByName(sums.join(stride, "node", "left_anti"))
             old, sums = sums, self.scratch.keep(new)
             self.scratch.drop(old)
         fine = ~F.col("ring")
@@ -123,6 +130,36 @@ class Forest:
         blocks = blocks.select("ancestor", "d", "root", "b.width", "b.no")
         return points.select("node", "depth", "root", "p.width", "p.no").join(blocks, ["root", "width", "no"]).select("ancestor", "node", (F.col("depth") - F.col("d")).alias("steps"))
 
+    def gathered(self, values: DataFrame, shared: bool = False) -> DataFrame:
+        """(node, total): sum of the values (node, x) of each tree node and of all below it; ``shared``: each step up divides by the number of children.
+
+        Sums travel up in the strides: after k rounds a total covers the nodes less than 2**k steps below, and ``share``
+        is the product of 1 / children over 2**k steps. No pair of a node and its ancestor is built.
+        """
+        tree = self.nodes.where("depth >= 0").select("node", "parent")
+        kids = tree.where("parent is not null").groupBy(F.col("parent")).agg((1.0 / F.count("*")).alias("share") if shared else F.lit(1.0).alias("share"))
+        state = tree.join(values.select("node", "x"), "node", "left").join(kids, "parent", "left").select("node", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("total"), "share")
+        state = self.scratch.keep(state)
+        for stride in self.strides:
+            step = stride.join(state, "node")
+            below = step.groupBy(F.col("up").alias("node")).agg(F.sum(F.col("total") * F.col("share")).alias("below"))
+            further = step.join(state.select(F.col("node").alias("up"), F.col("share").alias("more")), "up").select("node", (F.col("share") * F.col("more")).alias("next"))
+            new = state.join(below, "node", "left").join(further, "node", "left").select("node", (F.col("total") + F.coalesce("below", F.lit(0.0))).alias("total"), F.col("next").alias("share"))
+            old, state = state, self.scratch.keep(new)
+            self.scratch.drop(old)
+        return state.select("node", "total")
+
+    def below(self, marked: DataFrame) -> DataFrame:
+        """(node): each tree node with a marked one (node) among its ancestors, found in the strides."""
+        flag = marked.select(F.col("node").alias("parent"), F.lit(True).alias("hit")).distinct()
+        state = self.nodes.where("depth >= 0").select("node", "parent").join(flag, "parent", "left").select("node", F.coalesce("hit", F.lit(False)).alias("hit"))
+        state = self.scratch.keep(state)
+        for stride in self.strides:
+            up = stride.join(state.where("hit").select(F.col("node").alias("up")), "up").select("node", F.lit(True).alias("far"))
+            old, state = state, self.scratch.keep(state.join(up, "node", "left").select("node", (F.col("hit") | F.coalesce("far", F.lit(False))).alias("hit")))
+            self.scratch.drop(old)
+        return state.where("hit").select("node")
+
     def paths(self, label: Column | None = None) -> DataFrame:
         """(node, path): the nodes from the root to each node of a tree, as a list."""
         sofar = self.nodes.select("node", F.array("node").alias("path"))
@@ -130,7 +167,8 @@ class Forest:
         sofar = self.scratch.keep(sofar.join(fine, "node", "left_semi"))
         for stride in self.strides:
             above = sofar.select(F.col("node").alias("up"), F.col("path").alias("head"))
-            new = sofar.join(stride, "node", "left").join(above, "up", "left").select("node", F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"))
+            moved = sofar.join(stride, "node").join(above, "up").select("node", F.concat("head", "path").alias("path"))
+            new = moved.unionByName(sofar.join(stride, "node", "left_anti"))
             old, sofar = sofar, self.scratch.keep(new)
             self.scratch.drop(old)
         return sofar

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.columns import retention
+from gradus.functions.columns import cosine, retention
 from gradus.operators.hierarchy import Forest
 
 DAY = 86400.0
@@ -65,12 +65,12 @@ def route(answers: DataFrame) -> DataFrame:
 
 
 def inject_remediation(edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New edges, the stash of rerouted ones, and the nodes to lock, for targets (node, misconception).
+    """New edges, the stash of rerouted ones, and the nodes to lock, for targets (node, misconception); M_7 on C makes RM_7_C.
 
     Each prerequisite edge (src, dst, kind, conf) into a target leads to its remediation node instead, which links to
     the target. Doing it again for the same target changes nothing.
     """
-    own = targets.select(F.col("node").alias("dst"), F.concat(F.lit("RM_"), "misconception", F.lit("_"), "node").alias("rm")).distinct()
+    own = targets.select(F.col("node").alias("dst"), F.concat(F.lit("RM_"), F.regexp_replace("misconception", "^M_", ""), F.lit("_"), "node").alias("rm")).distinct()
     there = edges.where("kind = 'remediation_link'").select(F.col("src").alias("rm")).distinct()
     own = own.join(there, "rm", "left_anti")
     hit = edges.where("kind = 'prerequisite'").join(own, "dst")
@@ -94,22 +94,25 @@ def unlocked(status: DataFrame, edges: DataFrame) -> DataFrame:
     return status.join(ready, "node", "left").select("node", F.when((F.col("status") == "locked") & F.coalesce("ready", F.lit(False)), "available").otherwise(F.col("status")).alias("status"))
 
 
-def cascade(forest: Forest, status: DataFrame, order: str = "node") -> DataFrame:
-    """(node, status) after completions have taken their course in the trees of a forest; ``status`` has (node, status, <order>).
+def cascade(forest: Forest, status: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(node, status) after completions have taken their course in the trees of a forest; ``status`` has (node, status).
 
-    A parent is completed when all leaves below it are. After a completed node the next locked sibling in order becomes
-    available, with its first child if that is locked. Every step is read off the state before, which needs no loop:
-    completion below a parent depends on leaves alone, and unlocking completes nothing.
+    A parent is completed when all leaves below it are. After a completed node the next locked sibling becomes available,
+    with its first child if that is locked. Siblings stand in the order of ``places`` (parent, node, place), then those without a place, by
+    node. Every step is read off the state before, which needs no loop: completion below a parent depends on leaves alone, and
+    unlocking completes nothing. Roots have no siblings and take no part in the windows.
     """
-    tree = forest.nodes.where("depth >= 0").select("node", "parent", "size").join(status, "node")
-    open_leaf = tree.where("size = 1 and status <> 'completed'").select("node")
-    unfinished = forest.descendants().join(open_leaf, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct().withColumn("unfinished", F.lit(True))
+    tree = forest.nodes.where("depth >= 0").select("node", "parent", "size").join(status.select("node", "status"), "node")
+    open_leaf = tree.where("size = 1 and status <> 'completed'").select("node", F.lit(1).alias("x"))
+    unfinished = forest.gathered(open_leaf).where("total > 0").select("node", F.lit(True).alias("unfinished"))
     state = tree.join(unfinished, "node", "left").withColumn("done", (F.col("status") == "completed") | ((F.col("size") > 1) & F.col("unfinished").isNull()))
-    w = Window.partitionBy("parent").orderBy(order, "node")
+    kids = state.where("parent is not null")
+    kids = kids.join(places, ["parent", "node"], "left") if places is not None else kids.withColumn("place", F.lit(None).cast("int"))
+    w = Window.partitionBy("parent").orderBy(F.col("place").asc_nulls_last(), "node")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    placed = state.withColumn("p", F.row_number().over(w))
+    placed = kids.withColumn("p", F.row_number().over(w))
     placed = placed.withColumn("last_done", F.max(F.when(F.col("done"), F.col("p"))).over(before)).withColumn("last_locked", F.max(F.when(F.col("status") == "locked", F.col("p"))).over(before))
-    opened = placed.where("parent is not null and not done and status = 'locked' and last_done > coalesce(last_locked, 0)").select("node")
+    opened = placed.where("not done and status = 'locked' and last_done > coalesce(last_locked, 0)").select("node")
     child = placed.where("p = 1 and not done and status = 'locked'").join(opened.select(F.col("node").alias("parent")), "parent", "left_semi").select("node")
     available = opened.union(child).distinct().withColumn("opened", F.lit(True))
     out = state.join(available, "node", "left").select("node", F.when(F.col("done"), "completed").when(F.col("opened"), "available").otherwise(F.col("status")).alias("status"))
@@ -123,36 +126,29 @@ def unmet(status: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def progress(forest: Forest, leaf_done: DataFrame) -> DataFrame:
-    """(node, progress): 1 or 0 of a leaf (node, done), of a parent the mean of its children's.
-
-    A leaf weighs, in an ancestor, the product of 1 / number of children over the steps to it, so that all levels come
-    from one pass over the nested sets' ancestor pairs.
-    """
-    kids = forest.nodes.where("depth > 0").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"))
-    share = forest.nodes.where("depth >= 0").select("node", "parent").join(kids.select(F.col("node").alias("parent"), F.log(F.col("k").cast("double")).alias("lk")), "parent", "left").select("node", F.coalesce("lk", F.lit(0.0)).alias("down"))
-    pairs = forest.descendants().select("ancestor", "node")
-    every = pairs.unionByName(forest.nodes.where("depth >= 0").select(F.col("node").alias("ancestor"), "node"))
-    total = every.join(share.withColumnRenamed("node", "ancestor"), "ancestor").groupBy("node").agg(F.sum("down").alias("depth_log"))
-    leaves = forest.nodes.where("depth >= 0 and size = 1").select("node").join(leaf_done, "node", "left").select("node", F.coalesce(F.col("done").cast("double"), F.lit(0.0)).alias("done"))
-    leaf = leaves.join(total, "node")
-    top = total.select(F.col("node").alias("ancestor"), F.col("depth_log").alias("top_log"))
-    parts = every.join(leaf, "node").join(top, "ancestor").select("ancestor", (F.col("done") * F.exp(F.col("top_log") - F.col("depth_log"))).alias("p"))
-    return parts.groupBy(F.col("ancestor").alias("node")).agg(F.sum("p").alias("progress"))
+    """(node, progress): 1 or 0 of a leaf (node, done), of a parent the mean of its children's."""
+    leaves = forest.nodes.where("depth >= 0 and size = 1").select("node").join(leaf_done.select("node", F.col("done").alias("x")), "node")
+    return forest.gathered(leaves, shared=True).withColumnRenamed("total", "progress")
 
 
 def hidden(forest: Forest, collapsed: DataFrame) -> DataFrame:
     """(node): every node below a collapsed one (node)."""
-    return forest.descendants().join(collapsed.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
+    return forest.below(collapsed)
+
+
+def attributed(answers: DataFrame, bank: DataFrame, most: float = 0.1) -> DataFrame:
+    """Adds ``match`` and ``attributed`` to wrong answers (misconception, vec): whether they are laid to the misconception.
+
+    ``bank``: (misconception, vec). Where the bank has a vector, the answer is attributed if the cosine of both is below ``most``;
+    an answer without a vector is not, and one whose misconception the bank does not have is, with match null.
+    """
+    known = bank.select("misconception", F.col("vec").alias("bank_vec"))
+    j = answers.join(known, "misconception", "left").withColumn("match", cosine(F.col("vec"), F.col("bank_vec")))
+    verdict = F.when(F.col("misconception").isNull(), False).when(F.col("bank_vec").isNull(), True).when(F.col("vec").isNull(), False).otherwise(F.col("match") < most)
+    return j.withColumn("attributed", verdict).drop("bank_vec")
 
 
 def next_available(status: DataFrame, *order: str) -> DataFrame:
     """Of each session the first leaf that is available or in progress, in the given order."""
     w = Window.partitionBy("session_id").orderBy(*order)
     return status.where("status in ('available', 'in_progress')").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
-def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session_id, payload): a session's graph as one JSON document; nodes and edges in the order of their ids."""
-    n = nodes.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("node", "label", "status"))).alias("nodes"))
-    e = edges.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "kind"))).alias("edges"))
-    return n.join(e, "session_id", "left").select("session_id", F.to_json(F.struct("nodes", "edges")).alias("payload"))

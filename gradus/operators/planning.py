@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.operators.graph import closure, nodes_of
+from gradus.session import Scratch
+
 
 def _forest(order: list[int], need: list[int], ratio: list[float]) -> tuple[list[int], list[int]]:
     """The items of ``order`` with each behind all it needs, and for each place where those end that need its item.
@@ -38,7 +41,7 @@ def _forest(order: list[int], need: list[int], ratio: list[float]) -> tuple[list
     return out, end
 
 
-def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple], budget: float, goal=None, most_steps: int = 200_000) -> tuple[bool, bool, float, list]:
+def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple], budget: float, goal=None, most_steps: int | None = None) -> tuple[bool, bool, float, list]:
     """Precedence-constrained knapsack by branch and bound: (feasible, optimal, best value, chosen ids).
 
     An edge (u, v) means that v needs u. The goal, if given, must be chosen. Items are tried in the order of value per cost,
@@ -98,7 +101,7 @@ def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple],
         steps += 1
         if value > best + 1e-9:
             best, chosen = value, taken
-        if steps > most_steps:
+        if most_steps is not None and steps > most_steps:
             break
         if k == len(free) or value + bound[k, min(most, int((budget - cost) // unit))] <= best + 1e-9:
             continue
@@ -110,10 +113,10 @@ def solve(ids: list, values: list[float], costs: list[float], edges: set[tuple],
         stack.append((end[k], taken, cost, value))
         if need[i] & ~taken == 0 and cost + costs[i] <= budget:
             stack.append((k + 1, taken | 1 << i, cost + costs[i], value + values[i]))
-    return True, steps <= most_steps, max(best, 0.0), [ids[i] for i in order if chosen >> i & 1]
+    return True, most_steps is None or steps <= most_steps, max(best, 0.0), [ids[i] for i in order if chosen >> i & 1]
 
 
-def knapsacks(items: DataFrame, needs: DataFrame, budgets: DataFrame, most_steps: int = 200_000) -> DataFrame:
+def knapsacks(items: DataFrame, needs: DataFrame, budgets: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(grp, feasible, optimal, best_value, chosen) for each group of ``items`` (grp, id, value, cost).
 
     ``needs``: (grp, src, dst) with dst needing src; ``budgets``: (grp, budget, goal). A group is one learner's plan of at
@@ -134,3 +137,56 @@ def knapsacks(items: DataFrame, needs: DataFrame, budgets: DataFrame, most_steps
             yield pd.DataFrame(rows, columns=["grp", "feasible", "optimal", "best_value", "chosen"])
 
     return plans.mapInPandas(run, "grp string, feasible boolean, optimal boolean, best_value double, chosen array<string>")
+
+
+def scopes(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(grp, id): the nodes of an acyclic graph that each goal (grp, goal) is planned over.
+
+    The goal and its ancestors; for a goal without any the goal and its descendants, if these are three or more; else all nodes.
+    """
+    reach = closure(edges).select("src", "dst")
+    up = goals.join(reach.withColumnRenamed("dst", "goal"), "goal").select("grp", "goal", F.col("src").alias("id"))
+    rest = goals.join(up.select("grp").distinct(), "grp", "left_anti")
+    down = rest.join(reach.withColumnRenamed("src", "goal"), "goal").select("grp", "goal", F.col("dst").alias("id"))
+    wide = down.groupBy("grp").count().where("count >= 3").select("grp")
+    down = down.join(wide, "grp", "left_semi")
+    own = up.unionByName(down)
+    bounded = own.select("grp", "id").unionByName(own.select("grp", F.col("goal").alias("id")))
+    # Every node, for each goal that nothing bounds.
+    lone = rest.join(wide, "grp", "left_anti").select("grp", F.lit(1).alias("k"))
+    return bounded.unionByName(lone.join(nodes_of(edges).select(F.col("node").alias("id"), F.lit(1).alias("k")), "k").select("grp", "id")).distinct()
+
+
+def optimize_paths(edges: DataFrame, nodes: DataFrame, goals: DataFrame, mastery: DataFrame | None = None, mastered: float = 0.8, minutes: float = 15.0, cross: float = 0.3) -> DataFrame:
+    """(grp, place, id, feasible): for each goal (grp, goal, budget) the nodes to study, in order.
+
+    Over the goal's scope, without what is ``mastered`` (mastery: grp, id, level): the choice of the largest value within the
+    budget, with all prerequisites in the scope and the goal. Value is the number of nodes of the scope that a node leads to, those
+    of another cluster counting ``cross``, at least 1; cost the estimated minutes, ``minutes`` where unknown. ``nodes``: (node, cluster,
+    cost). The order is by longest-path depth, then larger value, then id. Where no choice is feasible, the first nodes of the scope in
+    that order, one for every ``minutes`` of the budget, at least one.
+    """
+    scratch = Scratch(edges.sparkSession, "paths")
+    scope = scratch.keep(scopes(edges, goals))
+    reach = scratch.keep(closure(edges, longest=True))
+    deep = reach.groupBy(F.col("dst").alias("id")).agg(F.max("most").alias("depth"))
+    about = nodes.groupBy(F.col("node").alias("id")).agg(F.min("cluster").alias("cluster"), F.max("cost").alias("cost"))
+    a = scope.join(about, "id", "left").select("grp", F.col("id").alias("src"), F.col("cluster").alias("ca"))
+    b = scope.join(about, "id", "left").select("grp", F.col("id").alias("dst"), F.col("cluster").alias("cb"))
+    w = F.when(F.col("ca").isNull() | F.col("ca").eqNullSafe(F.col("cb")), 1.0).otherwise(cross)
+    value = a.join(reach.where("src <> dst").select("src", "dst"), "src").join(b, ["grp", "dst"]).groupBy("grp", F.col("src").alias("id")).agg(F.sum(w).alias("value"))
+    items = scope.join(value, ["grp", "id"], "left").join(about, "id", "left").join(deep, "id", "left")
+    items = items.select("grp", "id", F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(1.0)).alias("value"), F.coalesce(F.nullif(F.col("cost").cast("double"), F.lit(0.0)), F.lit(minutes)).alias("cost"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    if mastery is not None:
+        items = items.join(mastery.where(F.col("level") >= mastered).select("grp", "id").distinct(), ["grp", "id"], "left_anti")
+    items = scratch.keep(items)
+    needs = edges.join(items.select("grp", F.col("id").alias("src")), "src").join(items.select("grp", F.col("id").alias("dst")), ["grp", "dst"]).select("grp", "src", "dst")
+    here = goals.join(items.select("grp", F.col("id").alias("goal"), F.lit(True).alias("open")), ["grp", "goal"], "left")
+    plans = scratch.keep(knapsacks(items, needs, here.select("grp", "budget", F.when(F.col("open"), F.col("goal")).alias("goal"))))
+    plans = plans.select(F.col("grp").alias("g"), (F.col("feasible") & (F.size("chosen") > 0)).alias("feasible"), "chosen")
+    order = Window.partitionBy("grp").orderBy("depth", F.desc("value"), "id")
+    all_ = items.join(goals.select("grp", "budget"), "grp").join(plans, F.col("g") == F.col("grp").cast("string"))
+    chosen = all_.where(F.col("feasible") & F.array_contains("chosen", F.col("id").cast("string"))).withColumn("place", F.row_number().over(order))
+    most = F.greatest(F.lit(1), F.floor(F.col("budget") / minutes))
+    other = all_.where(~F.col("feasible")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return chosen.unionByName(other).select("grp", "place", "id", "feasible")

@@ -62,6 +62,38 @@ def q_cycle_prune(spark: SparkSession, d: str) -> DataFrame:
     return graph.prune_cycles(Scratch(spark, "edges").keep(_edges(spark, d)))[1]
 
 
+def q_cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the list by the name of the concept that unlocks most."""
+    e = _acyclic(spark, d)
+    c = _clusters(spark, d, e)
+    names = sq.table(spark, d, "concepts").select(F.col("concept_id").alias("node"), F.col("canonical_name").alias("name")).distinct()
+    v = graph.unlock_values(c, graph.closure(e)).select("node", r6(F.col("value")).alias("value"))
+    return graph.cluster_names(c, names, v)
+
+
+def q_tuning_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Positive and negative pairs with both names, as what a fine-tuning of the scorer reads: train rows only, unclear labels out."""
+    p = sq._pairs(spark, d).where("split = 'train' and label in (1, 0)")
+    return p.select("pair_id", F.concat_ws(" -> ", "a", "b").alias("text"), F.col("label").alias("target"))
+
+
+def q_dirgcn_two_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Two graph layers on all 64 numbers, and the link score of every edge by what they give."""
+    e = _acyclic(spark, d)
+    x = sq._vectors(spark, d).select(F.col("concept_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("x")).join(graph.nodes_of(e), "node", "left_semi")
+    scratch = Scratch(spark, "layers")
+    one = scratch.keep(graph.graph_layer(x, e, *FULL_MATRICES, FULL_BIAS).select("node", F.transform("h", lambda v: v / 100).alias("x")))
+    two = scratch.keep(graph.graph_layer(one, e, *FULL_MATRICES, FULL_BIAS).select("node", F.transform("h", lambda v: v / 100).alias("h")))
+    return graph.link_score(two, e.select("src", "dst"), [(i * 37 % 101 - 50) / 500 for i in range(128)], 0.1).select("src", "dst", r6(F.col("score")).alias("score"))
+
+
+def q_attention(spark: SparkSession, d: str) -> DataFrame:
+    e = _acyclic(spark, d)
+    x = sq._vectors(spark, d).select(F.col("concept_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("x")).join(graph.nodes_of(e), "node", "left_semi")
+    h = graph.attention_layer(x, e, FULL_MATRICES[0], FULL_BIAS, FULL_BIAS[::-1])
+    return h.select("node", F.transform("h", r6).alias("h"))
+
+
 def q_build_stats(spark: SparkSession, d: str) -> DataFrame:
     built = graph.build_dag(Scratch(spark, "edges").keep(_edges(spark, d)), TAU)
     return built.groupBy(F.coalesce("dropped_reason", F.lit("edge")).alias("reason")).agg(F.count("*").alias("n"))
@@ -102,8 +134,7 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     """Near-equal vectors of a domain (cosine of 0.92 or more), joined into groups through each other."""
     rows = sq._vectors(spark, d).select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec"))
     links = cosine_pairs(rows, 0.92).select("src", "dst")
-    both = Scratch(spark, "links").keep(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return graph.closure(both).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("component"))
+    return graph.components(Scratch(spark, "links").keep(links))
 
 
 def q_communities(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +179,7 @@ def _mat(w: list[list[float]], i: int, x: str) -> str:
     return " + ".join(f"{w[i][j]} * {x}[{j + 1}]" for j in range(4))
 
 
-QUERIES = {f.__name__: f for f in (q_threshold_split, q_closure, q_depth, q_roots, q_transitive_reduction, q_scc, q_cycle_prune, q_build_stats, q_audit, q_unlock_value, q_topo_order, q_components, q_communities, q_dirgcn_layer, q_dirgcn_full)}
+QUERIES = {f.__name__: f for f in (q_threshold_split, q_closure, q_depth, q_roots, q_transitive_reduction, q_scc, q_cycle_prune, q_build_stats, q_audit, q_unlock_value, q_topo_order, q_components, q_cluster_names, q_tuning_pairs, q_dirgcn_two_layers, q_attention, q_communities, q_dirgcn_layer, q_dirgcn_full)}
 SQL = {
     "q_threshold_split": f"WITH {_EDGES} SELECT CASE WHEN conf >= {TAU} THEN 'kept' ELSE 'dropped' END AS bucket, count(*) AS n, {_r('sum(conf)')} AS sum_conf FROM edges GROUP BY 1",
     "q_closure": f"WITH RECURSIVE {_EDGES} {_PATHS} SELECT src AS ancestor, dst AS descendant, hops AS depth FROM reach UNION ALL SELECT node, node, 0 FROM nodes",
@@ -156,6 +187,17 @@ SQL = {
     "q_roots": f"WITH {_EDGES} SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM dag)",
     "q_transitive_reduction": f"WITH RECURSIVE {_EDGES} {_PATHS} SELECT src, dst, CASE WHEN EXISTS (SELECT 1 FROM dag e JOIN reach r ON r.src = e.dst WHERE e.src = d.src AND r.dst = d.dst) THEN 'transitive' END AS dropped_reason FROM dag d",
     "q_scc": f"WITH RECURSIVE {_EDGES}, p AS (SELECT src, dst FROM edges UNION SELECT p.src, e.dst FROM p JOIN edges e ON e.src = p.dst), n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT n.node, least(n.node, coalesce(min(a.dst), n.node)) AS component FROM n LEFT JOIN (SELECT x.src, x.dst FROM p x JOIN p y ON x.src = y.dst AND x.dst = y.src) a ON a.src = n.node GROUP BY n.node",
+    "q_cycle_prune": f"""WITH RECURSIVE {_EDGES}, o AS (SELECT src, dst, conf, row_number() OVER (ORDER BY conf, src, dst) AS k FROM edges WHERE src <> dst),
+        p AS (SELECT k, src, dst AS at FROM o UNION SELECT p.k, p.src, o.dst FROM p JOIN o ON o.src = p.at AND o.k > p.k)
+        SELECT DISTINCT o.src, o.dst, o.conf, false AS loop FROM o JOIN p ON p.k = o.k AND p.at = o.src UNION ALL SELECT src, dst, conf, true FROM edges WHERE src = dst""",
+    "q_build_stats": f"""WITH RECURSIVE {_EDGES}, o AS (SELECT src, dst, conf, row_number() OVER (ORDER BY conf, src, dst) AS k FROM edges WHERE conf >= {TAU} AND src <> dst),
+        p AS (SELECT k, src, dst AS at FROM o UNION SELECT p.k, p.src, o.dst FROM p JOIN o ON o.src = p.at AND o.k > p.k),
+        cut AS (SELECT DISTINCT o.k FROM o JOIN p ON p.k = o.k AND p.at = o.src), good AS (SELECT * FROM o WHERE k NOT IN (SELECT k FROM cut)),
+        r AS (SELECT src, dst FROM good UNION SELECT r.src, g.dst FROM r JOIN good g ON g.src = r.dst), red AS (SELECT DISTINCT g.src, r.dst FROM good g JOIN r ON r.src = g.dst)
+        SELECT reason, count(*) AS n FROM (SELECT CASE WHEN red.src IS NULL THEN 'edge' ELSE 'transitive' END AS reason FROM good g LEFT JOIN red ON red.src = g.src AND red.dst = g.dst
+        UNION ALL SELECT 'cycle_prune' FROM cut UNION ALL SELECT 'cycle_prune' FROM edges WHERE conf >= {TAU} AND src = dst UNION ALL SELECT 'threshold' FROM edges WHERE conf < {TAU}) GROUP BY 1""",
+    "q_cluster_names": f"WITH RECURSIVE {_EDGES} {_PATHS} SELECT cluster, name, n_nodes FROM (SELECT cluster, min(canonical_name) AS name, node, {_r('v')} AS v, count(DISTINCT node) OVER (PARTITION BY cluster) AS n_nodes FROM value JOIN cl USING (node) JOIN concepts c ON c.concept_id = node WHERE cluster IS NOT NULL GROUP BY cluster, node, v) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY v DESC, length(name), name) = 1",
+    "q_tuning_pairs": f"WITH {sq._BASE} SELECT pair_id, a || ' -> ' || b AS text, label AS target FROM pairs WHERE split = 'train' AND label IN (1, 0)",
     "q_audit": f"""WITH RECURSIVE {_EDGES}, k AS (SELECT * FROM dag WHERE conf >= {TAU}), p AS (SELECT src, dst FROM k UNION SELECT p.src, k.dst FROM p JOIN k ON k.src = p.dst),
         red AS (SELECT DISTINCT k.src, p.dst FROM k JOIN p ON p.src = k.dst)
         SELECT CASE WHEN d.conf >= {TAU} AND red.src IS NULL THEN 'survived' WHEN p.src IS NOT NULL THEN 'subsumed_by_transitive_path' ELSE 'lost_to_threshold' END AS status, count(*) AS n

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.functions.columns import cosine, r6, usable
-from gradus.operators import content, hierarchy, learning, planning, relational
+from gradus.functions.columns import cosine, difficulty_prior, r6, usable
+from gradus.operators import content, hierarchy, learning, planning, relational, session_graph
 from gradus.plans import graph_queries as gq
 from gradus.plans.hierarchy_queries import _LINKS
 from gradus.session import Scratch
@@ -89,7 +89,8 @@ def q_unlock_dag(spark: SparkSession, d: str) -> DataFrame:
 
 def q_cascade(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
-    return learning.cascade(hierarchy.Forest(n.select("node", "parent")), n.select("node", "status"))
+    places = hierarchy.child_places(hierarchy.valid_rows(table(spark, d, "concept_nodes")))
+    return learning.cascade(hierarchy.Forest(n.select("node", "parent")), n.select("node", "status"), places)
 
 
 def q_can_start(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +115,74 @@ def q_next_available(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_payload(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d)
-    e = _tree_edges(n).join(n.select(F.col("node").alias("dst"), "session_id"), "dst")
-    p = learning.payload(n.select("session_id", "node", "label", "status"), e)
-    back = F.from_json("payload", "nodes array<struct<node:string,status:string>>, edges array<struct<src:string>>")
-    return p.select("session_id", F.size(back["nodes"]).alias("n_nodes"), F.size(F.filter(back["nodes"], lambda x: x["status"] == "completed")).alias("n_completed"), F.greatest(F.size(back["edges"]), F.lit(0)).alias("n_edges"))
+    """The nodes of every session, written to its document and read back."""
+    n = _nodes(spark, d).join(_tree_depths(spark, d), "node").withColumnRenamed("session_id", "session")
+    e = _tree_edges(n).join(n.select(F.col("node").alias("dst"), "session"), "dst")
+    return session_graph.from_payload(session_graph.to_payload(n, e))[0].withColumnRenamed("session", "session_id")
+
+
+def q_payload_edges(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d).join(_tree_depths(spark, d), "node").withColumnRenamed("session_id", "session")
+    e = _tree_edges(n).join(n.select(F.col("node").alias("dst"), "session"), "dst")
+    return session_graph.from_payload(session_graph.to_payload(n, e))[1].withColumnRenamed("session", "session_id")
+
+
+def _tree_depths(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "concept_nodes").groupBy(F.col("node_id").alias("node")).agg(F.max(F.struct("updated_at", "depth")).alias("m"))
+    return v.select("node", "m.depth")
+
+
+def _learner_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of one graph for each domain: its goal, its clusters and its concepts."""
+    goals = table(spark, d, "domains").select(F.col("domain_id").alias("session"), F.col("goal_concept").alias("goal"))
+    c = table(spark, d, "concepts").select(F.col("domain_id").alias("session"), F.col("concept_id").alias("node"), F.col("canonical_name").alias("label"), F.col("cluster_no").alias("cluster"), "depth").distinct()
+    clusters = c.where("cluster is not null").select("session", "cluster", F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string")).alias("name")).distinct()
+    return Scratch(spark, "learner").keep(session_graph.hierarchy_nodes(goals, clusters, c))
+
+
+def q_hierarchy_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _learner_graph(spark, d)
+
+
+def q_hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "concepts").select(F.col("domain_id").alias("session"), F.col("concept_id").alias("src")).distinct()
+    p = gq._acyclic(spark, d).join(own, "src").select("session", "src", "dst", "conf")
+    return session_graph.hierarchy_edges(_learner_graph(spark, d), p)
+
+
+def q_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of all sessions built anew: remediation nodes stay, time and progress of the old rows are carried forward."""
+    v = table(spark, d, "concept_nodes").groupBy(F.col("node_id").alias("node")).agg(F.max(F.struct("updated_at", "label", "status", "node_type", "is_dynamic_remediation", "progress")).alias("m")).select("node", "m.*")
+    old = v.select("node", "label", "status", F.coalesce("is_dynamic_remediation", F.lit(False)).alias("remediation"), F.unix_micros("updated_at").alias("last_review"), F.col("progress").alias("stability"))
+    return session_graph.rebuilt(old, v.where("node_type = 'leaf'").select("node", "label", F.lit("locked").alias("status")))
+
+
+def q_remediation_progress(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("floor(value) % 6 >= 3")
+    return session_graph.remediation_progress(e.select(F.concat(F.lit("RM_"), F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("rm")), 2)
+
+
+def q_difficulty_prior(spark: SparkSession, d: str) -> DataFrame:
+    r = _reviews(spark, d).withColumn("correct", F.col("quality") >= 3)
+    return session_graph.first_attempts(r, "event_type").select("event_type", r6(F.col("accuracy")).alias("accuracy"), r6(difficulty_prior(F.col("accuracy"))).alias("stability"))
+
+
+def q_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Options of a question on every concept with a vector: the vector itself, minus 0.8 and 0.05 of it, against the concept's own in the bank."""
+    c = table(spark, d, "concepts").where(usable(F.col("embedding"), 64)).select(F.col("concept_id").cast("string").alias("misconception"), "embedding").distinct()
+    scale = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(x).alias("x")) for r, x in (("A", 1.0), ("B", -0.8), ("C", 0.05))))).alias("o")
+    answers = c.select("misconception", "embedding", scale).select("misconception", "o.role", F.transform("embedding", lambda v: v.cast("double") * F.col("o.x")).alias("vec"))
+    a = learning.attributed(answers, c.select("misconception", F.transform("embedding", lambda v: v.cast("double")).alias("vec")))
+    return a.select("misconception", "role", F.round("match", 6).alias("match"), "attributed")
+
+
+def q_optimize_path(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of 120 minutes to every concept of the graph whose id is divisible by 10; a learner has mastered what is divisible by 7."""
+    e = gq._acyclic(spark, d)
+    nodes = table(spark, d, "concepts").select(F.col("concept_id").alias("node"), F.col("cluster_no").alias("cluster"), F.col("est_minutes").alias("cost"))
+    goals = gq.graph.nodes_of(e).where("node % 10 = 0").select(F.col("node").alias("grp"), F.col("node").alias("goal"), F.lit(120.0).alias("budget"))
+    known = planning.scopes(e, goals).where("id % 7 = 0").withColumn("level", F.lit(0.9))
+    return planning.optimize_paths(e, nodes, goals, known)
 
 
 def q_quiz_gen(spark: SparkSession, d: str) -> DataFrame:
@@ -260,6 +324,13 @@ _ROLE = "['A', 'B', 'C'][floor(value)::BIGINT % 3 + 1]"
 _NODES = f"""{_LINKS}, n AS (SELECT v.node_id AS node, c.session_id, c.label, coalesce(lower(trim(c.status, ' ')), 'locked') AS status, c.node_type, c.triggering_misconception AS mis, l.parent
   FROM valid v JOIN (SELECT * FROM concept_nodes QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC NULLS LAST) = 1) c USING (node_id) JOIN links l USING (node_id)),
 e AS (SELECT parent AS src, node AS dst, 'prerequisite' AS kind, 0.8::DOUBLE AS conf FROM n WHERE parent IS NOT NULL)"""
+_LEARNER = """root AS (SELECT domain_id AS session, regexp_replace(regexp_replace(lower(goal_concept), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS node, goal_concept AS label FROM domains),
+cl2 AS (SELECT DISTINCT domain_id AS session, cluster_no AS cluster FROM concepts WHERE cluster_no IS NOT NULL),
+leaf AS (SELECT domain_id AS session, concept_id::VARCHAR AS node, canonical_name AS label, coalesce(cluster_no, 0) AS cluster, coalesce(depth, 2) AS depth FROM (SELECT DISTINCT domain_id, concept_id, canonical_name, cluster_no, depth FROM concepts)),
+firsts AS (SELECT session, node FROM leaf QUALIFY row_number() OVER (PARTITION BY session ORDER BY depth > 1, node) = 1),
+nodes AS (SELECT session, node, label, 'in_progress' AS status, 'root' AS node_type, CAST(NULL AS VARCHAR) AS parent, 0 AS depth FROM root
+  UNION ALL SELECT c.session, 'cluster_' || cluster, 'Cluster ' || (cluster + 1), 'available', 'branch', r.node, 1 FROM cl2 c JOIN root r USING (session)
+  UNION ALL SELECT l.session, l.node, l.label, CASE WHEN f.node IS NULL THEN 'locked' ELSE 'available' END, 'leaf', CASE WHEN c.cluster IS NULL THEN r.node ELSE 'cluster_' || l.cluster END, l.depth FROM leaf l JOIN root r USING (session) LEFT JOIN cl2 c ON c.session = l.session AND c.cluster = l.cluster LEFT JOIN firsts f ON f.session = l.session AND f.node = l.node)"""
 _RUNS = "runs AS (SELECT pair_id, annotator, source, lower(trim(split, ' ')) AS purpose, CASE WHEN label = 1 THEN 'final_eval' ELSE 'dev' END AS run_type FROM (SELECT DISTINCT * FROM gold_pairs))"
 _BUCKETS = "SELECT grp, id, bucket, n, sqrt(sum(n * n) OVER (PARTITION BY grp, id)::DOUBLE) AS norm FROM (SELECT grp, id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 384)::INT AS bucket, count(*) AS n FROM (SELECT grp, id, unnest(string_split_regex(lower(text), '[ \\t\\r\\n]+')) AS w FROM {}) WHERE w <> '' GROUP BY ALL)"
 
@@ -278,11 +349,12 @@ def _sql() -> dict[str, str]:
         "q_retention": f"WITH {_LAST} SELECT user_id, event_type, {_r('r')} AS retention, r < 0.5 AS decayed FROM ret",
         "q_refresh_edges": f"WITH {_LAST}, t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT a.event_type AS source, min(b.event_type) AS target FROM t a JOIN t b ON b.event_type > a.event_type GROUP BY 1) SELECT user_id, source, target FROM ret JOIN c ON c.target = event_type WHERE r < 0.5",
         "q_grade": f"SELECT event_id, role, mis AS misconception, CASE WHEN mis IS NOT NULL THEN 'remediate' WHEN role = 'A' THEN 'complete' ELSE 'review' END AS action, CASE WHEN mis IS NOT NULL THEN NULL WHEN role = 'A' THEN 3 ELSE 1 END AS quality FROM (SELECT event_id, {_ROLE} AS role, CASE WHEN {_ROLE} = 'B' THEN 'M_' || md5(event_type)[:8] END AS mis FROM events)",
-        "q_inject": f"WITH RECURSIVE {_NODES}, t AS (SELECT node, 'RM_' || mis || '_' || node AS rm FROM n WHERE mis IS NOT NULL) SELECT src, dst, kind, conf FROM e WHERE dst NOT IN (SELECT node FROM t) UNION ALL SELECT src, rm, kind, conf FROM e JOIN t ON t.node = e.dst UNION ALL SELECT rm, node, 'remediation_link', 1.0 FROM t",
+        "q_inject": f"WITH RECURSIVE {_NODES}, t AS (SELECT node, 'RM_' || regexp_replace(mis, '^M_', '') || '_' || node AS rm FROM n WHERE mis IS NOT NULL) SELECT src, dst, kind, conf FROM e WHERE dst NOT IN (SELECT node FROM t) UNION ALL SELECT src, rm, kind, conf FROM e JOIN t ON t.node = e.dst UNION ALL SELECT rm, node, 'remediation_link', 1.0 FROM t",
         "q_resolve_roundtrip": f"WITH RECURSIVE {_NODES} SELECT src, dst, kind, conf FROM e",
         "q_unlock_dag": f"WITH RECURSIVE {_NODES} SELECT n.node, CASE WHEN n.status = 'locked' AND p.status = 'completed' THEN 'available' ELSE n.status END AS status FROM n LEFT JOIN n p ON p.node = n.parent",
         "q_cascade": f"""WITH RECURSIVE {_NODES}, up AS (SELECT d.node_id AS leaf, n.node AS node FROM down d JOIN n ON n.node = d.node_id WHERE d.node_id NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND n.status <> 'completed' UNION SELECT u.leaf, l.parent FROM up u JOIN links l ON l.node_id = u.node WHERE l.parent IS NOT NULL),
-            st AS (SELECT n.node, n.parent, n.status, n.status = 'completed' OR (n.node IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND n.node NOT IN (SELECT node FROM up)) AS done, row_number() OVER (PARTITION BY n.parent ORDER BY n.node) AS p FROM n JOIN down d ON d.node_id = n.node),
+            cp AS (SELECT parent, node, min(place) AS place FROM (SELECT node_id AS parent, unnest(children_ids) AS node, unnest(range(len(children_ids))) AS place FROM valid) GROUP BY ALL),
+            st AS (SELECT n.node, n.parent, n.status, n.status = 'completed' OR (n.node IN (SELECT parent FROM n WHERE parent IS NOT NULL) AND n.node NOT IN (SELECT node FROM up)) AS done, row_number() OVER (PARTITION BY n.parent ORDER BY cp.place NULLS LAST, n.node) AS p FROM n JOIN down d ON d.node_id = n.node LEFT JOIN cp ON cp.parent = n.parent AND cp.node = n.node),
             pl AS (SELECT *, max(CASE WHEN done THEN p END) OVER w AS ld, max(CASE WHEN status = 'locked' THEN p END) OVER w AS ll FROM st WINDOW w AS (PARTITION BY parent ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
             op AS (SELECT node FROM pl WHERE parent IS NOT NULL AND NOT done AND status = 'locked' AND ld > coalesce(ll, 0)), ch AS (SELECT node FROM pl WHERE p = 1 AND NOT done AND status = 'locked' AND parent IN (SELECT node FROM op))
             SELECT n.node, CASE WHEN st.done THEN 'completed' WHEN n.node IN (SELECT node FROM op UNION SELECT node FROM ch) THEN 'available' ELSE n.status END AS status FROM n LEFT JOIN st USING (node)""",
@@ -292,7 +364,14 @@ def _sql() -> dict[str, str]:
             SELECT u.node, {_r("sum(CASE WHEN n.status = 'completed' THEN u.w ELSE 0 END)")} AS progress FROM up u JOIN n ON n.node = u.leaf GROUP BY u.node""",
         "q_hidden_nodes": f"WITH RECURSIVE {_NODES}, h AS (SELECT n.node FROM n JOIN down d ON d.node_id = n.node JOIN n p ON p.node = n.parent WHERE p.status = 'completed' UNION SELECT n.node FROM h JOIN n ON n.parent = h.node) SELECT node FROM h",
         "q_next_available": f"WITH RECURSIVE {_NODES} SELECT session_id, node, status FROM n WHERE node_type = 'leaf' AND status IN ('available', 'in_progress') QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY node) = 1",
-        "q_payload": f"WITH RECURSIVE {_NODES} SELECT session_id, count(*)::INT AS n_nodes, count(*) FILTER (WHERE status = 'completed')::INT AS n_completed, count(parent)::INT AS n_edges FROM n GROUP BY 1",
+        "q_payload": f"WITH RECURSIVE {_NODES}, v2 AS (SELECT * FROM concept_nodes QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC NULLS LAST) = 1) SELECT n.session_id, n.node, n.label, n.status, n.node_type, n.parent, v2.depth FROM n JOIN v2 ON v2.node_id = n.node",
+        "q_payload_edges": f"WITH RECURSIVE {_NODES} SELECT n.session_id, e.src, e.dst, e.kind, e.conf FROM e JOIN n ON n.node = e.dst",
+        "q_hierarchy_nodes": f"WITH {_LEARNER} SELECT * FROM nodes",
+        "q_hierarchy_edges": f"WITH {gq._EDGES.replace('nodes AS', 'dag_nodes AS')}, {_LEARNER}, own AS (SELECT DISTINCT domain_id AS session, concept_id FROM concepts) SELECT session, parent AS src, node AS dst, 'hierarchy' AS kind, 1.0::DOUBLE AS conf FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT o.session, src::VARCHAR, dst::VARCHAR, 'prerequisite', conf FROM dag JOIN own o ON o.concept_id = src WHERE EXISTS (SELECT 1 FROM nodes x WHERE x.session = o.session AND x.node = src::VARCHAR) AND EXISTS (SELECT 1 FROM nodes x WHERE x.session = o.session AND x.node = dst::VARCHAR)",
+        "q_rebuild": "WITH v AS (SELECT * FROM concept_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC NULLS LAST) = 1) SELECT node_id AS node, label, CASE WHEN node_type = 'leaf' THEN 'locked' ELSE status END AS status, node_type <> 'leaf' AS remediation, epoch_us(updated_at) AS last_review, progress AS stability FROM v WHERE node_type = 'leaf' OR coalesce(is_dynamic_remediation, false)",
+        "q_remediation_progress": "SELECT 'RM_' || user_id || '_' || event_type AS rm, count(*) AS n, count(*) >= 2 AS resolved FROM events WHERE floor(value)::BIGINT % 6 >= 3 GROUP BY 1",
+        "q_difficulty_prior": f"SELECT event_type, {_r('a')} AS accuracy, {_r('(0.5 + 2.5 * a) * 86400')} AS stability FROM (SELECT event_type, avg((floor(value)::BIGINT % 6 >= 3)::INT) AS a FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1) GROUP BY 1)",
+        "q_attribution": f"WITH {gq.sq._BASE} SELECT misconception, role, m AS match, m < 0.1 AS attributed FROM (SELECT DISTINCT concept_id::VARCHAR AS misconception, v FROM vec), (VALUES ('A', 1.0::DOUBLE), ('B', -1.0), ('C', 1.0)) o(role, m)",
         "q_quiz_gen": "SELECT node, unnest([1, 2, 3]) AS question, role, CASE WHEN role = 'B' THEN 'M_' || md5(node::VARCHAR)[:8] END AS misconception FROM (SELECT DISTINCT concept_id AS node FROM concepts), (SELECT unnest(['A', 'B', 'C']) AS role)",
         "q_quiz_validate": f"SELECT user_id AS node, event_type AS question FROM events GROUP BY ALL HAVING count(*) <> 3 OR count(DISTINCT {_ROLE}) <> 3",
         "q_content_items": f"SELECT goal_concept AS topic, kind, rank::INT AS rank, kind || '://' || replace(goal_concept, ' ', '-') || '/' || rank AS url FROM domains, (SELECT unnest([{', '.join(f"'{k}'" for k in content.KINDS)}]) AS kind), range(5) r(rank)",
@@ -304,7 +383,7 @@ def _sql() -> dict[str, str]:
             SELECT grp, true AS feasible, max(v)::DOUBLE AS best_value FROM m WHERE c <= 25 AND ok GROUP BY grp""",
         "q_upsert": "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_acctbal FROM supplier",
         "q_purge": "SELECT l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1",
-        "q_incremental": "WITH t AS (SELECT DISTINCT title, source_type FROM documents WHERE title IS NOT NULL) SELECT source_type, count(*) AS n FROM t WHERE source_type = 'syllabus' OR title NOT IN (SELECT title FROM t WHERE source_type = 'syllabus') GROUP BY 1",
+        "q_incremental": "WITH t AS (SELECT DISTINCT title, source_type FROM documents WHERE title IS NOT NULL), n AS (SELECT max(source_type) AS source_type FROM t WHERE source_type <> 'syllabus' AND title NOT IN (SELECT title FROM t WHERE source_type = 'syllabus') GROUP BY title) SELECT source_type, count(*) AS n FROM (SELECT source_type FROM t WHERE source_type = 'syllabus' UNION ALL SELECT source_type FROM n) GROUP BY 1",
         "q_cache_ttl": "SELECT user_id, event_id, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) <= 86400",
         "q_heldout_violations": f"WITH {_RUNS} SELECT pair_id, purpose, run_type FROM runs WHERE purpose = 'heldout' AND run_type <> 'final_eval'",
         "q_oneshot_violations": f"WITH {_RUNS} SELECT annotator, source, count(*) AS n FROM runs WHERE run_type = 'final_eval' GROUP BY ALL HAVING count(*) > 1",
@@ -318,7 +397,7 @@ def _sql() -> dict[str, str]:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_sm2, q_fsrs_fold, q_retention, q_refresh_edges, q_grade, q_inject, q_resolve_roundtrip, q_unlock_dag, q_cascade, q_can_start, q_progress, q_hidden_nodes, q_next_available, q_payload, q_quiz_gen, q_quiz_validate,
+        q_sm2, q_fsrs_fold, q_retention, q_refresh_edges, q_grade, q_inject, q_resolve_roundtrip, q_unlock_dag, q_cascade, q_can_start, q_progress, q_hidden_nodes, q_next_available, q_payload, q_payload_edges, q_hierarchy_nodes, q_hierarchy_edges, q_rebuild, q_remediation_progress, q_difficulty_prior, q_attribution, q_optimize_path, q_quiz_gen, q_quiz_validate,
         q_content_items, q_content_rank, q_cosine_topk, q_cap_by_relevance, q_knapsack, q_study_path, q_upsert, q_purge, q_incremental, q_cache_ttl, q_heldout_violations, q_oneshot_violations, q_schema_checks,
         q_nested_aliases, q_chapter_pairs, q_link_pairs,
     )
