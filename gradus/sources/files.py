@@ -18,7 +18,8 @@ def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_folds(spark: SparkSession, folder: str) -> DataFrame:
     """(domain, part, fold, concept, prerequisite, label) of all files <domain>_<train|test>_split_<k>.csv of a folder.
 
-    Columns are taken by the names in the header, in whatever order they stand: Concept, Prerequisite and label_prereq.
+    Columns are taken by the names in the header, in whatever order they stand: Concept, Prerequisite and label_prereq. Files of one
+    folder have the same header; one with another order of the columns is an error, never a changed meaning.
     """
     raw = spark.read.csv(folder, header=True, pathGlobFilter="*_split_*.csv", enforceSchema=False)
     rows = raw.select(*(F.col(c).cast("int" if name == "label" else "string").alias(name) for c, name in FOLD_COLUMNS.items()))

@@ -207,11 +207,11 @@ def test_memory_formulas(spark):
 def test_remediation_round_trip(spark):
     e = spark.createDataFrame([("A", "B", "prerequisite", 0.8), ("B", "C", "prerequisite", 0.8)], "src string, dst string, kind string, conf double")
     new, stash, lock = learning.inject_remediation(e, spark.createDataFrame([("C", "M_7")], "node string, misconception string"))
-    assert pairs(new, "src", "dst", "kind") == [("A", "B", "prerequisite"), ("B", "RM_M_7_C", "prerequisite"), ("RM_M_7_C", "C", "remediation_link")]
+    assert pairs(new, "src", "dst", "kind") == [("A", "B", "prerequisite"), ("B", "RM_7_C", "prerequisite"), ("RM_7_C", "C", "remediation_link")]
     assert pairs(lock, "node") == [("C",)]
     again = learning.inject_remediation(new, spark.createDataFrame([("C", "M_7")], "node string, misconception string"))[0]
     assert pairs(again, "src", "dst") == pairs(new, "src", "dst")
-    back = learning.resolve_remediation(new, stash, spark.createDataFrame([("RM_M_7_C",)], "rm string"))
+    back = learning.resolve_remediation(new, stash, spark.createDataFrame([("RM_7_C",)], "rm string"))
     assert pairs(back, "src", "dst") == [("A", "B"), ("B", "C")]
 
 
@@ -246,9 +246,9 @@ def test_vector_top_is_exact(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "calc_train_split_1.csv").write_text("concept,prerequisite,label\nlimit,function,1\n")
-    (tmp_path / "calc_test_split_1.csv").write_text("concept,prerequisite,label\nseries,limit,0\n")
-    assert pairs(files.read_folds(spark, str(tmp_path)), "domain", "part", "fold", "label") == [("calc", "test", 1, 0), ("calc", "train", 1, 1)]
+    (tmp_path / "calc_train_split_1.csv").write_text("Prerequisite,Concept,label_prereq\nfunction,limit,1\n")
+    (tmp_path / "calc_test_split_1.csv").write_text("Prerequisite,Concept,label_prereq\nlimit,series,0\n")
+    assert pairs(files.read_folds(spark, str(tmp_path)), "domain", "part", "fold", "concept", "prerequisite", "label") == [("calc", "test", 1, "series", "limit", 0), ("calc", "train", 1, "limit", "function", 1)]
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "mining.txt").write_text("long enough text " * 5)
     (tmp_path / "short.txt").write_text("no")
@@ -269,13 +269,183 @@ def test_search_urls(spark):
     assert pairs(files.search_result_urls(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h"), "url") == [("https://x.example/a",)]
 
 
-def test_session_windows_stream(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:00:00", 7), (2, "2024-01-01 00:10:00", 7), (3, "2024-01-01 02:00:00", 7)]
-    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "'view' event_type", "1.0D value", "'' props")
-    df.write.parquet(str(tmp_path / "events.parquet"))
-    stream = reviews.event_stream(spark, str(tmp_path / "events.parquet"), "*.parquet")
-    got = reviews.run_to_end(reviews.sessions(stream), "sess", "complete", str(tmp_path / "ck"))
+def _event_files(spark, folder, rows, order):
+    """Each row in a file of its own, with the times of the files in the given order."""
+    import os
+    from glob import glob
+
+    for i in order:
+        df = spark.createDataFrame([rows[i]], "event_id bigint, ts string, user_id bigint, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "'view' event_type", "value", "'' props")
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+    for k, i in enumerate(order):
+        for f in glob(f"{folder}/*.parquet"):
+            if spark.read.parquet(f).head()["event_id"] == rows[i][0]:
+                os.utime(f, (1_700_000_000 + 100 * k,) * 2)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (2, 1, 0)])
+def test_streams_do_not_depend_on_file_order(spark, tmp_path, order):
+    rows = [(1, "2024-01-01 00:00:00", 7, 5.0), (2, "2024-01-01 00:10:00", 7, 1.0), (3, "2024-01-01 02:00:00", 7, 4.0)]
+    _event_files(spark, tmp_path / "e", rows, order)
+    got = reviews.run_to_end(reviews.sessions(reviews.event_stream(spark, str(tmp_path / "e"), "*.parquet")), "complete", str(tmp_path / "s"))
     assert sorted(r.n for r in got.collect()) == [1, 2]
+    w = reviews.run_to_end(reviews.windowed_counts(reviews.event_stream(spark, str(tmp_path / "e"), "*.parquet")), "complete", str(tmp_path / "w"))
+    assert sorted(r.n for r in w.collect()) == [1, 2]
+    # The state is the same although each file is a batch.
+    m = reviews.run_to_end(reviews.memory_state(reviews.event_stream(spark, str(tmp_path / "e"), "*.parquet", 1)), "update", str(tmp_path / "m")).collect()
+    assert [r.n_reviews for r in sorted(m, key=lambda r: r.n_reviews)] == [1, 2, 3]
+    assert max(m, key=lambda r: r.n_reviews).stability == pytest.approx(2 * 86400 * 1.84 / 1.8 * 1.72)
+
+
+def test_a_component_with_many_surplus_edges(spark):
+    """The complete directed graph of 34 nodes needs more than a thousand cuts of one edge; what is left has no cycle."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"n{i:02d}", f"n{j:02d}", rng.random()) for i in range(34) for j in range(34) if i != j]
+    rest, cut = graph.prune_cycles(edges(spark, rows))
+    left = {(r.src, r.dst) for r in rest.collect()}
+    assert len(left) + cut.count() == len(rows)
+    while True:  # sources are taken away until nothing is left
+        free = {a for a, _ in left} - {b for _, b in left}
+        if not free:
+            break
+        left = {(a, b) for a, b in left if a not in free}
+    assert not left
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    root = {x: x for p in links for x in p}
+    for _ in range(60):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
+    assert got == root
+
+
+def test_attention_weights(spark):
+    f = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "node int, x array<double>")
+    h = {r.node: r.h for r in graph.attention_layer(f, spark.createDataFrame([(1, 2)], "src int, dst int"), [[1.0, 0.0], [0.0, 1.0]], [1.0, 0.0], [0.0, 1.0]).collect()}
+    a, b = math.exp(3.0), math.exp(2.0)  # into 2: from 1 with 1 + 2, from itself with 0 + 2
+    assert h[1] == pytest.approx([1.0, 0.0]) and h[2] == pytest.approx([a / (a + b), 2 * b / (a + b)])
+
+
+def test_canonical_order_is_by_one_column_after_the_other(spark):
+    rows = [(1, "the classes", None, None, 1), (2, "the classes", None, None, 2), (3, "class", None, None, 3), (4, "Class", None, 9, 4)]
+    rows += [(i, "graphs", None, None, i) for i in range(10, 900)] + [(900, "graph", "text", None, 900)]
+    g = {r.norm: r.canonical_name for r in corpus.canonical_groups(spark.createDataFrame(rows, "id int, name string, definition string, source_doc_id int, ord int")).collect()}
+    assert g["class"] == "Class" and g["graph"] == "graph"
+    two = spark.createDataFrame([r for r in rows[:3]], "id int, name string, definition string, source_doc_id int, ord int")
+    assert corpus.canonical_groups(two).head()["canonical_name"] == "the classes"
+    why = {(r.id, r.reason) for r in corpus.rejected(two).collect()}
+    assert why == {(2, "same_form"), (3, "less_frequent")}
+
+
+def test_phrases_keep_whole_words(spark):
+    d = spark.createDataFrame([(1, "McDonald farm house. Naïve bayes rule of the Random Forest Model; chapter one"), (2, None), (3, "")], "k int, t string")
+    got = {r.phrase for r in corpus.phrases(d, "k", "t").collect()}
+    assert "farm house" in got and "Random Forest Model" in got and not any("onald" in p or p.startswith("ve ") for p in got)
+
+
+def test_pairs_below_the_floor_are_dropped(spark):
+    m = spark.createDataFrame([(1, 2, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 3, 0.0, 0.0, 0.5, 0.0, 0.2, 0.15)], "src int, dst int, order_fwd double, order_rev double, def_fwd double, def_rev double, cooc double, sim double")
+    assert pairs(signals.prune(m), "src", "dst") == [(1, 3)]
+    p = signals.plausible(signals.prune(m), spark.createDataFrame([(3, 1, 0.9), (1, 2, 0.9)], "src int, dst int, s double"))
+    assert pairs(p, "src", "dst", "s_plaus") == [(1, 3, 0.9)]
+    assert pairs(signals.plausible(m, spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.1)], "src int, dst int, s double"), most=1), "dst", "s_plaus") == [(2, 0.9), (3, 0.5)]
+
+
+def test_short_names_and_inner_places(spark):
+    names = spark.createDataFrame([(1, 1, "ai"), (1, 2, "c"), (1, 3, "ai lab"), (2, 4, "ai")], "domain_id int, concept_id int, name string")
+    texts = spark.createDataFrame([(1, 10, "Said: AI lab, c"), (1, 11, "nothing"), (None, 12, "ai"), (1, 13, None)], "domain_id int, unit int, text string")
+    assert pairs(signals.mentions(names, texts), "unit", "concept_id", "pos") == [(10, 1, 1), (10, 2, 14), (10, 3, 6)]
+
+
+def test_as_many_negatives_as_positives(spark):
+    pos = spark.createDataFrame([(i, i + 1) for i in range(200)], "src bigint, dst bigint")
+    got = scoring.negatives(pos, spark.range(201).select(F.col("id").alias("node"))).collect()
+    assert len(got) == 200 == len({(r.src, r.dst) for r in got}) and not {(r.src, r.dst) for r in got} & {(i, i + 1) for i in range(200)}
+
+
+def test_ranks_over_partitions(spark):
+    from gradus.session import Scratch
+
+    df = spark.range(500).selectExpr("(id * 7919) % 503 v", "id")
+    assert [r["rank"] for r in scoring.ranked(Scratch(spark, "t"), df, "v", "id").orderBy("v", "id").collect()] == list(range(1, 501))
+
+
+def test_probe_asks_with_and_without(spark):
+    p = spark.createDataFrame([("u x", "v")], "src string, dst string")
+    std, wo = [5, 5, 5, 5], [6, 8, 8, 10]  # words of each prompt
+    std = [len(t.format(v="v").split()) for t in scoring.STANDARD]
+    wo = [len(t.format(v="v", u="u x").replace(",", " ").split()) for t in scoring.WITHOUT]
+    a, b = (sum(10 * (1 + 0.01 * n) for n in ns) / 4 for ns in (std, wo))
+    assert scoring.dependency_probe(p).head()["d"] == pytest.approx((b - a) / a) and b > a
+    t = spark.createDataFrame([(1, -1.0), (1, -3.0)], "k int, logprob double")
+    assert scoring.perplexity(t, "k").head()["ppl"] == pytest.approx(math.exp(2))
+
+
+def test_repeated_new_keys(spark):
+    old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(2, "c"), (2, "d"), (1, "x"), (1, "y")], "k int, v string")
+    assert pairs(relational.upsert(old, new, "k"), "k", "v") == [(1, "y"), (2, "d")]
+    assert pairs(relational.append_new(old, new, "k"), "k", "v") == [(1, "a"), (2, "d")]
+
+
+def test_cascade_follows_the_order_of_children(spark):
+    from gradus.operators import hierarchy
+
+    rows = spark.createDataFrame([("r", None, ["z", "a", "m"]), ("z", "r", None), ("a", "r", None), ("m", "r", None)], "node string, parent string, children array<string>")
+    s = spark.createDataFrame([("r", "in_progress"), ("z", "completed"), ("a", "locked"), ("m", "locked")], "node string, status string")
+    got = dict(pairs(learning.cascade(hierarchy.Forest(rows.select("node", "parent")), s, hierarchy.child_places(rows)), "node", "status"))
+    assert got == {"r": "in_progress", "z": "completed", "a": "available", "m": "locked"}
+
+
+def test_learner_graph_round_trip_and_rebuild(spark):
+    from gradus.operators import session_graph as sg
+
+    goals = spark.createDataFrame([(1, "Big Goal")], "session int, goal string")
+    clusters = spark.createDataFrame([(1, 0, "first")], "session int, cluster int, name string")
+    c = spark.createDataFrame([(1, "b", "B", 0, 1), (1, "a", "A", None, 3), (1, "c", "C", 5, None)], "session int, node string, label string, cluster int, depth int")
+    n = sg.hierarchy_nodes(goals, clusters, c)
+    assert pairs(n, "node", "status", "parent", "depth") == sorted([("a", "locked", "cluster_0", 3), ("b", "available", "cluster_0", 1), ("big_goal", "in_progress", None, 0), ("c", "locked", "big_goal", 2), ("cluster_0", "available", "big_goal", 1)])
+    e = sg.hierarchy_edges(n, spark.createDataFrame([(1, "b", "a", 0.7), (1, "b", "gone", 0.7)], "session int, src string, dst string, conf double"))
+    assert e.where("kind = 'prerequisite'").count() == 1 and e.count() == 5
+    back = sg.from_payload(sg.to_payload(n, e))
+    assert sorted(map(tuple, back[0].collect()), key=str) == sorted(map(tuple, n.select(back[0].columns).collect()), key=str)
+    assert sorted(map(tuple, back[1].collect())) == sorted(map(tuple, e.select(back[1].columns).collect()))
+    old = spark.createDataFrame([("b", "B", "completed", False, 5, 2.0), ("RM_1_b", "r", "available", True, None, None), ("x", "X", "locked", False, 1, 1.0)], "node string, label string, status string, remediation boolean, last_review int, stability double")
+    assert pairs(sg.rebuilt(old, n.where("node_type = 'leaf'").select("node", "label", "status")), "node", "last_review", "stability") == [("RM_1_b", None, None), ("a", None, None), ("b", 5, 2.0), ("c", None, None)]
+
+
+def test_paths_to_goals(spark):
+    e = edges(spark, [("A", "B", 1.0), ("B", "C", 1.0), ("A", "D", 1.0), ("X", "Y", 1.0)])
+    nodes = spark.createDataFrame([(x, 1, 10.0) for x in "ABCDXY"], "node string, cluster int, cost double")
+    goals = spark.createDataFrame([("g1", "C", 100.0), ("g2", "C", 10.0), ("g3", "A", 100.0), ("g4", "X", 20.0)], "grp string, goal string, budget double")
+    from gradus.operators import planning as pl
+
+    got = {}
+    for r in pl.optimize_paths(e, nodes, goals).orderBy("grp", "place").collect():
+        got.setdefault(r.grp, []).append(r.id)
+    assert got["g1"] == ["A", "B", "C"] and got["g2"] == ["A"]  # too dear: the first of the scope
+    assert set(got["g3"]) == {"A", "B", "C", "D"} and "X" in got["g4"] and len(got["g4"]) == 2
+    known = spark.createDataFrame([("g1", "A", 0.8), ("g1", "B", 0.7)], "grp string, id string, level double")
+    assert [r.id for r in pl.optimize_paths(e, nodes, goals.where("grp = 'g1'"), known).orderBy("place").collect()] == ["B", "C"]
+
+
+def test_folds_and_variants(spark):
+    rows = [("a", k, part, y, s) for k in (0, 1) for part, y, s in (("train", 1, 0.8), ("train", 0, 0.2), ("test", 1, 0.9), ("test", 0, 0.6 - 0.2 * k))]
+    r = scoring.cross_validated(spark.createDataFrame(rows, "source string, fold int, part string, y int, s double"), "source").head()
+    assert r["n_folds"] == 2 and r["mean_threshold"] == pytest.approx(0.5) and r["std_threshold"] == 0 and r["mean_f1"] == pytest.approx((2 / 3 + 1) / 2)
+
+
+def test_attribution(spark):
+    bank = spark.createDataFrame([("m", [1.0, 0.0])], "misconception string, vec array<double>")
+    a = spark.createDataFrame([(1, "m", [-0.8, 0.0]), (2, "m", [0.05, 0.0]), (3, "n", [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, "m", None)], "k int, misconception string, vec array<double>")
+    assert pairs(learning.attributed(a, bank), "k", "attributed") == [(1, True), (2, False), (3, True), (4, False), (5, False)]
 
 
 def test_whole_vectors_go_through_the_layer(spark):
