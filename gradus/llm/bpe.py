@@ -8,6 +8,7 @@ machine, and nothing that grows with the corpus is broadcast: the merge table ha
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -20,18 +21,18 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words whose ids a task remembers between batches; more are encoded anew, with the same result.
 REMEMBERED_WORDS = 400_000
-#: Bytes of words that one recursive query takes.
-QUERY_BYTES = 2_000_000
+#: Squared bytes of words that one recursive query takes: it keeps the tokens of every round, and a word has fewer rounds than bytes.
+QUERY_WORK = 30_000_000
+#: Bytes of a word from which on it is contracted round by round in a table of its own, which holds no round but the last.
+LONG_WORD = 2048
 
 _S = r"\p{IsWhite_Space}"
 #: The byte-level pattern with white space spelt out, as Java's \s knows ASCII only.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
 
-CONTRACT = """
-WITH RECURSIVE s(w, p, t, done) AS (
-    SELECT w, p, t, false FROM start
-    UNION ALL
-    SELECT w, p, CASE WHEN taken THEN new_id ELSE t END, best IS NULL
+#: One round: of each word in ``s`` that is not done, the tokens after its minimum-rank pair is contracted, leftmost first.
+ROUND = """
+    SELECT w, p, CASE WHEN taken THEN new_id ELSE t END AS t, best IS NULL AS done
     FROM (
         SELECT w, p, t, best, new_id, taken, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone
         FROM (
@@ -49,6 +50,12 @@ WITH RECURSIVE s(w, p, t, done) AS (
         )
     )
     WHERE NOT gone
+"""
+CONTRACT = f"""
+WITH RECURSIVE s(w, p, t, done) AS (
+    SELECT w, p, t, false FROM start
+    UNION ALL
+    {ROUND}
 )
 SELECT w, list(t ORDER BY p) AS ids FROM s WHERE done GROUP BY w ORDER BY w
 """
@@ -68,7 +75,7 @@ def read_merges(path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
     for rank, pair in enumerate(model["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         rows.append((vocab[left], vocab[right], rank, vocab[left + right]))
-    return np.array([vocab[c] for c in byte_alphabet()], dtype=np.int32), np.array(rows, dtype=np.int32)
+    return np.array([vocab[c] for c in byte_alphabet()], dtype=np.int32), np.array(rows, dtype=np.int32).reshape(-1, 4)
 
 
 class Encoder:
@@ -78,7 +85,8 @@ class Encoder:
         import duckdb
 
         self.byte_ids = byte_ids
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        # Without a temporary folder nothing is ever spilled to the machine's own disk.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         table = pa.table({k: pa.array(merges[:, i]) for i, k in enumerate(("l", "r", "rank", "new_id"))})
         self.db.register("merges_in", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
@@ -86,10 +94,10 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.starts, self.ids = np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.int32)
 
     def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length, in ``self.ids``, of the ids of each of the distinct ``words``."""
+        """Start and length, in ``self.ids``, of the ids of each of the distinct ``words``; both arrays have room to grow."""
         texts = words.to_pylist()
         if len(self.known) + len(texts) > REMEMBERED_WORDS:
             self.forget()
@@ -102,34 +110,58 @@ class Encoder:
     def _add(self, missing: list[str]) -> None:
         raw = [w.encode("utf-8") for w in missing]
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        lengths, ids = [], []
-        lot = np.cumsum(sizes) // QUERY_BYTES
-        for _, part in ((k, np.flatnonzero(lot == k)) for k in np.unique(lot)):
+        lengths, ids = np.zeros(len(raw), dtype=np.int64), {}
+        short = np.flatnonzero(sizes < LONG_WORD)
+        lot = np.cumsum(sizes[short] ** 2) // QUERY_WORK
+        parts = [short[lot == k] for k in np.unique(lot)]
+        for part in parts + [np.array([i]) for i in np.flatnonzero(sizes >= LONG_WORD)]:
             size = sizes[part]
             word = np.repeat(np.arange(len(part), dtype=np.int32), size)
             place = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
             token = self.byte_ids[np.frombuffer(b"".join(raw[i] for i in part), dtype=np.uint8)]
             self.db.register("start", pa.table({"w": word, "p": place, "t": token}))
-            found = self.db.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
+            found = (self._long() if size[0] >= LONG_WORD else self.db.sql(CONTRACT)).to_arrow_table().column("ids").combine_chunks()
             self.db.unregister("start")
             if isinstance(found, pa.ChunkedArray):
                 found = pa.concat_arrays(found.chunks)
-            lengths.append(np.diff(found.offsets.to_numpy()))
-            ids.append(found.flatten().to_numpy().astype(np.int32))
-        first = len(self.starts) - 1
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
-        self.ids = np.concatenate([self.ids, *ids])
+            lengths[part] = np.diff(found.offsets.to_numpy())
+            ids.update(zip(part.tolist(), np.split(found.flatten().to_numpy().astype(np.int32), found.offsets.to_numpy()[1:-1]), strict=True))
+        first, end = len(self.known), self.starts[len(self.known)]
+        self.starts = _room(self.starts, first + len(missing) + 1)
+        self.starts[first + 1 : first + len(missing) + 1] = end + np.cumsum(lengths)
+        self.ids = _room(self.ids, end + lengths.sum())
+        self.ids[end : end + lengths.sum()] = np.concatenate([ids[i] for i in range(len(missing))])
         self.known.update(zip(missing, range(first, first + len(missing)), strict=True))
 
+    def _long(self):
+        """The ids of one long word; the same rounds as the recursive query, but each takes the place of the one before."""
+        self.db.execute("CREATE OR REPLACE TEMP TABLE s AS SELECT w, p, t, false AS done FROM start")
+        while True:
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE s2 AS {ROUND}")
+            if self.db.execute("SELECT coalesce(bool_and(done), true) FROM s2").fetchall()[0][0]:
+                return self.db.sql("SELECT w, list(t ORDER BY p) AS ids FROM s2 GROUP BY w")
+            self.db.execute("CREATE OR REPLACE TEMP TABLE s AS SELECT * FROM s2")
+
+
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values; doubled, so that growing copies each value a few times only."""
+    if size <= len(a):
+        return a
+    out = np.zeros(max(size, 2 * len(a)), dtype=a.dtype)
+    out[: len(a)] = a
+    return out
+
 
-_ENCODER: dict[int, Encoder] = {}
+_ENCODER: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    if shared.id not in _ENCODER if hasattr(shared, "id") else 0 not in _ENCODER:
+    """The encoder of the worker for this tokenizer, told by its contents; another one takes its place."""
+    name, byte_ids, merges = shared.value
+    if name not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[getattr(shared, "id", 0)] = Encoder(*shared.value)
-    return _ENCODER[getattr(shared, "id", 0)]
+        _ENCODER[name] = Encoder(byte_ids, merges)
+    return _ENCODER[name]
 
 
 def _words_of(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -146,7 +178,9 @@ def _per_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _shared(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(read_merges(path))
+    byte_ids, merges = read_merges(path)
+    name = hashlib.sha256(byte_ids.tobytes() + merges.tobytes()).hexdigest()
+    return spark.sparkContext.broadcast((name, byte_ids, merges))
 
 
 def words(text: Column) -> Column:

@@ -24,11 +24,12 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(ends.alias("e")).select("e.v", "e.w")
 
 
-def connected_groups(pairs: DataFrame, left: str, right: str, bfs_rounds: int = 6) -> DataFrame:
+def connected_groups(pairs: DataFrame, left: str, right: str, least_gain: float = 0.01) -> DataFrame:
     """(record_id, group_id): every record with a link to another record, and the smallest record_id of its group.
 
-    ``bfs_rounds`` bounds the breadth-first rounds, not the result: what is reached by then is contracted to one
-    vertex, and a longer tail of the giant component is left to the propagation, which is exact for every shape.
+    The breadth-first search goes on until its frontier is empty or holds less than ``least_gain`` of what has been reached: then
+    the giant is peeled but for thin tails, each step of which would cost a pass over all links. What is reached is
+    contracted to one vertex, so that the tails are labelled with it by the propagation, which is exact for every shape.
     Rows with a null side and self links are no links; repeated links, both directions and extra columns (also ones
     named a, b, v, w) change nothing; no link at all gives an empty result.
     """
@@ -38,7 +39,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, bfs_rounds: int =
     top = _both_ways(links).groupBy("v").count().orderBy(F.desc("count"), "v").limit(1).collect()
     if not top:
         return links.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
-    giant, stand_in, rest = _peel(spark, scratch, links, top[0]["v"], bfs_rounds)
+    giant, stand_in, rest = _peel(spark, scratch, links, top[0]["v"], least_gain)
     labels = scratch.keep(_propagate(scratch, rest))
     # The vertex that stands for the peeled part may have been joined to a smaller one, or be the group's least itself.
     joined = labels.where(F.col("v") == stand_in).select("label").head()
@@ -47,14 +48,16 @@ def connected_groups(pairs: DataFrame, left: str, right: str, bfs_rounds: int =
     return peeled.unionByName(small).select(F.col("v").alias("record_id"), F.col("label").alias("group_id"))
 
 
-def _peel(spark: SparkSession, scratch: Scratch, links: DataFrame, start: int, rounds: int) -> tuple[DataFrame, int, DataFrame]:
+def _peel(spark: SparkSession, scratch: Scratch, links: DataFrame, start: int, least_gain: float) -> tuple[DataFrame, int, DataFrame]:
     """What breadth-first search reaches from ``start``, its least vertex, and the links of the rest with that vertex for all of it."""
     seen = frontier = scratch.keep(spark.createDataFrame([(start,)], "v bigint"))
-    for _ in range(rounds):
-        new = scratch.keep(_both_ways(links).join(frontier, "v", "left_semi").select(F.col("w").alias("v")).distinct().join(seen, "v", "left_anti"))
-        if new.isEmpty():
-            break
-        seen, frontier = scratch.keep(seen.unionByName(new)), new
+    reached = gained = 1
+    while gained >= least_gain * reached and gained:
+        # Each frontier is written once; what has been seen is all of them together.
+        frontier = scratch.keep(_both_ways(links).join(frontier, "v", "left_semi").select(F.col("w").alias("v")).distinct().join(seen, "v", "left_anti"))
+        gained = frontier.count()
+        reached += gained
+        seen = seen.unionByName(frontier)
     stand_in = seen.agg(F.min("v").alias("m")).collect()[0]["m"]  # one number
 
     def moved(side: str) -> Column:

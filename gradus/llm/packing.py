@@ -80,6 +80,17 @@ def pack(items: DataFrame, scratch: Scratch) -> DataFrame:
     return done[0].unionByName(done[1])
 
 
+def invariants(packed: DataFrame, windows: DataFrame, window: str, capacity: str, key: str) -> DataFrame:
+    """(window_id, n_tokens, n_containers, n_over, n_torn, unused): of each capacity the tokens packed, containers, those over capacity, texts split though they fit, and the unused share."""
+    caps = windows.where(F.col(capacity) >= 1).groupBy(F.col(window).cast("int").alias("window_id")).agg(F.max(capacity).cast("bigint").alias("capacity"))
+    rows = packed.where("container_id is not null").join(caps, "window_id")
+    boxes = rows.groupBy("window_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("filled"))
+    boxes = boxes.groupBy("window_id").agg(F.sum("filled").alias("n_tokens"), F.count("*").alias("n_containers"), F.count_if(F.col("filled") > F.col("capacity")).alias("n_over"), (1 - F.sum("filled") / F.sum("capacity")).alias("unused"))
+    pieces = rows.groupBy("window_id", "capacity", key).agg(F.sum("n_tokens").alias("size"), F.max("piece_no").alias("last"))
+    torn = pieces.groupBy("window_id").agg(F.count_if((F.col("last") > 0) & (F.col("size") <= F.col("capacity"))).alias("n_torn"))
+    return boxes.join(torn, "window_id").select("window_id", "n_tokens", "n_containers", "n_over", "n_torn", F.round("unused", 4).alias("unused"))
+
+
 def pack_texts(docs: DataFrame, key: str, text: str, windows: DataFrame, window: str, capacity: str, path: str = TOKENIZER) -> DataFrame:
     """(window_id, container_id, <key>, piece_no, token_start, n_tokens): where the tokens of each text go, for each capacity.
 
@@ -93,7 +104,10 @@ def pack_texts(docs: DataFrame, key: str, text: str, windows: DataFrame, window:
     caps = windows.where(F.col(capacity) >= 1).select(F.col(window).cast("int"), F.col(capacity).cast("bigint")).distinct().limit(1001).collect()
     if len(caps) > 1000:
         raise ValueError("more than 1000 containers sizes")
-    sizes = scratch.keep(count_tokens(docs, key, text, path).select(F.col(key).alias("doc"), "n_tokens", F.monotonically_increasing_id().alias("item")))
+    # Rows of one key and size can stand for each other, so they are numbered within these: the result does not depend on the partitioning.
+    counts = count_tokens(docs, key, text, path).groupBy(F.col(key).alias("doc"), "n_tokens").agg(F.count("*").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
+    sizes = scratch.keep(counts.select("doc", "n_tokens", copy).select("doc", "n_tokens", F.concat_ws("~", F.col("doc").cast("string"), F.col("n_tokens").cast("string"), F.col("copy").cast("string")).alias("item")))
     kinds = F.array(*(F.struct(F.lit(w).alias("window_id"), F.lit(c).alias("capacity")) for w, c in caps)) if caps else F.array().cast("array<struct<window_id:int,capacity:bigint>>")
     each = sizes.select("doc", "item", "n_tokens", F.inline(kinds))
     n, cap = F.col("n_tokens"), F.col("capacity")
@@ -101,6 +115,6 @@ def pack_texts(docs: DataFrame, key: str, text: str, windows: DataFrame, window:
     items = each.where(n - whole * cap > 0).select("window_id", "capacity", "item", (n - whole * cap).alias("size"), "doc", whole.alias("piece_no"))
     rest = pack(items, scratch).select("window_id", "container_id", "doc", "piece_no", (F.col("piece_no") * cap).alias("token_start"), F.col("size").alias("n_tokens"))
     full = each.where(n > cap).select("window_id", "doc", "item", cap.alias("n_tokens"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece_no"))
-    full = full.select("window_id", F.format_string("0-%d-%d", "item", "piece_no").alias("container_id"), "doc", "piece_no", (F.col("piece_no") * F.col("n_tokens")).alias("token_start"), "n_tokens")
+    full = full.select("window_id", F.format_string("0-%s-%d", "item", "piece_no").alias("container_id"), "doc", "piece_no", (F.col("piece_no") * F.col("n_tokens")).alias("token_start"), "n_tokens")
     none = each.where(n == 0).select("window_id", F.lit(None).cast("string").alias("container_id"), "doc", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("token_start"), "n_tokens")
     return full.unionByName(rest).unionByName(none).withColumnRenamed("doc", key)

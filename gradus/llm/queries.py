@@ -49,6 +49,10 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "context_windows"), "window_id", "capacity_tokens")
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.invariants(p7_packed(spark, d), table(spark, d, "context_windows"), "window_id", "capacity_tokens", "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found_items(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -57,7 +61,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(wide_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p5_found, p6_ids, p7_packed, p8_found, p8_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p5_found, p6_ids, p7_packed, p7_invariants, p8_found, p8_redacted)}
 SQL: dict[str, str] = {
     "p2_found": """WITH RECURSIVE l AS (
         SELECT left_id AS a, right_id AS b FROM merge_pairs WHERE left_id <> right_id UNION SELECT right_id, left_id FROM merge_pairs WHERE left_id <> right_id

@@ -50,3 +50,25 @@ def test_round_trip(spark):
     ids, _ = encode(spark, [t for t in SPECIAL if t])
     for i, t in enumerate(t for t in SPECIAL if t):
         assert bytes(back[c] for x in ids[i] for c in vocab[x]).decode() == t
+
+
+def test_two_tokenizers_in_one_session(spark, reference, tmp_path):
+    """Another file is another tokenizer, also for a worker that has read the first one."""
+    model = json.load(open(bpe.TOKENIZER, encoding="utf-8"))
+    bare = tmp_path / "bytes.json"
+    bare.write_text(json.dumps({"model": {"vocab": model["model"]["vocab"], "merges": []}}), encoding="utf-8")
+    df = spark.createDataFrame([(1, "some words here")], "doc_id bigint, text string")
+    first = bpe.encode_texts(df, "doc_id", "text").head().ids
+    second = bpe.encode_texts(df, "doc_id", "text", str(bare)).head().ids
+    third = bpe.encode_texts(df, "doc_id", "text").head().ids
+    assert list(first) == list(third) == reference("some words here") and len(second) == len("some words here")
+
+
+def test_long_words(spark, reference):
+    import base64
+    import random
+
+    rng = random.Random(1)
+    texts = [base64.b64encode(rng.randbytes(n)).decode().translate({43: "a", 47: "b", 61: "c"} | {48 + i: 65 + i for i in range(10)}) for n in (190, 191, 3000)] + ["ab" * 2000 + " ok"]
+    ids, _ = encode(spark, texts)
+    assert [ids[i] for i in range(len(texts))] == [reference(t) for t in texts]

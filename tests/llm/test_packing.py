@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from gradus.llm import packing
 from gradus.llm.packing import pack_texts, sum_of_squares
+from pyspark.sql import functions as F
 
 
 def slow(sizes, capacity):
@@ -81,3 +82,15 @@ def test_repeated_rows_are_items_of_their_own(spark):
     for r in rows:
         filled[r.container_id] = filled.get(r.container_id, 0) + r.n_tokens
     assert sum(filled.values()) == 12 and max(filled.values()) <= 4
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    from gradus.llm import packing
+
+    df = spark.createDataFrame([(i % 37 if i % 5 else None, "word " * (i % 23)) for i in range(300)], "doc_id bigint, text string")
+    windows = spark.createDataFrame([(1, 16), (2, 40)], "window_id int, capacity_tokens int")
+    one, two = (sorted(map(str, packing.pack_texts(df.repartition(n), "doc_id", "text", windows, "window_id", "capacity_tokens").collect())) for n in (1, 7))
+    assert one == two
+    p = packing.pack_texts(df.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id", "text", windows, "window_id", "capacity_tokens")
+    for r in packing.invariants(p, windows, "window_id", "capacity_tokens", "doc_id").collect():
+        assert r.n_over == 0 and r.n_torn == 0 and r.unused < 0.1
