@@ -37,7 +37,8 @@ _STARTERS = frozenset("The A An Our Every Any Most One This In By Since As When
 _AT = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]|&#64;|&#x40;| (?:AT (?=[\w-]+ DOT )|at (?=[\w-]+ dot ))")
 _LOCAL = re.compile(r"[\w.+%'-]*[\w+%-](?= ?$)")
 _HOST = re.compile(r" ?((?:[\w-]+(?:\.| ?\[(?:dot|DOT)\] ?| ?\((?:dot|DOT)\) ?| DOT | dot ))+[^\W\d_]{2,})")
-_DIGITS = re.compile(r"[0-9０-９][0-9０-９ \u00a0()./‑–-]{4,24}[0-9０-９]")
+_DIGITS = re.compile(r"[0-9０-９][0-9０-９ \u00a0()./‑–-]{4,40}[0-9０-９]")
+_JOIN = re.compile(r"[\w-]*[^\W\d_][\w-]*(?<!dot)(?<!DOT)| ")
 _GROUPS = re.compile(r"\d\d(?: \d\d){2}$")
 _EXTENSION = re.compile(r"(?:,? ext\.? ?| ?x ?)\d{1,5}(?!\w)")
 _DIGIT_WORDS = tuple(tuple(x.split()) for x in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro deux trois quatre cinq sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"))
@@ -55,6 +56,8 @@ _DE2 = rf"(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Unter den
 _ES = rf"(?:Calle|CALLE|C/|Plaza|PLAZA|Avenida|AVENIDA|Avda\.?|Paseo|Camino|Ronda) (?:(?i:del|de la|de los|de las|de) )?{_TOWN1},? (?:[nN]\.º ?)?\d{{1,5}}"
 _STREETS = tuple(re.compile(rf"{x}(?![^\W\d_])(?:{_UNIT})*") for x in (_EN, _FR, _DE, _DE2, _ES))
 _AFTER = re.compile(rf"(?:,\s|\n| ){_POST},? {_TOWN}|(?:,\s|\n| ){_TOWN1}(?: {_TOWN1})?,? {_POST}(?!\w)|(?:,\s|\n| ){_POST}(?!\w)")
+_UNITS = re.compile(_UNIT)
+_FRENCH = frozenset("rue avenue boulevard impasse chemin quai allée place cours passage bis ter quater".split())
 _MAYBE = re.compile(rf"(?:,\s|\n| )({_TOWN1}(?: {_TOWN1})?)(?![^\W\d_])")
 _HAS_DIGIT, _AFTER_DIGIT = re.compile(r"\d"), re.compile(r"\D*$")
 _RIGHT = re.compile(r"[^\S\n]*(\n|[^\w\s]+(?=\s|\w|$)|[^\W\d_]+)")
@@ -133,7 +136,7 @@ def persons(text: str) -> Iterator[Mention]:
 def emails(text: str) -> Iterator[Mention]:
     for m in _AT.finditer(text):
         host = _HOST.match(text, m.end())
-        local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
+        local = _LOCAL.search(text, max(0, m.start() - 256), m.start())
         if host and local:
             gap = local.end() != m.start(), host[0].startswith(" ")
             if m[0] == "@" and gap[0] != gap[1]:
@@ -141,7 +144,8 @@ def emails(text: str) -> Iterator[Mention]:
             s = local.start()
             while text[s] in ".'-":
                 s += 1
-            yield Mention(s, host.end(), "email", text[s : host.end()], "email", "", "", "")
+            dot = "." if "[" not in host[0] and "(" not in host[0] and " " not in host[0].strip() else _JOIN.sub("", host[0].lower())
+            yield Mention(s, host.end(), "email", text[s : host.end()], f"{m[0].strip().lower()}|{dot}", _before(text, s), _after(text, host.end()), "")
 
 
 def _phone(text: str, s: int, e: int) -> Mention | None:
@@ -202,7 +206,21 @@ def numbers(text: str) -> Iterator[Mention]:
     for words, spoken in zip(_DIGIT_WORDS, _SPOKEN, strict=True):
         if sum(w in text for w in words) >= 3 and sum(map(text.count, words)) >= 7:
             for m in spoken.finditer(text):
-                yield Mention(m.start(), m.end(), "phone", m[0], "spoken", "", "", "")
+                yield Mention(m.start(), m.end(), "phone", m[0], f"spoken {words[0]}", _before(text, m.start()), _after(text, m.end()), "")
+
+
+def _context(text: str, s: int, e: int) -> str:
+    return f"{_before(text, s)}|{_after(text, e)}"
+
+
+def _street_kind(street: str) -> str:
+    """What makes a street one: its word for a street, or the ending of a name that has none."""
+    words = [w for w in re.split(r"[\s,]+", _UNITS.sub("", street).lower()) if w and not any(c.isdigit() for c in w) and len(w) > 1]
+    if not words:
+        return ""
+    if street[0].isdigit():
+        return words[0] if words[0] in _FRENCH else words[-1].rstrip(".")
+    return next((x for x in _DE_ENDS if words[0].endswith(x)), words[0].rstrip("."))
 
 
 def addresses(text: str) -> Iterator[Mention]:
@@ -211,17 +229,18 @@ def addresses(text: str) -> Iterator[Mention]:
     for s, _, e in found:
         if s < seen:
             continue
+        kind = _street_kind(text[s:e])
         if after := _AFTER.match(text, e):
             town = re.sub(_POST, "", after[0]).strip(" ,\n")
             e = after.end()
-            yield Mention(s, e, "address", text[s:e], "full", town, "", "")
+            yield Mention(s, e, "address", text[s:e], "full", town, _context(text, s, e), kind)
         else:
-            yield Mention(s, e, "address", text[s:e], "bare", "", "", "")
+            yield Mention(s, e, "address", text[s:e], "bare", "", _context(text, s, e), kind)
             if maybe := _MAYBE.match(text, e):
                 one = maybe[1].split(" ")[0]
                 for town in {one, maybe[1]}:
                     end = maybe.start(1) + len(town)
-                    yield Mention(s, end, "address", text[s:end], "open", town, "", "")
+                    yield Mention(s, end, "address", text[s:end], "open", town, _context(text, s, e), kind)
         seen = e
 
 

@@ -22,7 +22,6 @@ PLACEHOLDERS = {"email": "[EMAIL]", "address": "[ADDRESS]", "id_number": "[ID_NU
 #: Seed patterns of telephone and identity numbers: labels before the number.
 PHONE_SEEDS = ("phone:", "tel", "tel.", "tel.:", "tél.", "tél", "telefon:", "teléfono:", "call")
 ID_SEEDS = ("ssn", "ssn:", "(ssn", "passport", "(passport")
-ROUNDS = 3
 
 SPANS = "doc string, start int, end int, kind string, text string, shape string, left string, right string, tail string"
 
@@ -44,20 +43,24 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _grown(scratch: Scratch, links: DataFrame, seeds: DataFrame, node: str, pattern: str, nodes_needed: int, patterns_needed: int, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Trusted nodes and trusted patterns of the bipartite graph ``links`` (node, pattern, n), grown from seed nodes.
+    """Trusted nodes and trusted patterns of the bipartite graph ``links`` (node, pattern, n), grown from seed nodes to the fixpoint.
 
-    A pattern is trusted with ``nodes_needed`` trusted nodes that make up more than ``share`` of its mentions; a node with
-    ``patterns_needed`` trusted patterns that hold more than ``share`` of its mentions. Seeds stay trusted.
+    Each side is scored by the other: the score of a pattern is the share of its mentions that trusted nodes make up, and that of
+    a node the share of its mentions in trusted patterns. A pattern is trusted with a score above ``share`` from ``nodes_needed`` nodes, a
+    node with one above ``share`` from ``patterns_needed`` patterns. Seeds stay trusted, so that both sets only grow, and
+    the rounds end when no node is added.
     """
-    nodes = seeds.select(node).distinct()
-    for _ in range(ROUNDS):
+    nodes = scratch.keep(seeds.select(node).distinct())
+    trusted, before = nodes.count(), -1
+    while trusted != before:
+        before = trusted
         flag = nodes.select(node, F.lit(1).alias("good"))
         by_pattern = links.join(flag, node, "left").groupBy(pattern).agg(F.count("good").alias("k"), (F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
         patterns = by_pattern.where((F.col("k") >= nodes_needed) & (F.col("part") > share)).select(pattern)
         flag = patterns.select(pattern, F.lit(1).alias("good"))
         by_node = links.join(flag, pattern, "left").groupBy(node).agg(F.count("good").alias("k"), (F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
         nodes = scratch.keep(by_node.where((F.col("k") >= patterns_needed) & (F.col("part") > share)).select(node).union(seeds.select(node)).distinct())
-        patterns = scratch.keep(patterns)
+        patterns, trusted = scratch.keep(patterns), nodes.count()
     return nodes, patterns
 
 
@@ -85,13 +88,18 @@ def _persons(scratch: Scratch, spans: DataFrame) -> DataFrame:
 
 
 def _phones(scratch: Scratch, spans: DataFrame) -> DataFrame:
-    """Numbers of a trusted shape in a trusted context; a context with one shape only (a kind of serial number) is none."""
-    p = spans.where("kind = 'phone' and shape <> 'spoken'").withColumn("context", F.concat_ws("|", "left", "right"))
+    """Numbers of a trusted shape in a trusted context; a context with one shape only (a kind of serial number) is none.
+
+    Numbers in words are candidates of the same graph, with the language as their shape: as no serial number is spelt out, a
+    trusted shape is enough for them.
+    """
+    p = spans.where("kind = 'phone'").withColumn("context", F.concat_ws("|", "left", "right"))
     links = scratch.keep(p.groupBy("shape", "context").agg(F.count("*").alias("n")))
     seeds = scratch.keep(links.where(F.split("context", r"\|")[0].isin(*PHONE_SEEDS)).groupBy("shape").agg(F.sum("n").alias("n")).where("n >= 2").select("shape"))
     shapes, contexts = _grown(scratch, links, seeds, "shape", "context", 2, 2)
-    found = p.join(shapes, "shape", "left_semi").join(contexts, "context", "left_semi")
-    return found.unionByName(spans.where("shape = 'spoken'").withColumn("context", F.lit(""))).select("doc", "start", "end", "kind", "text")
+    good = p.join(shapes, "shape", "left_semi")
+    found = good.where("shape not like 'spoken%'").join(contexts, "context", "left_semi").select(p.columns)
+    return found.unionByName(good.where("shape like 'spoken%'").select(p.columns)).select("doc", "start", "end", "kind", "text")
 
 
 def _label() -> Column:
@@ -112,9 +120,24 @@ def _ids(scratch: Scratch, spans: DataFrame) -> DataFrame:
     return shaped.join(labels, "label", "left").where("labelled").select("doc", "start", "end", "kind", "text")
 
 
+def _emails(scratch: Scratch, spans: DataFrame) -> DataFrame:
+    """Addresses written in a trusted way: with an @ and dots (the seed), or as what stands in the contexts of those."""
+    e = spans.where("kind = 'email'").withColumn("context", F.concat_ws("|", "left", "right"))
+    links = scratch.keep(e.groupBy("shape", "context").agg(F.count("*").alias("n")))
+    ways, _ = _grown(scratch, links, links.where("shape = '@|.'").select("shape"), "shape", "context", 1, 2)
+    return e.join(ways, "shape", "left_semi").select("doc", "start", "end", "kind", "text")
+
+
 def _addresses(scratch: Scratch, spans: DataFrame) -> DataFrame:
-    """Streets with house numbers; a town without postal code belongs to them if it stands with one elsewhere."""
+    """Streets with house numbers of a trusted kind; a town without postal code belongs to them if it stands with one elsewhere.
+
+    Seeds are the kinds of street that stand with a postal code; other kinds are trusted by the contexts that they share with these.
+    """
     a = spans.where("kind = 'address'")
+    links = scratch.keep(a.where("shape <> 'open'").groupBy(F.col("tail").alias("street"), F.col("right").alias("context")).agg(F.count("*").alias("n")))
+    seeds = a.where("shape = 'full'").select(F.col("tail").alias("street")).distinct()
+    streets, _ = _grown(scratch, links, seeds, "street", "context", 1, 2)
+    a = a.join(streets.select(F.col("street").alias("tail")), "tail", "left_semi").select(a.columns)
     towns = a.where("shape = 'full' and left <> ''").groupBy("left").count().where("count >= 2").select("left")
     found = a.where("shape <> 'open'").unionByName(a.where("shape = 'open'").join(towns, "left", "left_semi").select(a.columns))
     return found.select("doc", "start", "end", "kind", "text")
@@ -142,8 +165,7 @@ def find(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, spans) for each text with personal data: position, kind and words of each item; ``doc`` is the key as a string."""
     scratch = Scratch(docs.sparkSession, "pii")
     spans = scratch.keep(scan(docs, key, text))
-    emails = spans.where("kind = 'email'").select("doc", "start", "end", "kind", "text")
-    parts = [emails, _addresses(scratch, spans), _ids(scratch, spans), _phones(scratch, spans), _persons(scratch, spans)]
+    parts = [_emails(scratch, spans), _addresses(scratch, spans), _ids(scratch, spans), _phones(scratch, spans), _persons(scratch, spans)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

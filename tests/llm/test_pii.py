@@ -82,3 +82,26 @@ def test_emails(text, item):
 @pytest.mark.parametrize("text, item", [("at 48B W. Fallowgate Close, Flat 12, Ardwin", "48B W. Fallowgate Close, Flat 12"), ("Calle Olmedal n.º 189, 2.º B, 00995 Montarín.", "Calle Olmedal n.º 189, 2.º B, 00995 Montarín"), ("in Brunnenstr. 28 b, 00516 Obertal last", "Brunnenstr. 28 b, 00516 Obertal"), ("17 LARKMOOR RD\nEASTERBECK ZQ140 4XX", "17 LARKMOOR RD\nEASTERBECK ZQ140 4XX"), ("Lane 7 of the pipeline and Street View tiles", None)])
 def test_addresses(text, item):
     assert [m.text for m in mentions.addresses(text) if m.shape != "open"] == ([item] if item else [])
+
+
+def test_ways_of_writing_are_learned_from_contexts(spark):
+    """Addresses with (at) and streets without a postal code are found for the contexts they share with plain ones, others are not."""
+    lines = ["Contact: {} | room 4", "mail {} for more", "As {} wrote, it holds"]
+    rows = [(i, line.format(f"a{i}.b@mail.example.com")) for i, line in enumerate(lines)]
+    rows += [(10 + i, line.format(f"c{i}.d (at) mail.example.com")) for i, line in enumerate(lines)]
+    rows += [(20, "we met at school dot com day")]
+    streets = ["Return address: {}.", "lives at {}.", "sent to {}."]
+    rows += [(30 + i, line.format(f"{i + 4} Oxbow Road, Norvale ZQ{200 + i} 4XX")) for i, line in enumerate(streets)]
+    rows += [(40 + i, line.format(f"{i + 4} Elmgate Terrace")) for i, line in enumerate(streets)] + [(50, "chapter 7 Marble Place of honour")]
+    got = {(r.doc_id, r.kind) for r in pii.found_items(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert {(i, "email") for i in (0, 1, 2, 10, 11, 12)} <= got and {(i, "address") for i in (30, 31, 32, 40, 41, 42)} <= got
+    assert not {k for k in got if k[0] in (20, 50)}
+
+
+def test_trust_grows_to_its_fixpoint(spark):
+    from gradus.session import Scratch
+
+    # A chain: each shape shares two contexts with the one before; ten links are further than any fixed number of rounds.
+    links = spark.createDataFrame([(f"s{i}", f"c{j}", 1) for i in range(10) for j in (2 * i, 2 * i + 1, 2 * i + 2, 2 * i + 3)] + [("lone", "x", 5)], "node string, pattern string, n long")
+    nodes, _ = pii._grown(Scratch(spark, "t"), links, links.where("node = 's0'"), "node", "pattern", 1, 2)
+    assert {r.node for r in nodes.collect()} == {f"s{i}" for i in range(10)}
