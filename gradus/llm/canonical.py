@@ -27,8 +27,11 @@ WHOLE_EDITS, WHOLE_LETTERS = 2, 9
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distinct rows over all shuffle partitions: few bytes can be much work for Python, which merged partitions would do in one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).distinct()
+    """Distinct rows over all shuffle partitions: few bytes can be much work for Python, which merged partitions would do in one task.
+
+    Rows are made distinct first, in part before anything is shuffled: a pair that shares a hundred keys is there a hundred times.
+    """
+    return df.distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _folded(df: DataFrame, column: str) -> DataFrame:
