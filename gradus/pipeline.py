@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.operators import graph, scoring, signals
@@ -33,7 +33,7 @@ def build_graph(candidates: DataFrame, vectors: DataFrame, weights, bias: float,
     return graph.build_dag(scratch.keep(scoring.oriented(scored)), tau)
 
 
-def layers(built: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def layers(built: DataFrame) -> DataFrame:
     """(node, depth, cluster) of the edges that a built graph keeps."""
     edges = Scratch(built.sparkSession, "layers").keep(built.where("dropped_reason is null").select("src", "dst", "conf"))
     return graph.depths(edges).join(graph.communities(edges), "node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.columns import r6
@@ -120,14 +120,8 @@ def q_topo_order(spark: SparkSession, d: str) -> DataFrame:
     c = _clusters(spark, d, e)
     deep = reach.groupBy(F.col("dst").alias("node")).agg(F.max("most").alias("m"))
     v = graph.unlock_values(c, reach.select("src", "dst")).join(c, "node").join(deep, "node", "left").select("node", "cluster", r6(F.col("value")).alias("value"), F.coalesce("m", F.lit(0)).alias("depth"))
-    w = F.row_number().over(graph_window())
-    return v.select("node", "cluster", "depth", w.alias("pos"))
-
-
-def graph_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("cluster").orderBy("depth", F.desc("value"), "node")
+    w = Window.partitionBy("cluster").orderBy("depth", F.desc("value"), "node")
+    return v.select("node", "cluster", "depth", F.row_number().over(w).alias("pos"))
 
 
 def q_components(spark: SparkSession, d: str) -> DataFrame:

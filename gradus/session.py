@@ -34,6 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the scratch tables that this process has written.
+_ROOTS: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes all scratch tables that this process has written, once no result that reads them is needed any more; how many runs they were of."""
+    n = len(_ROOTS)
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Written tables of one run, below the shared folder.
 
@@ -45,6 +62,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _ROOTS.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -55,9 +73,7 @@ class Scratch:
         return back
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
             path = getattr(table, "_gradus_scratch", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)

@@ -371,6 +371,17 @@ def test_as_many_negatives_as_positives(spark):
     assert len(got) == 200 == len({(r.src, r.dst) for r in got}) and not {(r.src, r.dst) for r in got} & {(i, i + 1) for i in range(200)}
 
 
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from gradus.session import Scratch, drop_scratch
+
+    t = Scratch(spark, "dropped").keep(spark.range(3))
+    path = t._gradus_scratch.removeprefix("file:").replace("//", "/")
+    assert t.count() == 3 and os.path.isdir(path)
+    assert drop_scratch(spark) >= 1 and not os.path.isdir(path)
+
+
 def test_ranks_over_partitions(spark):
     from gradus.session import Scratch
 
