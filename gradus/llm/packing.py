@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with items of varying length, by the sum-of-squares rule.
 
 Shards of items, cut at random by a hash of the key, are packed side by side; each shard puts its items, one after the
-other, where the sum over all residual gaps of the squared number of open containers with that gap becomes least. One
-further pass packs again, in other shards, what went into containers that are not nearly full.
+other, where the sum over all residual gaps of the squared number of open containers with that gap becomes least. Two
+further passes pack again, in other shards, what went into containers that are not nearly full.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from gradus.session import Scratch
 
 #: Items of one shard; bounds what a task holds, and what a pass leaves open by shard.
 SHARD_ITEMS = 20_000
+PASSES = 3
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -64,20 +65,23 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(items: DataFrame, scratch: Scratch) -> DataFrame:
     """Items (window_id, capacity, item, size, ...) with the added column container_id, unique in a window.
 
-    Two passes over shards of about ``SHARD_ITEMS`` items; the second packs again what the first put into containers
-    that stay more than a hundredth empty, in other company. No task holds more than a shard, whatever the sizes are.
+    Three passes over shards of about ``SHARD_ITEMS`` items; each packs again what the one before put into containers
+    that stay more than a hundredth empty, in other company and fewer shards. No task holds more than a shard, whatever the sizes are.
     """
     done = []
-    for turn in (1, 2):
+    for turn in range(1, PASSES + 1):
         count = items.groupBy("window_id").count().select("window_id", F.ceil(F.col("count") / SHARD_ITEMS).alias("shards"))
         sharded = items.join(F.broadcast(count), "window_id").withColumn("shard", F.pmod(F.xxhash64("item", "window_id", F.lit(turn)), "shards")).drop("shards")
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sharded.schema.fields)
         packed = scratch.keep(sharded.groupBy("window_id", "shard").applyInPandas(_pack, f"{kind}, box bigint, filled bigint"))
         name = F.format_string("%d-%d-%d", F.lit(turn), F.col("shard"), F.col("box"))
-        good = F.col("filled") >= F.col("capacity") * 0.99 if turn == 1 else F.lit(True)
+        good = F.col("filled") >= F.col("capacity") * 0.99 if turn < PASSES else F.lit(True)
         done.append(packed.where(good).select(*items.columns, name.alias("container_id")))
         items = packed.where(~good).select(*items.columns)
-    return done[0].unionByName(done[1])
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def invariants(packed: DataFrame, windows: DataFrame, window: str, capacity: str, key: str) -> DataFrame:
