@@ -48,19 +48,3 @@ def test_dirty_links(spark):
 def test_no_links(spark):
     assert groups(spark, []) == {}
     assert groups(spark, [(7, 7), (None, None)]) == {}
-
-
-def test_query_equals_sql(spark):
-    from gradus.llm import queries
-
-    from ..oracle import assert_same
-
-    d = "/root/testdata/sf0.001"
-    for name, sql in queries.SQL.items():
-        assert_same(queries.QUERIES[name](spark, d), d, sql)
-
-
-def test_thin_tails_of_the_giant(spark):
-    links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(299, 360)] + [(900, 901)]
-    for gain in (0.01, 0.5):
-        assert groups(spark, links, least_gain=gain) == brute(links)
