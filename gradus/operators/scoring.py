@@ -61,13 +61,14 @@ def quality(counts: DataFrame) -> DataFrame:
 def threshold_curve(rows: DataFrame, *keys: str, y: str = "y", s: str = "s") -> DataFrame:
     """(keys, threshold, tp, fp, p, n): one row for each cut between distinct scores (their midpoint; a sole score itself).
 
-    One pass over the distinct scores: everything at or above the cut is predicted 1.
+    One pass over the distinct scores: everything at or above the cut is predicted 1. What is above is what is not up to here: a running
+    sum costs a step a row, where a frame that ends with the partition is summed anew for every row.
     """
     counts = rows.groupBy(*keys, F.col(s).alias("s")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) != 1).alias("b"))
     up = Window.partitionBy(*keys).orderBy("s")
     all_ = Window.partitionBy(*keys)
-    above = up.rowsBetween(1, Window.unboundedFollowing)
-    cut = counts.select(*keys, "s", F.lead("s").over(up).alias("next"), F.count("*").over(all_).alias("k"), F.sum("a").over(all_).alias("p"), F.sum("b").over(all_).alias("n"), F.coalesce(F.sum("a").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("b").over(above), F.lit(0)).alias("fp"))
+    here = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = counts.select(*keys, "s", F.lead("s").over(up).alias("next"), F.count("*").over(all_).alias("k"), F.sum("a").over(all_).alias("p"), F.sum("b").over(all_).alias("n"), (F.sum("a").over(all_) - F.sum("a").over(here)).alias("tp"), (F.sum("b").over(all_) - F.sum("b").over(here)).alias("fp"))
     sole = F.col("k") == 1
     return cut.where(F.col("next").isNotNull() | sole).select(*keys, F.when(sole, F.col("s")).otherwise((F.col("s") + F.col("next")) / 2).alias("threshold"), F.when(sole, F.col("p")).otherwise(F.col("tp")).alias("tp"), F.when(sole, F.col("n")).otherwise(F.col("fp")).alias("fp"), "p", "n")
 

@@ -473,3 +473,10 @@ def test_whole_vectors_go_through_the_layer(spark):
         before, after = [x[u] for u, v in e if v == n], [x[v] for u, v in e if u == n]
         want = w_self @ x[n] + gq.FULL_BIAS + (w_in @ np.mean(before, axis=0) if before else 0) + (w_out @ np.mean(after, axis=0) if after else 0)
         assert np.abs(h - np.maximum(want, 0)).max() < 2e-6
+
+
+def test_threshold_curve_takes_a_step_a_row(spark):
+    rows = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.9), ("a", 0, 0.5), ("a", 1, 0.2), ("b", 1, 0.3)], "g string, y int, s double")
+    curve = scoring.threshold_curve(rows, "g")
+    assert pairs(curve, "g", "tp", "fp", "p", "n") == [("a", 1, 1, 2, 2), ("a", 1, 2, 2, 2), ("b", 1, 0, 1, 0)]
+    assert "RowFrame, 1, unboundedfollowing" not in curve._jdf.queryExecution().analyzed().toString()
