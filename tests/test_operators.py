@@ -480,3 +480,43 @@ def test_threshold_curve_takes_a_step_a_row(spark):
     curve = scoring.threshold_curve(rows, "g")
     assert pairs(curve, "g", "tp", "fp", "p", "n") == [("a", 1, 1, 2, 2), ("a", 1, 2, 2, 2), ("b", 1, 0, 1, 0)]
     assert "RowFrame, 1, unboundedfollowing" not in curve._jdf.queryExecution().analyzed().toString()
+
+
+def _strip_case(spark, repeated):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(1 + i % 2, i, (rng.normal(size=4) + 0.4).tolist()) for i in range(60)]
+    if repeated:  # a concept with two vectors, and two that meet in two domains
+        rows += [(1, 0, [1.0, 0.5, 0.0, 0.2]), (2, 2, rows[1][2]), (2, 4, rows[3][2])]
+    ends = [(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2)) if a != b]
+    order = spark.createDataFrame([(a, b, float(a % 7) / 7) for a, b in set(ends[:120])], "src bigint, dst bigint, s_order double")
+    definition = spark.createDataFrame([(a, b, 0.5 + float(b % 3) / 7) for a, b in set(ends[100:200])], "src bigint, dst bigint, s_def double")
+    cooc = spark.createDataFrame([(a, b, float(b % 5) / 5) for a, b in {(min(e), max(e)) for e in ends[150:]}], "src bigint, dst bigint, s_cooc double")
+    vectors = spark.createDataFrame(rows, "domain_id bigint, concept_id bigint, embedding array<double>")
+    from itertools import product
+
+    want = {}
+    for (g, a, x), (h, b, y) in product(rows, rows):
+        c = float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+        if g == h and a < b and c >= 0.15:
+            want[a, b] = max(c, want.get((a, b), -1.0))
+    sim = spark.createDataFrame([(a, b, c) for (a, b), c in want.items()], "src bigint, dst bigint, s_sim double")
+    return vectors, signals.sparse_signals(order, cooc, definition), signals.prune(signals.merge_signals(order, cooc, definition, sim)), want
+
+
+def _rounded(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_similar_pairs_are_not_replicated_by_blocks(spark, repeated, monkeypatch):
+    from gradus.operators import blocks
+
+    monkeypatch.setattr(blocks, "CELLS", 200)
+    vectors, _, _, want = _strip_case(spark, repeated)
+    got = signals.similarity_signal(vectors)
+    assert {(r.src, r.dst): round(r.s_sim, 9) for r in got.groupBy("src", "dst").agg(F.max("s_sim").alias("s_sim")).collect()} == {k: round(v, 9) for k, v in want.items()}
+    rows = vectors.select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec")).where("id >= 5")
+    strips = blocks.cosine_strips(rows, 0.15, lambda src, dst, s, row, n: [src, dst, s], blocks.PAIRS, strip=7)
+    assert {(r.src, r.dst) for r in strips.collect()} == {k for k in want if min(k) >= 5}
