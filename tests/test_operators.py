@@ -520,3 +520,12 @@ def test_similar_pairs_are_not_replicated_by_blocks(spark, repeated, monkeypatch
     rows = vectors.select(F.col("domain_id").alias("grp"), F.col("concept_id").alias("id"), F.col("embedding").alias("vec")).where("id >= 5")
     strips = blocks.cosine_strips(rows, 0.15, lambda src, dst, s, row, n: [src, dst, s], blocks.PAIRS, strip=7)
     assert {(r.src, r.dst) for r in strips.collect()} == {k for k in want if min(k) >= 5}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_merged_pairs_are_made_where_they_are_compared(spark, repeated):
+    vectors, about, merged, _ = _strip_case(spark, repeated)
+    got = signals.pruned(vectors, about)
+    assert _rounded(got) == _rounded(merged)
+    if not repeated:
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
