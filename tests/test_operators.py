@@ -529,3 +529,9 @@ def test_merged_pairs_are_made_where_they_are_compared(spark, repeated):
     assert _rounded(got) == _rounded(merged)
     if not repeated:
         assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_ranks_within_strips(spark, repeated):
+    vectors, about, merged, _ = _strip_case(spark, repeated)
+    assert _rounded(signals.pruned_order(vectors, about)) == _rounded(signals.heuristic_order(merged))
