@@ -535,3 +535,10 @@ def test_merged_pairs_are_made_where_they_are_compared(spark, repeated):
 def test_ranks_within_strips(spark, repeated):
     vectors, about, merged, _ = _strip_case(spark, repeated)
     assert _rounded(signals.pruned_order(vectors, about)) == _rounded(signals.heuristic_order(merged))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_verdicts_within_strips(spark, repeated):
+    vectors, about, merged, want = _strip_case(spark, repeated)
+    v = spark.createDataFrame([(b, a, a / 60) for a, b in want] + [(a, b, None) for a, b in want], "src bigint, dst bigint, s double")
+    assert _rounded(signals.pruned_plausible(vectors, about, v, most=4)) == _rounded(signals.plausible(merged, v, most=4).select(*merged.columns, "s_plaus"))
