@@ -542,3 +542,14 @@ def test_verdicts_within_strips(spark, repeated):
     vectors, about, merged, want = _strip_case(spark, repeated)
     v = spark.createDataFrame([(b, a, a / 60) for a, b in want] + [(a, b, None) for a, b in want], "src bigint, dst bigint, s double")
     assert _rounded(signals.pruned_plausible(vectors, about, v, most=4)) == _rounded(signals.plausible(merged, v, most=4).select(*merged.columns, "s_plaus"))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_exact_medians_without_the_pairs(spark, repeated):
+    import statistics
+
+    vectors, about, merged, _ = _strip_case(spark, repeated)
+    rows = merged.collect()
+    want = sorted((c, *(round(f(r[c] for r in rows), 9) for f in (min, statistics.median, max)), len(rows)) for c in signals.MERGED)
+    assert _rounded(signals.signal_profile(vectors, about)) == want
+    assert _rounded(signals.signal_profile(vectors, about, buckets=1)) == want
