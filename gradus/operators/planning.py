@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,17 +126,18 @@ def knapsacks(items: DataFrame, needs: DataFrame, budgets: DataFrame, most_steps
     links = needs.groupBy("grp").agg(F.collect_set(F.struct(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))).alias("links"))
     plans = budgets.join(own, "grp", "left").join(links, "grp", "left").select(F.col("grp").cast("string").alias("grp"), F.col("budget").cast("double").alias("budget"), F.col("goal").cast("string").alias("goal"), "items", "links")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for grp, budget, goal, own_, links_ in b.itertuples(index=False):
-                its = list(own_) if own_ is not None else []
-                edges = {(e["src"], e["dst"]) for e in links_} if links_ is not None else set()
-                got = solve([i["id"] for i in its], [i["value"] for i in its], [i["cost"] for i in its], edges, budget, goal, most_steps) if its else (False, True, 0.0, [])
-                rows.append((grp, *got))
-            yield pd.DataFrame(rows, columns=["grp", "feasible", "optimal", "best_value", "chosen"])
-
-    return plans.mapInPandas(run, "grp string, feasible boolean, optimal boolean, best_value double, chosen array<string>")
+            # One group after the other: as Python objects, the items of a whole batch take many times the memory of their columns.
+            for grp, budget, goal, own_, links_ in zip(*b.columns, strict=True):
+                its, ends = own_.values, links_.values
+                edges = set(zip(ends.field("src").to_pylist(), ends.field("dst").to_pylist(), strict=True)) if ends is not None else set()
+                got = solve(*(its.field(c).to_pylist() for c in ("id", "value", "cost")), edges, budget.as_py(), goal.as_py(), most_steps) if its is not None and len(its) else (False, True, 0.0, [])
+                rows.append((grp.as_py(), *got))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.string())), strict=True)], names=["grp", "feasible", "optimal", "best_value", "chosen"])
+
+    return plans.mapInArrow(run, "grp string, feasible boolean, optimal boolean, best_value double, chosen array<string>")
 
 
 def scopes(edges: DataFrame, goals: DataFrame) -> DataFrame:

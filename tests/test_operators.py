@@ -553,3 +553,12 @@ def test_exact_medians_without_the_pairs(spark, repeated):
     want = sorted((c, *(round(f(r[c] for r in rows), 9) for f in (min, statistics.median, max)), len(rows)) for c in signals.MERGED)
     assert _rounded(signals.signal_profile(vectors, about)) == want
     assert _rounded(signals.signal_profile(vectors, about, buckets=1)) == want
+
+
+def test_knapsacks_hold_one_group_as_objects(spark):
+    items = spark.createDataFrame([(1, "a", 2.0, 1.0), (1, "b", 3.0, 1.0), (2, "c", 1.0, 9.0)], "grp int, id string, value double, cost double")
+    needs = spark.createDataFrame([(1, "a", "b")], "grp int, src string, dst string")
+    budgets = spark.createDataFrame([(1, 2.0, "b"), (2, 2.0, None), (3, 2.0, None)], "grp int, budget double, goal string")
+    got = planning.knapsacks(items, needs, budgets)
+    assert sorted((r.grp, r.feasible, r.best_value, tuple(r.chosen)) for r in got.collect()) == [("1", True, 5.0, ("a", "b")), ("2", True, 0.0, ()), ("3", False, 0.0, ())]
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
