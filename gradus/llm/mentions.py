@@ -129,7 +129,7 @@ def persons(text: str) -> Iterator[Mention]:
                 continue
             if words[0].endswith(","):
                 yield _person(text, m.start(1), m.end(1), words[1], words[0][:-1], "r")
-            elif not m[1].count(","):
+            elif not m[1].count(",") and words[-1][0].islower():  # "ask Harbquist" is no name in small letters
                 yield _person(text, m.start(1), m.end(1), words[0], words[-1], "f")
 
 

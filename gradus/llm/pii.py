@@ -64,14 +64,32 @@ def _grown(scratch: Scratch, links: DataFrame, seeds: DataFrame, node: str, patt
     return nodes, patterns
 
 
+def _rather_given(read: DataFrame, given: DataFrame) -> DataFrame:
+    """Those of the words ``given`` that are read (given, family, pattern) as given names in more ways than as families of such words.
+
+    The more texts there are, the more family names stand before a capital in two contexts; that alone makes none a given name.
+    """
+    own = read.join(given, "given", "left_semi")
+    family = own.groupBy(F.col("family").alias("given")).agg(F.count("*").alias("m"))
+    return own.groupBy("given").agg(F.count("*").alias("n")).join(family, "given", "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select("given")
+
+
 def _persons(scratch: Scratch, spans: DataFrame) -> DataFrame:
     """Persons: a trusted given name, or an initial in a trusted pattern, with a family name of a trusted ending."""
     parts = F.split("shape", r"\|")
     p = spans.where("kind = 'person'").select("doc", "start", "end", "kind", "text", "tail", parts[0].alias("given"), parts[1].alias("family"), parts[2].alias("style"), F.concat_ws("|", "left", "right", F.when(F.col("text") == F.lower("text"), "low")).alias("pattern"))
     p = p.withColumn("ending", F.regexp_extract("family", r"(...)$", 1)).withColumn("initial", F.length("given") <= 2)
-    links = scratch.keep(p.where("not initial").groupBy("given", "pattern").agg(F.count("*").alias("n")))
-    seeds = p.where("tail = 'seed' and not initial").groupBy("given").agg(F.count_distinct("family").alias("n")).where("n >= 2").select("given")
-    given, patterns = _grown(scratch, links, scratch.keep(seeds), "given", "pattern", 2, 2, 0.3)
+    read = scratch.keep(p.where("not initial").groupBy("given", "family", "pattern").agg(F.count("*").alias("n"), F.bool_or(F.col("tail") == "seed").alias("seed")))
+    # By chance any word stands before two families of e-mail addresses, once the texts are many: it must do so as a given name does.
+    asked = read.groupBy("given").agg(F.count_distinct(F.when(F.col("seed"), F.col("family"))).alias("k"), (F.count_if("seed") / F.count("*")).alias("part"), F.count("*").alias("m")).where("k >= 2")
+    usual = asked.agg((F.sum(F.col("part") * F.col("m")) / F.sum("m")).alias("usual"))
+    seeds = scratch.keep(_rather_given(read.where("seed"), asked.crossJoin(usual).where("part >= usual / 2").select("given")))
+    links = read.groupBy("given", "pattern").agg(F.sum("n").alias("n"))
+    # Mentions as a family name count against a given name: each of them stands in a pattern of its own, which nothing makes trusted.
+    against = read.join(seeds, "given", "left_semi").groupBy(F.col("family").alias("given")).agg(F.sum("n").alias("n")).join(links, "given", "left_semi")
+    links = scratch.keep(links.unionByName(against.select("given", F.concat(F.lit("~family "), "given").alias("pattern"), "n")))
+    given, patterns = _grown(scratch, links, seeds, "given", "pattern", 2, 2, 0.3)
+    given = scratch.keep(_rather_given(read, given))
     # A verb or label before names is followed by given names, a given name by family names.
     second = p.where("style = 'f' and not initial").join(given, "given", "left_semi").join(given.select(F.col("given").alias("family"), F.lit(1).alias("s")), "family", "left")
     given = scratch.keep(second.groupBy("given").agg((F.count("s") / F.count("*")).alias("part")).where("part <= 0.3").select("given"))
