@@ -2,38 +2,40 @@
 
 Every vector, scaled to length 1, is hashed in several tables by Gaussian projections cut into cells. The projections are
 drawn within the leading principal directions of all vectors (their covariance is summed over every row): there, neighbours
-differ much less than other pairs do. A vector is a member of its own cell in each table and visits, as a query, the cells that
-changes of its hash by -1 or +1 lead to, in the order of the probability that a neighbour lies there: the product over the projections of the normal probability of the cell, for a neighbour as far away as the k-th best known so far. It stops
+differ much less than other pairs do. As a query, a vector visits the cells in the order of the probability that a neighbour lies there:
+the product over the projections of the normal probability of the cell, for a neighbour as far away as the k-th best known so far. It stops
 when the visited cells hold a neighbour with the wished probability, so that vectors with close neighbours visit few cells.
 
-Cells of one hash prefix (a region) are compared in one call, which takes a query's vector once for all cells it visits there.
-A first pass compares vectors within regions, block by block, and gives each a lower bound of its k-th best similarity; the
-second visits the cells, where pairs below the bounds of both are dropped at once in single precision and the rest gets its
-similarity in double precision, which counts for both vectors of a pair.
+No vector is shuffled for a visit. Each table is written once, sorted by cell, in files of a block of vectors; a task takes a block of queries,
+which lie near each other, and reads from the files what they visit. It holds one block of queries, one of members and the queries' best so far, so that neither disk nor
+memory grows with the number of visits. What reaches a query's k-th best in single precision gets its similarity in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.session import Scratch
 
-#: Members, and queries, that one call compares at once; fuller regions are cut into blocks that meet each other all.
+#: Vectors of a file, and so queries that a task holds and members that it reads at once.
 BLOCK = 16_384
-#: Vectors of a region that are compared for the first bounds; fuller regions are cut into parts of their own.
+#: Neighbouring vectors of a block that are compared for the first bounds.
 FIRST = 4096
-#: A region holds only some of a vector's neighbours: the distance of its best of so many there stands for that of the k-th of all.
+#: Such a part holds only some of a vector's neighbours: the distance of its best of so many there stands for that of the k-th of all.
 SHARE = 3
-#: One of so many vectors, by a hash of its key, is hashed ahead to size the blocks; this plans the work and changes no result.
-AHEAD = 16
-#: Changes of a hash in one place.
-STEPS = np.array([-1, 0, 1])
+#: Cells that follow each other are compared together until they hold so many vectors; who visits one of them meets all.
+PACK = 32
+#: Places go from -REACH to REACH, the outermost without end: seven standard deviations and more from the mean at the usual width.
+REACH = 4
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -46,11 +48,11 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Hashing:
-    """``tables`` hash tables of ``hashes`` projections; in each, cells are visited until ``success`` or ``probes`` is reached.
+    """``tables`` hash tables of ``hashes`` projections; in each, cells are visited until ``success`` is reached.
 
     ``hashes`` 0 takes half the binary logarithm of the number of vectors, so that cells stay about as full while their number grows with
-    the root of the rows; ``probes`` 0 takes half of 2**hashes, at least 64. ``width`` is that of a cell in standard
-    deviations of the projected vectors.
+    the root of the rows; ``probes``, if not 0, leaves out cells that are less probable than one in so many, and so visits no more. ``width`` is that of a cell in
+    standard deviations of the projected vectors.
     """
 
     tables: int = 2
@@ -70,60 +72,73 @@ class Hashing:
         width = self.width * spread
         turns = [np.linalg.qr(rng.standard_normal((k, k)))[0] for _ in range(self.tables)]
         offsets = [rng.uniform(0, width, k) - mean @ (lead @ turn) for turn in turns]
-        odd = rng.integers(1, 2**62, k, dtype=np.int64) | 1
-        return Tables([lead @ turn for turn in turns], offsets, width, self.probes or max(64, 2 ** (k - 1)), self.success, odd, max(1, k // 3))
+        return Tables([lead @ turn for turn in turns], offsets, width, self.probes, self.success)
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Fitted projections. A cell is named by two numbers: its region (first ``prefix`` places of the hash) and the rest."""
+    """Fitted projections. A cell is named by the places of its vectors, one number for each projection."""
 
     projections: list[np.ndarray]
     offsets: list[np.ndarray]
     width: float
     probes: int
     success: float
-    odd: np.ndarray
-    prefix: int
 
-    def _places(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        y = (unit @ self.projections[t] + self.offsets[t]) / self.width
-        low = np.floor(y)
-        return low.astype(np.int64), y - low
+    def _at(self, unit: np.ndarray, t: int) -> np.ndarray:
+        return (unit @ self.projections[t] + self.offsets[t]) / self.width
 
-    def _names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = self.prefix
-        return places[..., :p] @ self.odd[:p], places[..., p:] @ self.odd[p:]
+    def places(self, unit: np.ndarray, t: int) -> np.ndarray:
+        """The cell of each vector in table ``t``."""
+        return np.clip(np.floor(self._at(unit, t)), -REACH, REACH).astype(np.int8)
 
-    def own(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Region and cell of each vector in table ``t``."""
-        return self._names(self._places(unit, t)[0])
+    def chances(self, unit: np.ndarray, radius: np.ndarray, t: int) -> Chances:
+        """For each vector as a query in table ``t``, how probable cells are for neighbours at its distance ``radius``, and which of them it visits.
 
-    def visits(self, unit: np.ndarray, radius: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, region and cell of each visit in table ``t`` for neighbours at distance ``radius`` of each row, in order of row and region.
-
-        The most probable combinations of changes are built place by place: as the places are independent, the best
-        ``probes`` of all begin with some of the best ``probes`` of the places before.
+        The logarithm of the probability of the cell that a neighbour is in is a sum over independent places; that which it falls below only with
+        the probability of failure follows from the sum's mean, variance and skewness (Cornish and Fisher).
         """
-        low, at = self._places(unit, t)
-        n, k = low.shape
-        spread = (radius / np.sqrt(unit.shape[1]) / self.width)[:, None]
-        chance, change = np.ones((n, 1), dtype=np.float32), np.zeros((n, 1, k), dtype=np.int8)
-        for j in range(k):
-            edge = (np.append(STEPS, 2)[None, :] - at[:, j : j + 1]) / spread
-            here = np.diff(_normal(edge), axis=1).astype(np.float32)
-            both = (chance[:, :, None] * here[:, None, :]).reshape(n, -1)
-            most = min(self.probes, both.shape[1])
-            best = np.argpartition(-both, most - 1, axis=1)[:, :most]
-            chance = np.take_along_axis(both, best, 1)
-            change = np.take_along_axis(change, (best // len(STEPS))[:, :, None], 1)
-            change[:, :, j] = STEPS[best % len(STEPS)]
-        order = np.argsort(-chance, axis=1, kind="stable")
-        chance = np.take_along_axis(chance, order, 1)
-        row, col = np.nonzero(np.cumsum(chance, axis=1) - chance < self.success)
-        region, cell = self._names(low[row] + change[row, order[row, col]])
-        sort = np.lexsort((cell, region, row))
-        return row[sort], region[sort], cell[sort]
+        at = self._at(unit, t)
+        edges = np.array([-np.inf, *range(1 - REACH, REACH + 1), np.inf])
+        spread = np.maximum(radius / np.sqrt(unit.shape[1]) / self.width, 1e-6)
+        chance = np.maximum(np.diff(_normal((edges - at[:, :, None]) / spread[:, None, None]), axis=2), 1e-12)
+        log = np.log(chance)
+        mean = (chance * log).sum(axis=2)
+        off = log - mean[:, :, None]
+        variance, third = ((chance * off**n).sum(axis=2).sum(axis=1) for n in (2, 3))
+        sd = np.sqrt(np.maximum(variance, 1e-12))
+        z = NormalDist().inv_cdf(1 - self.success)
+        least = mean.sum(axis=1) + sd * z + (z * z - 1) / 6 * third / sd**2
+        if self.probes:
+            least = np.maximum(least, -np.log(self.probes))
+        return Chances(log.astype(np.float32), (np.minimum(least, log.max(axis=2).sum(axis=1)) - 1e-3).astype(np.float32))
+
+
+@dataclass(frozen=True)
+class Chances:
+    """Of each query and place the logarithms of the chances of the values from -REACH on; cells whose sum reaches ``least`` are visited."""
+
+    log: np.ndarray
+    least: np.ndarray
+
+    def within(self, cells: np.ndarray) -> np.ndarray:
+        """The queries that could visit one of these cells, as far as each place tells alone."""
+        best = np.zeros(len(self.least), dtype=np.float32)
+        for j in range(cells.shape[1]):
+            best += self.log[:, j, np.unique(cells[:, j]) + REACH].max(axis=1)
+        return np.flatnonzero(best >= self.least)
+
+    def visited(self, rows: np.ndarray, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether each of these queries visits a cell of each pack, packs being runs of cells from ``starts``."""
+        n, values = cells.shape[1], self.log.shape[2]
+        hot = np.zeros((n * values, len(cells)), dtype=np.float32)
+        hot[(cells + REACH + np.arange(n) * values).T, np.arange(len(cells))[None, :]] = 1
+        out = np.empty((len(rows), len(starts)), dtype=bool)
+        step = max(1, 4_000_000 // len(cells))
+        for a in range(0, len(rows), step):
+            r = rows[a : a + step]
+            out[a : a + step] = np.maximum.reduceat(self.log[r].reshape(len(r), -1) @ hot, starts, axis=1) >= self.least[r, None]
+        return out
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -170,25 +185,6 @@ def _kth(sims: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-sims, k - 1, axis=1)[:, k - 1]
 
 
-def _bound(dims: int, k: int):
-    """A lower bound of each vector's k-th best similarity, and a guess of it, from the other vectors of its part of a region."""
-
-    def run(part: pa.Table) -> pa.Table:
-        x = _matrix(part.column("vec"), dims).astype(np.float32)
-        out, guess = np.empty(len(x)), np.empty(len(x))
-        for i in range(0, len(x), 512):
-            sims = x[i : i + 512] @ x.T
-            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-            out[i : i + 512] = _kth(sims, k) - 1e-5
-            guess[i : i + 512] = _kth(sims, -(-k // SHARE))
-        return pa.table({"id": part.column("id"), "floor": pa.array(out), "guess": pa.array(guess)})
-
-    return run
-
-
-FOUND = "id bigint, near bigint, sim double"
-
-
 def _best_of(rows: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of each row, equal similarity going to the smaller ``near``; a pair found twice counts once."""
     order = np.lexsort((near, -sims, rows))
@@ -200,131 +196,146 @@ def _best_of(rows: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
-def _meet(dims: int, k: int):
-    """Of a block of queries and a block of members of one region: for each, the k most similar on the other side of the visited cells."""
-
-    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if queries.num_rows and members.num_rows:
-            ids = [queries.column("q_id").to_numpy(), members.column("m_id").to_numpy()]
-            floors = [queries.column("q_floor").to_numpy(), members.column("m_floor").to_numpy()]
-            exact = [_matrix(queries.column("q_vec"), dims), _matrix(members.column("m_vec"), dims)]
-            x, y = (e.astype(np.float32) for e in exact)
-            cells = pa.concat_arrays([c for c in queries.column("q_cells").chunks])
-            row = np.repeat(np.arange(len(x)), np.diff(cells.offsets.to_numpy()))
-            visited = cells.flatten().to_numpy()
-            own = members.column("m_cell").to_numpy()
-            left, right = np.argsort(visited, kind="stable"), np.argsort(own, kind="stable")
-            names, first, count = np.unique(own[right], return_index=True, return_counts=True)
-            lo, hi = np.searchsorted(visited[left], names), np.searchsorted(visited[left], names, side="right")
-            parts: list[tuple] = []
-            for at, n, a, b in zip(first, count, lo, hi, strict=True):
-                m = right[at : at + n]
-                for s in range(a, b, 4096):
-                    q = row[left[s : min(s + 4096, b)]]
-                    sims = x[q] @ y[m].T
-                    sims[ids[0][q, None] == ids[1][None, m]] = -np.inf
-                    if len(m) > 4 * k or len(q) > 4 * k:  # what k others of the same cell exceed cannot be among the best
-                        good = (sims >= np.maximum(floors[0][q], _kth(sims, k) - 1e-5)[:, None]) | (sims >= np.maximum(floors[1][m], _kth(sims.T, k) - 1e-5)[None, :])
-                    else:
-                        good = (sims >= floors[0][q, None]) | (sims >= floors[1][None, m])
-                    i, j = np.nonzero(good & np.isfinite(sims))
-                    parts.append((q[i], m[j]))
-            if parts:
-                i, j = (np.concatenate(p) for p in zip(*parts, strict=True))
-                sim = np.einsum("ij,ij->i", exact[0][i], exact[1][j])
-                both = []
-                for near, mine, other in ((ids[1][j], i, 0), (ids[0][i], j, 1)):
-                    keep = np.flatnonzero(sim >= floors[other][mine])
-                    keep = keep[_best_of(mine[keep], near[keep], sim[keep], k)]
-                    both.append((ids[other][mine[keep]], near[keep], sim[keep]))
-                out = [np.concatenate(c) for c in zip(*both, strict=True)]
-        return pa.table(dict(zip(("id", "near", "sim"), out, strict=True)))
-
-    return run
-
-
-def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "near")
-    return found.groupBy("id", "near").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _mapped(df: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict], dims: int, kind: str, carried: bool = True) -> DataFrame:
-    """Of each batch (id, floor, guess, vec) the rows that ``make`` gives for its matrix and guesses; ``carried``: with id, floor and vec of the row named in column row."""
+def _part(path: str, columns: list[str]) -> pa.Table:
+    """Columns of a file of the shared folder."""
+    system, inner = pa.fs.FileSystem.from_uri(path)
+    return pq.read_table(inner, columns=columns, filesystem=system, use_threads=False, partitioning=None)
+
+
+def _cells(part: pa.Table, hashes: int) -> np.ndarray:
+    """The places of each row's cell."""
+    return np.frombuffer(b"".join(part.column("cell").to_pylist()), dtype=np.int8).reshape(-1, hashes)
+
+
+class _Block:
+    """Queries (id, vec, n) and the k best that are known of each, by descending similarity and ascending key."""
+
+    def __init__(self, part: pa.Table, dims: int, k: int):
+        self.k, self.ids = k, part.column("id").to_numpy()
+        self.exact = _matrix(part.column("vec"), dims)
+        self.single = self.exact.astype(np.float32)
+        self.near = np.full((len(self.ids), k), -1, np.int64)
+        self.many = np.zeros((len(self.ids), k), np.int64)
+        self.sims = np.full((len(self.ids), k), -np.inf)
+        self.floor = np.full(len(self.ids), -np.inf)
+        self.guess = np.full(len(self.ids), -np.inf)
+        held, edges = [], np.linspace(0, len(self.ids), -(-len(self.ids) // FIRST) + 1).astype(int)
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            for a in range(begin, end, 512):
+                sims = self.single[a : min(a + 512, end)] @ self.single[begin:end].T
+                q = np.arange(a, a + len(sims))
+                sims[q - a, q - begin] = -np.inf
+                self.floor[q], self.guess[q] = _kth(sims, k) - 1e-5, _kth(sims, -(-k // SHARE))
+                i, j = np.nonzero((sims >= self.floor[q, None].astype(np.float32)) & np.isfinite(sims))
+                held.append((q[i], begin + j))
+        self._take(held, self.ids, self.exact, part)
+
+    def radius(self) -> np.ndarray:
+        """The distance that the k-th neighbour is taken to have."""
+        return np.sqrt(np.clip(2 - 2 * self.guess, 1e-6, 2.0))
+
+    def meet(self, chances: Chances, path: str, hashes: int) -> None:
+        """Compares the queries with the members of a file in the cells that they visit."""
+        part = _part(path, ["cell"])
+        if not part.num_rows:
+            return
+        places = _cells(part, hashes)
+        fresh = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]).any(axis=1)]))
+        rows = chances.within(places[fresh])
+        if not len(rows):
+            return
+        starts = np.flatnonzero(np.diff(fresh // PACK, prepend=-1))  # a cell of a full pack or more is alone, or last of its pack
+        visited = chances.visited(rows, places[fresh], starts)
+        if not visited.any():
+            return
+        part = _part(path, ["id", "vec", "n"])
+        ids, exact = part.column("id").to_numpy(), _matrix(part.column("vec"), self.exact.shape[1])
+        y = exact.astype(np.float32)
+        held, size = [], 0
+        for p in np.flatnonzero(visited.any(axis=0)):
+            begin, end = fresh[starts[p]], fresh[starts[p + 1]] if p + 1 < len(starts) else len(ids)
+            mine = rows[visited[:, p]]
+            for a in range(begin, end, 1024):
+                m = np.arange(a, min(a + 1024, end))
+                for b in range(0, len(mine), 4096):
+                    q = mine[b : b + 4096]
+                    sims = self.single[q] @ y[m].T
+                    least = self.floor[q]
+                    if len(m) > 4 * self.k and np.isinf(least).any():  # what k others of the pack exceed cannot be among the best
+                        least = np.maximum(least, _kth(sims, self.k + 1) - 1e-5)
+                    i, j = np.nonzero(sims >= least[:, None].astype(np.float32))
+                    held.append((q[i], m[j]))
+                    size += len(i)
+            if size > 1_000_000:
+                self._take(held, ids, exact, part)
+                held, size = [], 0
+        self._take(held, ids, exact, part)
+
+    def _take(self, held: list[tuple], ids: np.ndarray, exact: np.ndarray, part: pa.Table) -> None:
+        """Takes what belongs to the k best of the queries among these pairs of a query and a member."""
+        if not held:
+            return
+        q, m = (np.concatenate(c) for c in zip(*held, strict=True))
+        q, m = (c[self.ids[q] != ids[m]] for c in (q, m))
+        if not len(q):
+            return
+        many = part.column("n").to_numpy()
+        sim = np.concatenate([np.einsum("ij,ij->i", self.exact[q[a : a + 65536]], exact[m[a : a + 65536]]) for a in range(0, len(q), 65536)])
+        touched = np.unique(q)
+        old, col = np.nonzero(np.isfinite(self.sims[touched]))
+        old = touched[old]
+        row = np.concatenate([old, q])
+        near, sims, many = (np.concatenate([mine[old, c], new]) for mine, c, new in ((self.near, col, ids[m]), (self.sims, col, sim), (self.many, col, many[m])))
+        keep = _best_of(row, near, sims, self.k)
+        row, near, sims, many = (c[keep] for c in (row, near, sims, many))
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+        self.near[row, place], self.sims[row, place], self.many[row, place] = near, sims, many
+        self.floor[touched] = np.maximum(self.floor[touched], self.sims[touched, -1] - 1e-5)
+
+    def found(self, n: np.ndarray) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.sims))
+        columns = (self.ids[row], self.near[row, place], self.sims[row, place], (place + 1).astype(np.int32), n[row], self.many[row, place])
+        plain = (n == 1) & ~(self.many > 1).any(axis=1)
+        return pa.record_batch([*map(pa.array, columns), pa.array(plain[row])], names=["id", "near", "sim", "rank", "n", "near_n", "plain"])
+
+
+FOUND = "id bigint, near bigint, sim double, rank int, n bigint, near_n bigint, plain boolean"
+
+
+def _visited(files: list[list[str]], spark: SparkSession, tables: Tables, dims: int, k: int) -> DataFrame:
+    """The k best of each vector by what it meets in the cells that it visits in all tables; a task takes the queries of a file of the first table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                made = make(_matrix(part.column(3), dims), part.column(2).to_numpy())
-                row = made.pop("row")
-                own = [part.column(c).take(pa.array(row)) for c in (0, 1, 3)] if carried else []
-                names = ["id", "floor", "vec"] if carried else []
-                yield pa.record_batch([*own, *made.values()], names=[*names, *made])
-
-    return df.select("id", "floor", "guess", "vec").mapInArrow(run, ("id bigint, floor double, vec array<float>, " if carried else "") + kind)
-
-
-def _members(tables: Tables, t: int) -> Callable:
-    def make(unit: np.ndarray, guess: np.ndarray) -> dict:
-        region, cell = tables.own(unit, t)
-        return {"row": np.arange(len(unit)), "tab": pa.array(np.full(len(unit), t, np.int32)), "region": pa.array(region), "cell": pa.array(cell)}
-
-    return make
-
-
-def _queries(tables: Tables, t: int) -> Callable:
-    """One row for each region that a vector visits, with the cells it visits there."""
+            for at in batch.column(0).to_pylist():
+                part = _part(files[0][at], ["id", "vec", "n"])
+                if not part.num_rows:
+                    continue
+                block = _Block(part, dims, k)
+                radius = block.radius()
+                for t, paths in enumerate(files):
+                    chances = tables.chances(block.exact, radius, t)
+                    for path in paths[at:] + paths[:at]:  # in the first table its own file first, for early bounds; and tasks don't all read the same
+                        block.meet(chances, path, len(tables.offsets[t]))
+                yield block.found(part.column("n").to_numpy())
 
-    def make(unit: np.ndarray, guess: np.ndarray) -> dict:
-        radius = np.sqrt(np.clip(2 - 2 * guess, 1e-6, 2.0))
-        row, region, cell = tables.visits(unit, radius, t)
-        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (region[1:] != region[:-1])]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(cell))
-        return {"row": row[start], "tab": pa.array(np.full(len(start), t, np.int32)), "region": pa.array(region[start]), "cells": lists}
+    n = len(files[0])
+    return spark.range(0, n, 1, max(n, 1)).mapInArrow(run, FOUND)
 
-    return make
 
+def _sorted(classes: DataFrame, tables: Tables, t: int, dims: int, parts: int) -> DataFrame:
+    """(cell, id, vec, n) of all vectors in table ``t``, in about ``parts`` equal runs of cells."""
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _crowded(rows: DataFrame, times: int, block: int, name: str) -> DataFrame:
-    """(tab, region, <name>): the regions with more than a block of rows, and how many blocks; few, as each stands for thousands of rows."""
-    return rows.groupBy("tab", "region").count().where(F.col("count") * times > block).select("tab", "region", F.ceil(F.col("count") * times / block).alias(name))
-
-
-def _first_bounds(scratch: Scratch, known: DataFrame, tables: Tables, dims: int, k: int) -> DataFrame:
-    """(id, floor, guess): the best bound and guess from the parts of regions that a vector shares."""
-    placed = _union([_mapped(known, _members(tables, t), dims, "tab int, region bigint, cell bigint") for t in range(len(tables.projections))])
-    parts = scratch.keep(_crowded(placed, 1, FIRST, "parts"))
-    cut = placed.join(parts, ["tab", "region"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-    bounds = cut.select("tab", "region", "part", "id", "vec").groupBy("tab", "region", "part").applyInArrow(_bound(dims, k), "id bigint, floor double, guess double")
-    return bounds.groupBy("id").agg(F.max("floor").alias("floor"), F.max("guess").alias("guess"))
-
-
-def _visited(scratch: Scratch, known: DataFrame, tables: Tables, dims: int, k: int) -> DataFrame:
-    """(id, near, sim) from the visited cells: each block of a region's queries meets each block of its members."""
-    each = range(len(tables.projections))
-    members = _union([_mapped(known, _members(tables, t), dims, "tab int, region bigint, cell bigint") for t in each])
-    queries = _union([_mapped(known, _queries(tables, t), dims, "tab int, region bigint, cells array<bigint>") for t in each])
-    ahead = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(AHEAD)) == 0)
-    ahead = _union([_mapped(ahead, _queries(tables, t), dims, "tab int, region bigint, cells array<bigint>", carried=False) for t in each])
-    parts = _crowded(members, 1, BLOCK, "m_parts").join(_crowded(ahead, AHEAD, 4 * BLOCK, "q_parts"), ["tab", "region"], "full")
-    parts = scratch.keep(parts.select("tab", "region", *(F.coalesce(c, F.lit(1).cast("bigint")).alias(c) for c in ("m_parts", "q_parts"))))
-
-    def blocks(df: DataFrame, mine: str, other: str, seed: int) -> DataFrame:
-        out = df.join(parts, ["tab", "region"], "left").withColumn(mine, F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(f"{mine}_parts", F.lit(1))))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"{other}_parts", F.lit(1).cast("bigint")) - 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                cells = tables.places(_matrix(part.column(1), dims), t)
+                yield pa.record_batch([pa.array([c.tobytes() for c in cells], pa.binary()), *part.columns], names=["cell", "id", "vec", "n"])
 
-    keys = ["tab", "region", "q", "m"]
-    q = blocks(queries, "q", "m", 1).select(*(F.col(c).alias(f"q_{c}") for c in (*keys, "id", "floor", "vec", "cells")))
-    m = blocks(members, "m", "q", 2).select(*(F.col(c).alias(f"m_{c}") for c in (*keys, "id", "floor", "vec", "cell")))
-    return q.groupBy(*(f"q_{c}" for c in keys)).cogroup(m.groupBy(*(f"m_{c}" for c in keys))).applyInArrow(_meet(dims, k), FOUND)
+    placed = classes.select("id", "vec", "n").mapInArrow(run, "cell binary, id bigint, vec array<float>, n bigint")
+    return placed.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, hashing: Hashing | None = None) -> DataFrame:
@@ -335,38 +346,39 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, h
     once, and each gets its own rows: a class of n equal vectors costs n rows of output a rank, not n squared.
     One usable vector alone, or none, gives no rows. Every vector is in the index, and no cell or block is cut short.
     """
-    scratch = Scratch(df.sparkSession, "neighbours")
+    spark = df.sparkSession
+    scratch = Scratch(spark, "neighbours", tidy=True)
     usable = scratch.keep(usable_vectors(df, key, vector, dims))
     classes = scratch.keep(usable.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    tables = (hashing or Hashing()).fit(classes.count(), *moments(classes, dims))
-    none = F.lit(float("-inf"))
-    known = spread(classes.select("id", none.alias("floor"), none.alias("guess"), "vec"))
-    floor = _first_bounds(scratch, known, tables, dims, k)
-    known = scratch.keep(classes.select("id", "vec").join(floor, "id", "left").select("id", F.coalesce("floor", none).alias("floor"), F.coalesce("guess", none).alias("guess"), "vec"))
-    near = scratch.keep(_top(_visited(scratch, spread(known), tables, dims, k), k).select("id", "near", "sim"))
-    return _expand(scratch, usable, classes, near, k)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores: a small file is one partition, and a few bytes of vectors are much work."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
-
-
-def _expand(scratch: Scratch, usable: DataFrame, classes: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """From classes of equal vectors to their members; of a class only its k + 1 smallest keys can be among k nearest."""
     several = classes.where("n > 1").select("vec", F.col("id").alias("rep"))
     shared = scratch.keep(usable.join(several, "vec").select("rep", "id"))
+    scratch.drop(usable)
+    rows = classes.count()
+    tables = (hashing or Hashing()).fit(rows, *moments(classes, dims))
+    parts = max(-(-rows // BLOCK), min(spark.sparkContext.defaultParallelism * 2, -(-rows // 1024)), 1)
+    members = [scratch.keep(_sorted(classes, tables, t, dims, parts)) for t in range(len(tables.projections))]
+    scratch.drop(classes)
+    files = [sorted(m.inputFiles()) for m in members]
+    near = scratch.keep(_visited(files, spark, tables, dims, k))
+    scratch.drop(*members)
+    plain = near.where("plain").select("id", "near", "sim", "rank")
+    return plain.unionByName(_expand(near.where("not plain"), shared, k)) if shared.limit(1).count() else plain
+
+
+def _expand(near: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+    """From classes of equal vectors to their members; of a class only its k + 1 smallest keys can be among k nearest."""
     w = Window.partitionBy("rep").orderBy("id")
     least = shared.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("rep", "id")
-    single = classes.where("n = 1").select(F.col("id").alias("rep"), "id")
-    every, offered = single.unionByName(shared), single.unionByName(least)
     own = shared.join(least.withColumnRenamed("id", "near"), "rep").where("id <> near").select("id", "near", F.lit(1.0).alias("sim"))
-    other = near.select(F.col("id").alias("rep"), F.col("near").alias("near_rep"), "sim")
-    other = other.join(offered.select(F.col("rep").alias("near_rep"), F.col("id").alias("near")), "near_rep")
+    of_one = near.where("near_n = 1").select(F.col("id").alias("rep"), "near", "sim", "n")
+    of_many = near.where("near_n > 1").select(F.col("id").alias("rep"), F.col("near").alias("near_rep"), "sim", "n")
+    of_many = of_many.join(least.select(F.col("rep").alias("near_rep"), F.col("id").alias("near")), "near_rep").select("rep", "near", "sim", "n")
     best = Window.partitionBy("rep").orderBy(F.desc("sim"), "near")
-    other = other.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("rep", "near", "sim")
-    found = every.join(other, "rep").select("id", "near", "sim").unionByName(own)
-    return _top(found, k)
+    other = of_one.unionByName(of_many).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    single = other.where("n = 1").select(F.col("rep").alias("id"), "near", "sim")
+    found = single.unionByName(shared.join(other.where("n > 1"), "rep").select("id", "near", "sim")).unionByName(own)
+    last = Window.partitionBy("id").orderBy(F.desc("sim"), "near")
+    return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
 def similar_pairs(near: DataFrame) -> DataFrame:

@@ -64,3 +64,32 @@ def test_unusable_rows(spark):
 def test_one_or_no_vector(spark):
     assert similar_pairs(nearest(frame(spark, [(1, [1, 2])]), "concept_id", "embedding", dims=2)).count() == 0
     assert nearest(frame(spark, []), "concept_id", "embedding").count() == 0
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far, and those whose files are still there."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())), sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle"))
+
+
+def test_no_vector_is_shuffled_for_a_visit(spark):
+    n = 3000
+    df = frame(spark, [(i + 1, x) for i, x in enumerate(np.random.default_rng(5).standard_normal((n, 64)))])
+    written, left = shuffled(spark)
+    assert nearest(df, "concept_id", "embedding").count() == 10 * n
+    now, still = shuffled(spark)
+    assert now - written < 8 * 256 * n  # 256 bytes of floats a vector: made distinct by key and by vector, sorted in two tables
+    assert still - left < 256 * n  # no shuffle outlives the table that it is for
+
+
+def test_places_beyond_the_outermost_cells():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.standard_normal((200, 8)), 1e6 * np.eye(8)])
+    tables = Hashing(hashes=2, success=0.999999).fit(len(x), np.zeros(8), np.eye(8) * 1e-9)
+    places = tables.places(x, 0)
+    assert np.abs(places).max() == neighbours.REACH
+    own = tables.chances(x, np.full(len(x), 1e-5), 0)
+    assert own.visited(np.arange(len(x)), places, np.arange(len(x))).diagonal().all()
