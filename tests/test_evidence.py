@@ -19,3 +19,33 @@ def test_no_vector_is_shuffled_for_a_strip(spark):
     assert not [x for x in plan(got).split("\n") if "Exchange" in x and "vec" in x] and "FlatMapGroupsInArrow" not in plan(got)
     want = {(10 * g + i, 10 * g + j) for g in (1, 2) for i in range(9) for j in range(i + 1, 9) if (i * j + 1) / np.sqrt((i * i + 1) * (j * j + 1)) >= 0.5}
     assert {(r.src, r.dst) for r in got.collect()} == want
+
+
+def case(spark, repeated=False):
+    """Vectors and evidence of two domains; a document and a section are without number, and one document stands in both."""
+    rng = np.random.default_rng(3)
+    rows = [(1 + i % 2, i, (rng.normal(size=4) + 0.7).tolist()) for i in range(40)] + [(2, 0, [1.0, 0.5, 0.2, 0.1])] * repeated
+    met = [(u, c, int(rng.integers(0, 9))) for u in range(30) for c in rng.permutation(40)[:7].tolist()]
+    documents = spark.createDataFrame([(u, c, p, 1 + 2 * (u % 2)) for u, c, p in met] + [(None, 3, 0, 1)], "unit bigint, concept_id bigint, pos int, w int")
+    sections = spark.createDataFrame([((u // 2, u % 2), c, p) for u, c, p in met], "unit struct<doc_id: bigint, n: int>, concept_id bigint, pos int")
+    definition = spark.createDataFrame([(1, 3, 0.9), (3, 1, 0.6), (4, 2, 0.7)], "src bigint, dst bigint, s_def double")
+    return spark.createDataFrame(rows, "domain_id bigint, concept_id bigint, embedding array<double>"), signals.Evidence(documents, sections, 30, definition)
+
+
+def rounded(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_counted_in_strips(spark, repeated, monkeypatch):
+    monkeypatch.setattr(blocks, "CELLS", 100)
+    monkeypatch.setattr(blocks, "MET", 10)
+    vectors, evidence = case(spark, repeated)
+    got, want = signals.pruned(vectors, evidence), signals.pruned(vectors, evidence.table())
+    assert rounded(got) == rounded(want) and want.where("order_fwd > 0 and cooc > 0").count() > 20
+
+
+def test_places_of_evidence(spark):
+    vectors, evidence = case(spark)
+    assert rounded(signals.pruned_order(vectors, evidence)) == rounded(signals.pruned_order(vectors, evidence.table()))
+    assert "Join" not in plan(signal_queries.q_heuristic_order(spark, D))
