@@ -49,3 +49,10 @@ def test_places_of_evidence(spark):
     vectors, evidence = case(spark)
     assert rounded(signals.pruned_order(vectors, evidence)) == rounded(signals.pruned_order(vectors, evidence.table()))
     assert "Join" not in plan(signal_queries.q_heuristic_order(spark, D))
+
+
+def test_verdicts_beside_evidence(spark):
+    vectors, evidence = case(spark)
+    v = vectors.select(F.col("concept_id").alias("src"), (F.col("concept_id") + 2).alias("dst"), (F.col("concept_id") / 40).alias("s"))
+    assert rounded(signals.pruned_plausible(vectors, evidence, v, most=3)) == rounded(signals.pruned_plausible(vectors, evidence.table(), v, most=3))
+    assert "Join" not in plan(signal_queries.q_plausible(spark, D))
