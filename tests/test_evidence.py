@@ -56,3 +56,12 @@ def test_verdicts_beside_evidence(spark):
     v = vectors.select(F.col("concept_id").alias("src"), (F.col("concept_id") + 2).alias("dst"), (F.col("concept_id") / 40).alias("s"))
     assert rounded(signals.pruned_plausible(vectors, evidence, v, most=3)) == rounded(signals.pruned_plausible(vectors, evidence.table(), v, most=3))
     assert "Join" not in plan(signal_queries.q_plausible(spark, D))
+
+
+def test_profile_keeps_no_pairs_of_mentions(spark, monkeypatch):
+    from gradus.session import Scratch
+
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *by: kept.append(df.columns) or keep(self, df, *by))
+    assert signal_queries.q_signal_profile(spark, D).count() == 6
+    assert kept and not [c for c in kept if "cooc" in c]
