@@ -65,3 +65,7 @@ def test_profile_keeps_no_pairs_of_mentions(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", lambda self, df, *by: kept.append(df.columns) or keep(self, df, *by))
     assert signal_queries.q_signal_profile(spark, D).count() == 6
     assert kept and not [c for c in kept if "cooc" in c]
+
+
+def test_corr_joins_no_pairs(spark):
+    assert "Join" not in plan(signal_queries.q_s_corr(spark, D))
