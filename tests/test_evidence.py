@@ -69,3 +69,7 @@ def test_profile_keeps_no_pairs_of_mentions(spark, monkeypatch):
 
 def test_corr_joins_no_pairs(spark):
     assert "Join" not in plan(signal_queries.q_s_corr(spark, D))
+
+
+def test_merge_joins_no_pairs(spark):
+    assert "Join" not in plan(signal_queries.q_signal_merge(spark, D))
